@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.bpe import op5_bpe
+from tideline.llm.langid import op8_language_id
+from tideline.llm.minhash import op2_minhash
 from tideline.llm.quality import op6_quality
 from tideline.llm.tokencount import op3_token_counts
+from tideline.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash": op2_minhash,
     "op3_token_counts": op3_token_counts,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op8_language_id": op8_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL of those that SQL can express.
