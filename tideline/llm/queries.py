@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideline.llm.annsearch import op9_nearest
 from tideline.llm.bpe import op5_bpe
+from tideline.llm.htmlmain import op7_html_extraction
 from tideline.llm.langid import op8_language_id
 from tideline.llm.minhash import op2_minhash
+from tideline.llm.packing import op4_packing
 from tideline.llm.quality import op6_quality
+from tideline.llm.secrets import op1_secrets
 from tideline.llm.tokencount import op3_token_counts
 from tideline.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_minhash": op2_minhash,
     "op3_token_counts": op3_token_counts,
+    "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_html_extraction": op7_html_extraction,
     "op8_language_id": op8_language_id,
+    "op9_nearest": op9_nearest,
     "op10_toxicity": op10_toxicity,
 }
 

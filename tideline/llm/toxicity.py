@@ -292,7 +292,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             score, spans = judge(batch.column(k), model)
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], names=[*keep, *made])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double", True).add("predicted", "int", True).add("toxic_spans", "string", True)
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double", True).add("predicted", "integer", True).add("toxic_spans", "string", True)
     return source.mapInArrow(run, schema)
 
 
