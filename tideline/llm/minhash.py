@@ -13,11 +13,12 @@ Steps, each over all rows:
    sets, recomputed for the classes concerned only.  The verified pairs give
    first components.
 4. Members of a bucket that are in different components after that could still
-   be linked to each other.  They are compared by signature in blocks of
-   ``BLOCK`` members: those outside the pivot's component with those in it, and
-   among themselves.  What agrees is verified too, so the components are those
-   of all pairs that share a bucket, while a group of near copies costs as many
-   pairs as it has members.
+   be linked to each other.  They are compared in blocks of ``BLOCK`` members,
+   by signature and then by their sets' hashes: those outside the pivot's
+   component with those in it, and among themselves.  A task passes on only
+   pairs that join components, one for each join, and these are verified too.
+   So the components are those of all pairs that share a bucket, while no pair
+   of a group of near copies becomes a row unless it joins something.
 
 With 30 bands of 4 minima a link at the threshold of 0.8 misses every bucket
 with probability 1.4e-7, and its signatures agree in fewer than ``AGREE`` of
@@ -220,8 +221,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def leftovers(members: DataFrame, buckets: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs of one bucket, in different components, whose signatures agree.
+def compact(sets: DataFrame) -> DataFrame:
+    """Sets as the low halves of their hashes: what two share can only grow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary(halves)], names=["id", "set"])
+
+    return sets.mapInArrow(run, "id long, set binary")
+
+
+def leftovers(members: DataFrame, buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, text: str) -> DataFrame | None:
+    """Pairs of one bucket that join different components, as far as the low
+    halves of their hashes tell; of pairs that join the same components, a
+    task names the first.  None if no bucket has more than one component.
 
     ``members``: (key, id); ``buckets``: (key, pivot) of buckets with more than
     two members; ``labels``: (id, component) of linked classes.
@@ -229,10 +243,16 @@ def leftovers(members: DataFrame, buckets: DataFrame, labels: DataFrame, signs:
     placed = members.join(buckets, "key").join(labels, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("component"))
     home = placed.where("id = pivot").select("key", F.col("component").alias("home"))
     placed = placed.join(home, "key").withColumn("outside", F.col("component") != F.col("home")).select("key", "id", "component", "outside")
-    sizes = placed.groupBy("key").agg(F.count_if(F.col("outside")).alias("o"), F.count_if(~F.col("outside")).alias("m")).where("o > 0 and o + m > 2")
+    sizes = placed.groupBy("key").agg(F.count_if(F.col("outside")).alias("o"), F.count_if(~F.col("outside")).alias("m"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("who")).where("o > 0 and o + m > 2")
+    sizes = sizes.groupBy("o", "m", "who").agg(F.min("key").alias("key")).drop("who")  # buckets of the same members count once
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     of = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.greatest(blocks(n), F.lit(1))).cast("int")
-    cells = placed.join(sizes, "key").withColumn("at", F.when(F.col("outside"), of("o")).otherwise(of("m")))
+    cells = common.cut(placed.join(sizes, "key").withColumn("at", F.when(F.col("outside"), of("o")).otherwise(of("m"))), "cells")
+    if cells.isEmpty():
+        return None
+    sketches = classes.join(cells.select("id").distinct(), "id", "left_semi").select("id", "digest", "signature").dropDuplicates(["id"])
+    sets = compact(full_sets(docs, sketches.select("id", "digest"), size, text))
+    known = common.cut(sketches.select("id", "signature").join(sets, "id"), "known")
     row = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
     at = F.col("at")
@@ -241,22 +261,30 @@ def leftovers(members: DataFrame, buckets: DataFrame, labels: DataFrame, signs:
         F.when(F.col("m") > 0, F.transform(upto("m"), lambda i: row("mo", i, at))).otherwise(F.array().cast("array<struct<kind:string,i:int,j:int>>")),
         F.transform(upto("o"), lambda j: row("oo", F.least(at, j), F.greatest(at, j))),
     )
-    dealt = cells.select("key", "id", "component", "outside", F.explode(F.when(F.col("outside"), outside).otherwise(inside)).alias("c")).select("key", "c.*", "id", "component", "outside").join(signs, "id")
+    dealt = cells.select("key", "id", "component", "outside", F.explode(F.when(F.col("outside"), outside).otherwise(inside)).alias("c")).select("key", "c.*", "id", "component", "outside").join(known, "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        comp = table.column("component").to_numpy()
-        out = table.column("outside").to_numpy()
+        ids, out = table.column("id").to_numpy(), table.column("outside").to_numpy()
+        names, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
         sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), MINIMA)
-        pairs_a, pairs_b = [], []
-        mo = table.column("kind")[0].as_py() == "mo"
+        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("set").combine_chunks()]
+        joined = np.arange(len(names))  # local component of each component
+        pairs: list[tuple[int, int]] = []
         left = np.flatnonzero(out)
-        right = np.flatnonzero(~out) if mo else left
+        right = np.flatnonzero(~out) if table.column("kind")[0].as_py() == "mo" else left
         for i in left.tolist():
-            near = right[((sign[right] == sign[i]).sum(axis=1) >= AGREE) & (comp[right] != comp[i])]
-            pairs_a += [int(x) for x in np.minimum(ids[near], ids[i])]
-            pairs_b += [int(x) for x in np.maximum(ids[near], ids[i])]
-        return pa.table({"a": pa.array(pairs_a, pa.int64()), "b": pa.array(pairs_b, pa.int64())})
+            near = right[joined[comp[right]] != joined[comp[i]]]
+            near = near[(sign[near] == sign[i]).sum(axis=1) >= AGREE]
+            for j in near.tolist():
+                if joined[comp[j]] == joined[comp[i]]:
+                    continue
+                x, y = sets[i], sets[j]
+                both = len(np.intersect1d(x, y, assume_unique=True)) + 2  # two hashes may share a half
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    pairs.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                    if 100 * (both - 4) >= percent * (len(x) + len(y) - both + 8):  # beyond doubt
+                        joined[joined == joined[comp[j]]] = joined[comp[i]]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     return dealt.groupBy("key", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -279,8 +307,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     near = common.cut(near.mapInArrow(agreeing, "a long, b long"), "near")
     links = verified(near, docs, classes, size, percent, text)
     labels = common.cut(components(links), "labels")
-    rest = common.cut(leftovers(shared.where("n > 2").select("key", "id"), buckets.where("n > 2").select("key", "pivot"), labels, signs), "rest")
-    if not rest.isEmpty():
+    rest = leftovers(shared.where("n > 2").select("key", "id"), buckets.where("n > 2").select("key", "pivot"), labels, classes, docs, size, percent, text)
+    if rest is not None and not (rest := common.cut(rest, "rest")).isEmpty():
         more = verified(rest, docs, classes, size, percent, text)
         labels = common.cut(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "labels")
     placed = ids.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
