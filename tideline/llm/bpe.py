@@ -204,14 +204,14 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, keep:
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    source = common.positional(docs, keep, text=text)
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
-        for batch in common.slices(batches, "__text", 8 << 20):
+        for batch in common.slices(batches, "text", 8 << 20):
             n, ids, decoded = encode(batch.column(k), path)
             if digests:
                 ids, decoded = (pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in col.cast(pa.binary())], pa.string()) for col in (ids, decoded))

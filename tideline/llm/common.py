@@ -69,6 +69,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def positional(df: DataFrame, keep: list[str], **more: str) -> DataFrame:
+    """Columns ``keep`` as k0, k1, ... and the columns ``more`` under their
+    keywords, so that no name of ``df`` can clash."""
+    return df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(f"`{c}`").alias(k) for k, c in more.items()])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each; one
     longer value stays whole in a slice of its own."""

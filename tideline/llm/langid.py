@@ -211,13 +211,13 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: list[str
     made = ["lang_pred", "score"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    source = common.positional(docs, keep, text=text)
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
         names = pa.array([*tables.languages, UNKNOWN], pa.string())
-        for batch in common.slices(batches, "__text", 8 << 20):
+        for batch in common.slices(batches, "text", 8 << 20):
             best, score = tables.predict(batch.column(k))
             picked = names.take(pa.array(np.where(best < 0, len(names) - 1, best)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], picked, pa.array(score, pa.float64())], names=[*keep, *made])

@@ -80,28 +80,29 @@ def packed(docs: DataFrame, length: str, key: str, buckets: int = BUCKETS, budge
     length and deals them into chunks."""
     made = ["bucket", "bucket_length", "batch", "position"]
     names = [c for c in docs.columns if c not in made]
-    size = F.coalesce(F.col(f"`{length}`"), F.lit(0)).cast("long")
-    rows = common.cut(docs.select(*[F.col(f"`{c}`") for c in names], size.alias("__n")), "lengths")
-    longest = rows.agg(F.max("__n")).first()[0] or 0
+    kept = [f"k{i}" for i in range(len(names))]
+    rows = common.positional(docs, names, n=length, key=key).withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    rows = common.cut(rows, "lengths")
+    longest = rows.agg(F.max("n")).first()[0] or 0
     unit = max(1, -(-(longest + 1) // BINS))
-    rounded = F.ceil(F.col("__n") / unit).cast("long") * unit
-    histogram = rows.groupBy(rounded.alias("n")).agg(F.count("*").alias("rows")).collect()  # at most BINS + 1 rows
-    ends = boundaries(np.array([r["n"] for r in histogram]), np.array([r["rows"] for r in histogram]), buckets)
+    rounded = F.ceil(F.col("n") / unit).cast("long") * unit
+    histogram = rows.groupBy(rounded.alias("rounded")).agg(F.count("*").alias("rows")).collect()  # at most BINS + 1 rows
+    ends = boundaries(np.array([r["rounded"] for r in histogram]), np.array([r["rows"] for r in histogram]), buckets)
     # A bucket's padded length: the end of its range, but no more than its longest row.
     table = F.from_json(F.lit(json.dumps(ends)), "array<bigint>")
-    rows = rows.withColumn("bucket", F.size(F.filter(table, lambda e: e < F.col("__n"))).cast("int"))
-    hashed = F.xxhash64(F.col(f"`{key}`"), F.lit("pack"))
-    stats = {r["bucket"]: (r["n"], r["longest"]) for r in rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("__n").alias("longest")).collect()}
+    rows = rows.withColumn("bucket", F.size(F.filter(table, lambda e: e < F.col("n"))).cast("int"))
+    hashed = F.xxhash64("key", F.lit("pack"))
+    stats = {r["bucket"]: (r["rows"], r["longest"]) for r in rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("n").alias("longest")).collect()}
     per = lambda f, kind: F.get(F.from_json(F.lit(json.dumps([f(stats.get(b, (0, 0))) for b in range(len(ends) + 1)])), f"array<{kind}>"), F.col("bucket"))
     rows = rows.withColumn("chunk", F.pmod(hashed, per(lambda s: max(1, -(-s[0] // CHUNK)), "bigint"))).withColumn("bucket_length", per(lambda s: s[1], "bigint"))
     room = per(lambda s: max(1, budget // max(1, s[1])), "bigint")
-    counts = rows.groupBy("bucket", "chunk").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("bucket", "chunk").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("bucket", "chunk", F.coalesce(before, F.lit(0)).alias("start"))
-    own = Window.partitionBy("bucket", "chunk").orderBy("__n", F.col(f"`{key}`"))
-    numbered = rows.withColumn("__r", F.row_number().over(own) - 1).join(starts, ["bucket", "chunk"])
-    at = F.col("start") + F.col("__r")
-    return numbered.select(*[F.col(f"`{c}`") for c in names], "bucket", "bucket_length", F.floor(at / room).alias("batch"), F.pmod(at, room).cast("int").alias("position"))
+    own = Window.partitionBy("bucket", "chunk").orderBy("n", "key")
+    numbered = rows.withColumn("r", F.row_number().over(own) - 1).join(starts, ["bucket", "chunk"])
+    at = F.col("start") + F.col("r")
+    return numbered.select(*[F.col(k).alias(c) for k, c in zip(kept, names, strict=True)], "bucket", "bucket_length", F.floor(at / room).alias("batch"), F.pmod(at, room).cast("int").alias("position"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,11 +233,11 @@ def assessed(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     made = [*COUNTS, "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    source = common.positional(docs, keep, text=text)
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "__text", 8 << 20):
+        for batch in common.slices(batches, "text", 8 << 20):
             m = measure(batch.column(k), path)
             failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
             none = m["n_tokens"] == 0

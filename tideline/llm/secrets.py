@@ -164,12 +164,13 @@ def scanned(docs: DataFrame, model: Model, text: str = "text", to: str = "secret
         ),
     )
     names = [c for c in (docs.columns if columns is None else columns) if c != to]
-    found = docs.select(*[F.col(f"`{c}`") for c in names], F.concat(assign, access).alias("__first"), runs.alias("__runs"))
-    base = F.concat("__first", F.coalesce(F.col("__runs.hex"), none))
-    found = found.select(*[F.col(f"`{c}`") for c in names], base.alias("__base"), F.coalesce(F.col("__runs.markov"), none).alias("__more"))
-    clear = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    ordered = F.array_sort(F.transform(F.concat("__base", clear), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return found.select(*[F.col(f"`{c}`") for c in names], F.transform(ordered, lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(f"array<{SPAN}>").alias(to))
+    kept = [f"k{i}" for i in range(len(names))]
+    found = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(kept, names, strict=True)], F.concat(assign, access).alias("first"), runs.alias("runs"))
+    found = found.select(*kept, F.concat("first", F.coalesce(F.col("runs.hex"), none)).alias("base"), F.coalesce(F.col("runs.markov"), none).alias("more"))
+    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
+    ordered = F.array_sort(F.transform(F.concat("base", clear), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    spans = F.transform(ordered, lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(f"array<{SPAN}>")
+    return found.select(*[F.col(k).alias(c) for k, c in zip(kept, names, strict=True)], spans.alias(to))
 
 
 def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:

@@ -171,10 +171,10 @@ def with_tokens(docs: DataFrame, text: str = "text", to: str = "n_tokens", path:
     path = path or vocabulary_path()
     keep = [c for c in (docs.columns if keep is None else keep) if c != to]
     common.arrow_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    source = common.positional(docs, keep, text=text)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "__text"):
+        for batch in common.slices(batches, "text"):
             n = pa.array(count(batch.column(len(keep)), path), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], names=[*keep, to])
 

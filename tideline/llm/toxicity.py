@@ -284,11 +284,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     made = ["score", "predicted", "toxic_spans"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    source = common.positional(docs, keep, text=text)
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "__text", 8 << 20):
+        for batch in common.slices(batches, "text", 8 << 20):
             score, spans = judge(batch.column(k), model)
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], names=[*keep, *made])
 
