@@ -181,3 +181,18 @@ def test_pixels_and_samples():
         pcm.watermarked(frame, 16, 16, bytes(600), 20, 20)
     assert pcm.from_float([0.0, 1.0, -2.0]) == b"\x00\x00\xff\x7f\x00\x80"
     assert pcm.downmixed(b"\x01\x00\x04\x00") == b"\x02\x00"
+
+
+def test_frames_and_policy():
+    import numpy as np
+
+    from tideline.functions import audio_policy, frames
+
+    order = [(0, True, "I0"), (6, False, "P6"), (2, False, "B2"), (4, False, "B4"), (0, True, "I0'"), (2, False, "P2'")]
+    assert list(frames.display_order(order)) == ["I0", "B2", "B4", "P6", "I0'", "P2'"]
+    assert [(i, k) for i, k, _ in frames.coding_order("IBBPBB")] == [(0, "I"), (3, "P"), (1, "B"), (2, "B"), (4, "P"), (5, "P")]
+    a = np.zeros((32, 32), np.uint8)
+    assert frames.scene_change(a, a)["changed"] == 0 and frames.scene_change(a, a + 100)["changed"] == 1 and frames.sad(a, a + 1) == 1024
+    assert audio_policy.classified(b"\xaf\x00cfg") == {"codec": "aac", "header": True, "payload": b"cfg", "track": None}
+    assert audio_policy.classified(b"\x95\x01Opus\x03xyz") == {"codec": "opus", "header": False, "payload": b"xyz", "track": 3}
+    assert audio_policy.transcodable("opus", "mp3", 48000, 2) is None and audio_policy.transcodable("flac", "aac", 48000, 2)

@@ -41,3 +41,44 @@ def no_upscale(width: Column, height: Column, fps: Column, to_width: int | None,
         if want:
             out = F.when(have < want, F.lit(f"output {name} exceeds the source")).otherwise(out)
     return out
+
+
+#: Four-character codes of enhanced audio tags.
+FOURCC = {b"mp4a": "aac", b".mp3": "mp3", b"Opus": "opus", b"fLaC": "unknown:flac", b"ac-3": "unknown:ac3", b"ec-3": "unknown:eac3"}
+
+
+def classified(body: bytes) -> dict:
+    """Codec, packet kind and payload of an audio tag body.  Sound format 9
+    is an enhanced tag: its low bits are the packet type, a four-character code
+    follows, and a multitrack packet (5) has a kind, its own type and a track
+    number before the payload."""
+    if not body:
+        return {"codec": "unknown", "header": False, "payload": b"", "track": None}
+    form = body[0] >> 4
+    if form != 9:
+        codec = SOUND_FORMATS.get(form, f"unknown:{form}")
+        if codec == "aac":
+            return {"codec": codec, "header": len(body) > 1 and body[1] == 0, "payload": body[2:], "track": None}
+        return {"codec": codec, "header": False, "payload": body[1:], "track": None}
+    kind, at, track = body[0] & 15, 1, None
+    multi = kind == 5
+    if multi:
+        kind, at = body[1] & 15, 2
+    codec = FOURCC.get(body[at : at + 4], "unknown:" + body[at : at + 4].decode("latin-1"))
+    at += 4
+    if multi:
+        track, at = body[at], at + 1
+    return {"codec": codec, "header": kind == 0, "payload": body[at:], "track": track}
+
+
+def transcodable(source: str, target: str, rate: int, channels: int) -> str | None:
+    """P10: why a transcode cannot be done; null if it can."""
+    if channels not in (1, 2):
+        return f"{channels} channels"
+    if source not in ("aac", "mp3", "opus", "pcm"):
+        return f"no decoder for {source}"
+    if target == "mp3" and rate not in (32000, 44100, 48000):
+        return f"mp3 at {rate} Hz"
+    if target == "opus" and rate != 48000:
+        return f"opus at {rate} Hz"
+    return None if target in ("aac", "mp3", "opus", "pcm") else f"no encoder for {target}"

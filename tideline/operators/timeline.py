@@ -349,3 +349,13 @@ def gaps_filled(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str,
     n = F.least(F.greatest(F.floor(gap / step) - 1, F.lit(0)), F.lit(most)).cast("long")
     wide = df.withColumn("__n", F.coalesce(n, F.lit(0)))
     return wide.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n")))).select(*by, (F.col(ts) + F.col("__i") * step).alias(ts), (F.col("__i") > 0).alias("filled"))
+
+
+def init_barrier(df: DataFrame, by: Sequence[str], order: Sequence[str], needs: Sequence[Column]) -> DataFrame:
+    """Rows from the one on which every condition in ``needs`` has been met
+    by it or a row before it."""
+    seen = [F.max(n.cast("int")).over(_running(by, order)) for n in needs]
+    met = seen[0] == 1
+    for s in seen[1:]:
+        met = met & (s == 1)
+    return df.withColumn("__met", met).where("__met").drop("__met")

@@ -488,3 +488,23 @@ def latest_gop_cache(spark, sf_dir):  # T7
 @query(f"WITH {TAGS_SQL}, g AS (SELECT stream_id, ts, coalesce(least(greatest((lead(ts) OVER (PARTITION BY stream_id ORDER BY ts, seq) - ts) // 43200000000 - 1, 0), 5), 0) AS n FROM tags) SELECT stream_id, ts + i * 43200000000 AS ts, i > 0 AS filled FROM g, LATERAL (SELECT unnest(range(0, n + 1)) AS i)")
 def gap_fill(spark, sf_dir):  # T12
     return T.gaps_filled(tags(spark, sf_dir), BY, ORDER, "ts", DAY // 2, 5)
+
+
+@query(f"WITH {TAGS_SQL}, m AS (SELECT *, max(is_header::INT) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS h, max(is_key::INT) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k, max((tag_type = 8)::INT) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS a FROM tags) SELECT stream_id, seq FROM m WHERE h + k + a = 3")
+def init_barrier(spark, sf_dir):  # T9
+    return T.init_barrier(tags(spark, sf_dir), BY, ORDER, [header(), F.col("is_key"), audio()]).select("stream_id", "seq")
+
+
+@query("WITH a AS (SELECT o_orderkey, o_custkey, o_orderdate AS d, o_totalprice FROM orders), b AS (SELECT c_custkey, o_orderdate + INTERVAL 30 DAY AS d, o_orderkey AS prev_order FROM orders JOIN customer ON o_custkey = c_custkey) SELECT a.o_orderkey, max(b.prev_order) FILTER (b.d = (SELECT max(b2.d) FROM b b2 WHERE b2.c_custkey = a.o_custkey AND b2.d <= a.d)) AS prev_order FROM a LEFT JOIN b ON b.c_custkey = a.o_custkey AND b.d <= a.d GROUP BY a.o_orderkey")
+def asof_settled_order(spark, sf_dir):  # J4: a customer's last order of 30 days before or earlier
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    left = o.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("d"))
+    right = o.select("o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("d"), F.col("o_orderkey").alias("prev_order"))
+    return J.asof_backward(left, right, ["o_custkey"], "d", ["prev_order"]).select("o_orderkey", "prev_order")
+
+
+@query("SELECT o_orderkey, l_linenumber, l_quantity, o_totalprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 45")
+def track_metadata_join(spark, sf_dir):  # J6 at table scale: filters and columns reach the scans
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_quantity")
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity", "o_totalprice")
