@@ -499,4 +499,4 @@ def test_pipeline(spark, tmp_path):
     odd_docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c d e f", "en", "s", 11), (3, "a b c d e f", "en", "s", 11), (None, "some words here", "en", "s", 15)], DOCS)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         odd_docs = common.cut(stage(spark, odd_docs, sf), "odd")
-    assert odd_docs.where("doc_id is null").count() == 1
+    assert odd_docs.where("doc_id is null").count() == 1 and odd_docs.where("doc_id = 3").count() == 1
