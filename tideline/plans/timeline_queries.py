@@ -58,7 +58,7 @@ W = "WINDOW w AS (PARTITION BY stream_id ORDER BY ts, seq)"
 @query(
     f"""WITH {TAGS_SQL} SELECT stream_id,
  CASE WHEN count(v) >= 2 AND max(v) > min(v) THEN (count(v) - 1) * 86400000000.0::DOUBLE / (max(v) - min(v)) END AS fps,
- count_if(is_key) AS gop_count, max(ts) / 86400000000.0::DOUBLE AS real_duration
+ count_if(is_key)::BIGINT AS gop_count, max(ts) / 86400000000.0::DOUBLE AS real_duration
  FROM (SELECT *, CASE WHEN tag_type = 9 THEN ts END AS v FROM tags) GROUP BY stream_id"""
 )
 def stream_stats(spark, sf_dir):  # A1-A3
@@ -83,12 +83,12 @@ def track_duration(spark, sf_dir):  # A5
     return A.track_durations(tags(spark, sf_dir), ["stream_id", "tag_type"], ORDER, "ts", 1000)
 
 
-@query(f"WITH {TAGS_SQL} SELECT stream_id, count(*) AS tags, sum(size)::BIGINT AS bytes, count_if(tag_type = 8) AS audio, count_if(tag_type = 9) AS video, count_if(size > 10000) AS dropped FROM tags GROUP BY stream_id")
+@query(f"WITH {TAGS_SQL} SELECT stream_id, count(*) AS tags, sum(size)::BIGINT AS bytes, count_if(tag_type = 8)::BIGINT AS audio, count_if(tag_type = 9)::BIGINT AS video, count_if(size > 10000)::BIGINT AS dropped FROM tags GROUP BY stream_id")
 def stream_counters(spark, sf_dir):  # A8
     return A.counters(tags(spark, sf_dir), BY, "size", audio(), video(), F.col("size") > 10000)
 
 
-@query(f"WITH {TAGS_SQL}, f AS (SELECT stream_id, tag_type, min((ts, seq)) AS f FROM tags GROUP BY ALL) SELECT stream_id, tag_type, ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY f) AS position FROM f")
+@query(f"WITH {TAGS_SQL}, f AS (SELECT stream_id, tag_type, min((ts, seq)) AS f FROM tags GROUP BY ALL) SELECT stream_id, tag_type, (ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY f))::INT AS position FROM f")
 def distinct_paths(spark, sf_dir):  # A9, O10
     return A.distinct_in_order(tags(spark, sf_dir), BY, ORDER, "tag_type")
 
@@ -286,7 +286,7 @@ def fmp4_segments_split(spark, sf_dir):  # W12
     f"""WITH RECURSIVE {_TRACKS}, r AS (SELECT stream_id, tag_type, seq, n, ts AS s, 1 AS chunk, false AS closed FROM k WHERE n = 1
  UNION ALL SELECT t.stream_id, t.tag_type, t.seq, t.n, CASE WHEN r.closed THEN t.ts ELSE r.s END, CASE WHEN r.closed THEN r.chunk + 1 ELSE r.chunk END, NOT r.closed AND t.ts - r.s >= 43200000000
  FROM r JOIN k t ON t.stream_id = r.stream_id AND t.tag_type = r.tag_type AND t.n = r.n + 1)
- SELECT stream_id, seq, chunk, ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY chunk, -tag_type, seq) AS position FROM r"""
+ SELECT stream_id, seq, chunk, (ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY chunk, -tag_type, seq))::INT AS position FROM r"""
 )
 def chunk_interleave(spark, sf_dir):  # W13
     from pyspark.sql import Window
@@ -407,7 +407,7 @@ def keyframe_semi(spark, sf_dir):  # J3
     return J.sync_flags(t, sync, BY, "rn", "is_sync").select("stream_id", "seq", "is_sync")
 
 
-@query(f"WITH {TAGS_SQL}, h AS (SELECT *, ts // 3600000000 AS h FROM tags WHERE tag_type <> 18) SELECT stream_id, seq, ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY h, CASE tag_type WHEN 9 THEN 0 ELSE 1 END, seq) AS position FROM h")
+@query(f"WITH {TAGS_SQL}, h AS (SELECT *, ts // 3600000000 AS h FROM tags WHERE tag_type <> 18) SELECT stream_id, seq, (ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY h, CASE tag_type WHEN 9 THEN 0 ELSE 1 END, seq))::INT AS position FROM h")
 def merge_av(spark, sf_dir):  # J5, O1, O9
     t = tags(spark, sf_dir).withColumn("h", F.floor(F.col("ts") / HOUR))
     return J.merged([(t.where(video()), 0), (t.where(audio()), 1)], BY, "h", ["seq"]).select("stream_id", "seq", "position")
@@ -424,7 +424,7 @@ def fan_out(spark, sf_dir):  # J8, K11
     return J.fan_out(tags(spark, sf_dir).where("is_key"), ["archive", "relay"]).select("stream_id", "seq", "sink")
 
 
-@query("SELECT p_name, ROW_NUMBER() OVER (ORDER BY regexp_replace(n, '\\d+$', ''), regexp_extract(n, '(\\d+)$', 1)::BIGINT, p_partkey) AS position FROM (SELECT p_name, p_partkey, p_brand || '_' || p_size AS n FROM part WHERE p_partkey <= 200)")
+@query("SELECT p_name, (ROW_NUMBER() OVER (ORDER BY regexp_replace(n, '\\d+$', ''), regexp_extract(n, '(\\d+)$', 1)::BIGINT, p_partkey))::INT AS position FROM (SELECT p_name, p_partkey, p_brand || '_' || p_size AS n FROM part WHERE p_partkey <= 200)")
 def natural_sort(spark, sf_dir):  # O5
     from pyspark.sql import Window
 
@@ -454,7 +454,7 @@ def reorder_buffer(spark, sf_dir):  # T1, O4: recursive with a buffer; tested ag
     return T.reordered(arrivals(spark, sf_dir), BY, ARRIVAL, "ts", DAY, 16).select("stream_id", "seq", "position", "ts_out")
 
 
-@query(f"WITH {TAGS_SQL}, s AS (SELECT stream_id, seq, seq // 40 AS n FROM tags), d AS (SELECT *, n - lag(n) OVER (PARTITION BY stream_id ORDER BY n, seq) AS d FROM s) SELECT stream_id, count_if(d = 0) AS repeated, sum(greatest(coalesce(d, 1) - 1, 0))::BIGINT AS missing FROM d GROUP BY stream_id")
+@query(f"WITH {TAGS_SQL}, s AS (SELECT stream_id, seq, seq // 40 AS n FROM tags), d AS (SELECT *, n - lag(n) OVER (PARTITION BY stream_id ORDER BY n, seq) AS d FROM s) SELECT stream_id, count_if(d = 0)::BIGINT AS repeated, sum(greatest(coalesce(d, 1) - 1, 0))::BIGINT AS missing FROM d GROUP BY stream_id")
 def sequence_merge(spark, sf_dir):  # T3
     t = tags(spark, sf_dir).withColumn("n", F.floor(F.col("seq") / 40))
     return T.merged_in_sequence(t, BY, "n").groupBy("stream_id").agg(F.count_if(F.col("repeated")).alias("repeated"), F.sum("missing").alias("missing"))
