@@ -180,7 +180,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
     asked = queries.mapInArrow(sent, "query_id long, q array<double>, block long").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)))
     table = F.from_json(F.lit(str([[int(a), int(b)] for a, b in zip(first, parts, strict=True)])), "array<array<long>>")
     at = F.get(table, F.col("cell"))
-    blocks = indexed.select("embedding", "ids", (F.get(at, F.lit(0)) + F.pmod(F.xxhash64("embedding"), F.get(at, F.lit(1)))).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).cast("long").alias("lot"))
+    blocks = indexed.select("embedding", "ids", (F.get(at, F.lit(0)) + F.pmod(F.xxhash64("embedding"), F.get(at, F.lit(1)))).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("lot"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
