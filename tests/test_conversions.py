@@ -91,3 +91,29 @@ def test_live_source(spark, tmp_path):
         q.stop()
         server.shutdown()
     assert flv.probe(data)["has_video"]
+
+
+def test_recoding_by_group(spark):
+    import numpy as np
+
+    from tideline.functions import h264, pcm
+    from tideline.operators import gop
+
+    rng = np.random.default_rng(0)
+    frames = [rng.integers(0, 256, 40 * 24 * 3 // 2, dtype=np.uint8).tobytes() for _ in range(9)]
+    frames[3] = bytes(40 * 24 * 3 // 2)  # zeros need emulation prevention
+    sps = nal.sps(h264.parameter_sets(40, 24)[0])
+    assert (sps["width"], sps["height"]) == (40, 24)
+    units = [h264.encode(f, 40, 24, i) for i, f in enumerate(frames)]
+    assert [h264.decode(u, sps) for u in units] == frames
+    with pytest.raises(ValueError):
+        h264.decode(units[0][:200], sps)
+    with pytest.raises(ValueError):
+        h264.decode(b"\x65\x88\x84\x00\x33", sps)
+    rows = [("a", i, 40 * i, i % 3 == 0, u) for i, u in enumerate(units)]
+    mark = (bytes([7]) * 6, 2, 2)
+    out = gop.recoded(spark.createDataFrame(rows, "stream_id string, seq long, ts_ms long, is_key boolean, data binary"), 40, 24, 20, 12, mark=mark).orderBy("seq").collect()
+    small = nal.sps(h264.parameter_sets(20, 12)[0])
+    assert [h264.decode(bytes(r.data), small) for r in out] == [pcm.watermarked(pcm.scaled(f, 40, 24, 20, 12), 20, 12, *mark) for f in frames]
+    slow = gop.recoded(spark.createDataFrame(rows, "stream_id string, seq long, ts_ms long, is_key boolean, data binary"), 40, 24, 20, 12, fps=5).count()
+    assert 3 <= slow < 9
