@@ -168,6 +168,17 @@ def test_minhash_query_and_odd_rows(spark, sf):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_minhash_sql(spark, sf):
+    import duckdb
+
+    from tideline.llm import queries
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    mine = sorted(tuple(r) for r in minhash.op2_minhash(spark, sf).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert mine == sorted(c.execute(queries.SQL["op2_minhash"]).fetchall())
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)]
     found = {r.id: r.component for r in minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
