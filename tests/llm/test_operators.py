@@ -335,6 +335,8 @@ def test_html_furniture():
     three<p>four<br>five<aside>side</aside><script>if (a < b) "</p>"</script><form>f</form><ul><li>x<li>y</ul><div id="comments"><p>rant</p></div></main><footer>foot</footer>"""
     assert htmlmain.extract(source, []) == "A & B\none two three\nfour five\nx\ny"
     assert htmlmain.extract("<div>plain<!-- no --> text</div><p>more", []) == "plain text\nmore"
+    deep = "<div>" * 5000 + "x<nav>menu</nav>y" + "</div>" * 5000
+    assert htmlmain.extract(deep, []) == "x\ny"
     assert htmlmain.extract(None, []) == htmlmain.extract("", []) == "" and htmlmain.extract("a < b &lt; c", []) == "a < b < c"
 
 

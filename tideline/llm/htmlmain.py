@@ -41,6 +41,8 @@ PAGES, SHARE = 3, 0.5
 TOKENS = 2
 #: Share of a page's free text under the main element, where none is named so.
 WEIGHT = 0.6
+#: Elements within elements that paths tell apart.
+DEPTH = 200
 #: Elements by their role.
 FURNITURE = frozenset("nav header footer aside form script style noscript template head title button select option iframe svg canvas dialog menu object video audio".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
@@ -117,7 +119,10 @@ def parsed(source: str) -> Page:
                 stack.pop()
             path = stack[-1][1] if stack else ""
         name = tag + (f"[{label}]" if label else "") + ("!" if furniture or tag in FURNITURE else "")
-        own = f"{path}/{name}"
+        if len(stack) < DEPTH:
+            own = f"{path}/{name}"
+        else:  # too deep to be a token of its own; furniture stays marked
+            own = path if free(name) or not free(path) else f"{path}/!"
         page.tokens[own] += 1
         if tag in VOID or m[3].endswith("/"):
             continue
