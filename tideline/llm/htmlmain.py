@@ -56,6 +56,7 @@ MARKS = frozenset(
     "newsletter notice overlay pagination popup promo promotion recommended related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN = frozenset({"article", "main"})
+HOLDERS = frozenset("body div section td center main article".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -250,7 +251,8 @@ def mains(template: list[dict]) -> list[str]:
     named_main = main_of([t["token"] for t in single])
     if named_main:
         return [named_main]
-    heavy = [t for t in single if t["weight"] >= WEIGHT * max(1, t["text"])]
+    holds = lambda path: re.split(r"[\[!]", path.rsplit("/", 1)[-1])[0] in HOLDERS
+    heavy = [t for t in single if holds(t["token"]) and t["weight"] >= WEIGHT * max(1, t["text"])]
     deepest = max(heavy, key=lambda t: (t["token"].count("/"), t["weight"], t["token"]), default=None)
     return [deepest["token"]] if deepest else []
 
