@@ -157,8 +157,9 @@ def source():
     """The Python data source ``tag_container``: one partition per file.
 
     Options: path (a file or folder), payload (false: skip bodies), mode
-    (FAILFAST: a cut tag is an error).  Files are read by the executors through
-    ``fsspec``-free local paths; use ``scanned`` for paths that only Spark opens.
+    (FAILFAST: a cut tag is an error).  Executors open the files themselves, in
+    bounded memory, so the path must be a mounted folder; ``scanned`` takes any
+    path that Spark can read, a whole file at a time.
     """
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
