@@ -13,7 +13,10 @@ a vector that repeats a million times costs one product per query.
 
 Classes are dealt into blocks of bounded size within ranges of cells; each
 query goes to the blocks of its visited cells, and a task holds one block of
-classes and a slice of queries.  Only each block's best ``k`` of a query leave it.
+classes and a slice of queries.  Only each block's best ``k`` of a query leave
+it, and of these only what reaches the query's floor: the score that its ``k``
+best other vectors of the fitting sample, within the visited cells, reach.
+They are candidates too, so the floor never cuts off one of the ``k`` found.
 
 Defined results: vectors that are null, empty, zero, of another length than
 the most common one, or that hold null or non-finite components take no part.
@@ -39,7 +42,7 @@ CENTROIDS, SAMPLE, ROUNDS = 16, 8192, 8
 #: because recall of 0.9 must also hold where vectors have no cluster structure.
 VISIT = 0.8
 #: Vectors of one block, and queries compared with it at a time.
-BLOCK, QUERIES = 2048, 512
+BLOCK, QUERIES = 8192, 256
 #: Queries of one task, about.
 LOT = 8192
 
@@ -165,19 +168,25 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
     queries = rows.where(is_query)
     lots = max(1, -(-queries.count() // LOT))
 
+    sample_cells = index.cell(x)
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, to = [], []
+            at, to, floors = [], [], []
             for i, q in enumerate(matrix(batch.column(1), width)):
-                blocks = sorted({int(first[c]) + p for c in index.visited(q, visit) for p in range(int(parts[c]))})
+                visited = index.visited(q, visit)
+                blocks = sorted({int(first[c]) + p for c in visited for p in range(int(parts[c]))})
+                known = x[np.isin(sample_cells, visited)] @ q
+                floor = np.partition(known, len(known) - k - 1)[len(known) - k - 1] if len(known) > k else -np.inf  # one may be the query
                 at += [i] * len(blocks)
                 to += blocks
+                floors += [float(floor) - 1e-9] * len(blocks)
             taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to, pa.int64())], names=["query_id", "q", "block"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to, pa.int64()), pa.array(floors, pa.float64())], names=["query_id", "q", "block", "floor"])
 
-    asked = queries.mapInArrow(sent, "query_id long, q array<double>, block long").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)))
+    asked = queries.mapInArrow(sent, "query_id long, q array<double>, block long, floor double").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)))
     table = F.from_json(F.lit(str([[int(a), int(b)] for a, b in zip(first, parts, strict=True)])), "array<array<long>>")
     at = F.get(table, F.col("cell"))
     blocks = indexed.select("embedding", "ids", (F.get(at, F.lit(0)) + F.pmod(F.xxhash64("embedding"), F.get(at, F.lit(1)))).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("lot"))
@@ -190,7 +199,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
             flat = np.fromiter((v for x in lists for v in x), np.int64, int(lengths.sum()))
             owner = np.repeat(np.arange(len(lists)), lengths)
             names = right.column("query_id").to_numpy()
-            asking = matrix(right.column("q"), width)
+            asking, floors = matrix(right.column("q"), width), right.column("floor").to_numpy()
             for a in range(0, len(names), QUERIES):
                 scores = np.einsum("ij,kj->ik", asking[a : a + QUERIES], vectors, optimize=True)
                 for i, s in enumerate(scores):
@@ -199,7 +208,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
                     mine = np.isin(owner, pick)
                     v = flat[mine]
                     exact = (vectors[owner[mine]] * asking[a + i]).sum(axis=1)
-                    own = v != names[a + i]
+                    own = (v != names[a + i]) & (exact >= floors[a + i])
                     v, exact = v[own], exact[own]
                     order = np.lexsort((v, -exact))[:k]
                     out_q += [names[a + i]] * len(order)
