@@ -43,6 +43,8 @@ TOKENS = 2
 WEIGHT = 0.6
 #: Elements within elements that paths tell apart.
 DEPTH = 200
+#: Places in which a host's pages meet its template.
+SALTS = 32
 #: Elements by their role.
 FURNITURE = frozenset("nav header footer aside form script style noscript template head title button select option iframe svg canvas dialog menu object video audio".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
@@ -263,8 +265,10 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", keep: list
     keep = [c for c in (pages.columns if keep is None else keep) if c not in made]
     common.arrow_batches(pages.sparkSession)
     found = templates(pages, url, html)
-    rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"))
-    rows = rows.join(found, "host", "left").select(*[f"k{i}" for i in range(len(keep))], "html", F.to_json("template").alias("template"))
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"), F.pmod(F.xxhash64(F.col(f"`{html}`"), F.col(f"`{url}`")), F.lit(SALTS)).cast("int").alias("salt"))
+    # A host may have a third of all pages: its pages meet its template in SALTS places.
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(found, ["host", "salt"], "left").select(*[f"k{i}" for i in range(len(keep))], "html", F.to_json("template").alias("template"))
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
