@@ -37,7 +37,7 @@ LONG = 2048
 #: Leaf length of a tree, in characters.
 LEAF = 1024
 #: Distinct chunks whose encodings one Python worker keeps.
-CACHE = 150_000
+CACHE = 80_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -204,23 +204,22 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, keep:
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source = common.positional(docs, keep, text=text)
-    k = len(keep)
+    source, kept = common.through(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
-        for batch in common.slices(batches, "text", 8 << 20):
-            n, ids, decoded = encode(batch.column(k), path)
+        for batch in common.slices(batches, "text", 4 << 20):
+            n, ids, decoded = encode(batch.column("text"), path)
             if digests:
                 ids, decoded = (pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in col.cast(pa.binary())], pa.string()) for col in (ids, decoded))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(n, pa.int64()), ids, decoded], names=[*keep, *made])
+            yield pa.RecordBatch.from_arrays([*kept(batch), pa.array(n, pa.int64()), ids, decoded], names=[*keep, *made])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name, kind in zip(made, ("long", "string", "string"), strict=True):
         schema = schema.add(name, kind, True)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: common.trimmed(run(batches)), schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ vectorised gathers, so cost follows the vocabulary of a batch, not its length.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and Python.
 BATCH_ROWS = 4096
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,24 @@ def positional(df: DataFrame, keep: list[str], **more: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(f"`{c}`").alias(k) for k, c in more.items()])
 
 
+def through(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[pa.Array]]]:
+    """A frame of the columns ``keep`` and ``text`` for Python, where a text that
+    is also kept travels once, and what gives a batch's columns ``keep``."""
+    others = [c for c in keep if c != text]
+    order = [len(others) if c == text else others.index(c) for c in keep]
+    return positional(df, others, text=text), lambda batch: [batch.column(i) for i in order]
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; at the end the worker, which lives on, gives its free memory
+    back to the system where the C library can do so."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each; one
     longer value stays whole in a slice of its own."""

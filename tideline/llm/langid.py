@@ -211,19 +211,18 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: list[str
     made = ["lang_pred", "score"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source = common.positional(docs, keep, text=text)
-    k = len(keep)
+    source, kept = common.through(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
         names = pa.array([*tables.languages, UNKNOWN], pa.string())
-        for batch in common.slices(batches, "text", 8 << 20):
-            best, score = tables.predict(batch.column(k))
+        for batch in common.slices(batches, "text", 4 << 20):
+            best, score = tables.predict(batch.column("text"))
             picked = names.take(pa.array(np.where(best < 0, len(names) - 1, best)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], picked, pa.array(score, pa.float64())], names=[*keep, *made])
+            yield pa.RecordBatch.from_arrays([*kept(batch), picked, pa.array(score, pa.float64())], names=[*keep, *made])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string", True).add("score", "double", True)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: common.trimmed(run(batches)), schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def profiled(docs: DataFrame, size: int, text: str) -> DataFrame:
     common.arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 8 << 20):
+        for batch in common.slices(batches, "text", 4 << 20):
             sets = shingle_sets(batch.column(1), size)
             full = np.flatnonzero([len(s) > 0 for s in sets])
             digests, signs, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -144,7 +144,7 @@ def profiled(docs: DataFrame, size: int, text: str) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "signature", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(lambda batches: common.trimmed(run(batches)), "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str) -> DataFrame:
@@ -152,13 +152,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str) -> DataF
     read again only if its id is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 8 << 20):
+        for batch in common.slices(batches, "text", 4 << 20):
             sets = shingle_sets(batch.column(1), size)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), binary(digests), binary([s.tobytes() for s in sets])], names=["id", "digest", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(wanted.select("id"), "id", "left_semi")
-    made = rows.mapInArrow(run, "id long, digest binary, set binary")
+    made = rows.mapInArrow(lambda batches: common.trimmed(run(batches)), "id long, digest binary, set binary")
     # An id may be repeated with other texts: the class's digest decides.
     return made.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "set")
 

@@ -28,7 +28,7 @@ from tideline.llm import common
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "[#*$%&|<>]"
 #: Distinct words whose tokens one Python worker keeps.
-CACHE = 150_000
+CACHE = 80_000
 #: Tokens from which on a text is expected to show the full entropy of prose.
 REACH = 512
 
@@ -233,17 +233,16 @@ def assessed(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     made = [*COUNTS, "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source = common.positional(docs, keep, text=text)
-    k = len(keep)
+    source, kept = common.through(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 8 << 20):
-            m = measure(batch.column(k), path)
+        for batch in common.slices(batches, "text", 4 << 20):
+            m = measure(batch.column("text"), path)
             failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
             none = m["n_tokens"] == 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:k],
+                    *kept(batch),
                     *[pa.array(m[c], pa.int64()) for c in COUNTS],
                     pa.array(failed),
                     pa.array(~failed & verdict(m, bands)),
@@ -257,7 +256,7 @@ def assessed(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name in made:
         schema = schema.add(name, "long" if name in COUNTS or name == "n_tokens" else "boolean" if name in ("base_failed", "kept") else "string" if name == "script" else "double", True)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: common.trimmed(run(batches)), schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

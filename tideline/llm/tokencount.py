@@ -33,7 +33,7 @@ from tideline.llm import common
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words whose counts one Python worker keeps.
-CACHE = 400_000
+CACHE = 120_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -171,15 +171,15 @@ def with_tokens(docs: DataFrame, text: str = "text", to: str = "n_tokens", path:
     path = path or vocabulary_path()
     keep = [c for c in (docs.columns if keep is None else keep) if c != to]
     common.arrow_batches(docs.sparkSession)
-    source = common.positional(docs, keep, text=text)
+    source, kept = common.through(docs, keep, text)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            n = pa.array(count(batch.column(len(keep)), path), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], names=[*keep, to])
+            n = pa.array(count(batch.column("text"), path), pa.int64())
+            yield pa.RecordBatch.from_arrays([*kept(batch), n], names=[*keep, to])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(to, "long", True)
-    return source.mapInArrow(counted, schema)
+    return source.mapInArrow(lambda batches: common.trimmed(counted(batches)), schema)
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:

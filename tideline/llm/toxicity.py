@@ -284,16 +284,15 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     made = ["score", "predicted", "toxic_spans"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source = common.positional(docs, keep, text=text)
-    k = len(keep)
+    source, kept = common.through(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 8 << 20):
-            score, spans = judge(batch.column(k), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], names=[*keep, *made])
+        for batch in common.slices(batches, "text", 4 << 20):
+            score, spans = judge(batch.column("text"), model)
+            yield pa.RecordBatch.from_arrays([*kept(batch), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], names=[*keep, *made])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double", True).add("predicted", "integer", True).add("toxic_spans", "string", True)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: common.trimmed(run(batches)), schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
