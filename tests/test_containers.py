@@ -58,6 +58,29 @@ def test_tags(spark, tmp_path):
     assert sorted(b for *_, b, _ in flv.read_tags(io.BytesIO(back))) == sorted(r[2] for r in rows)
 
 
+def test_tags_of_a_long_stream(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tideline.plans import registry
+
+    n = 230_000  # of one user: more than one part
+    e = spark.read.parquet(f"{sf}/events.parquet").limit(1)
+    kinds = F.array(*[F.lit(k) for k in ("purchase", "view", "error")])
+    long = e.crossJoin(spark.range(n)).withColumn("event_id", F.col("id")).withColumn("user_id", F.lit(7).cast(e.schema["user_id"].dataType)).withColumn("ts", F.col("ts") + F.make_interval(secs=F.col("id"))).withColumn("event_type", F.get(kinds, (F.col("id") % 3).cast("int"))).select(e.columns)
+    long.write.parquet(f"{tmp_path}/events.parquet")
+    out = registry.QUERIES["tag_round_trip"](spark, str(tmp_path))
+    assert out.agg(F.count("*"), F.count_distinct("number"), F.max("number")).first()[:] == (n, n, n - 1)
+    r = registry.QUERIES["tag_probe"](spark, str(tmp_path)).collect()
+    audio = n // 3
+    assert [(x.stream_id, x.tags, x.bytes) for x in r] == [(7, n, 9 * (n - audio) + 6 * audio)]
+    # Parts cut inside a header and a body; offsets and numbers are the whole file's.
+    data = flv.file_header() + b"".join(flv.tag_bytes(9, i, b"x" * i) for i in range(9))
+    cut = spark.createDataFrame([("a", 0, data[:5]), ("a", 1, data[5:60]), ("a", 2, data[60:61]), ("a", 3, data[61:-4]), ("b", 0, data)], "path string, part int, content binary")
+    for payload in (True, False):
+        got = flv.scanned_parts(cut, payload).orderBy("stream_id", "seq").collect()
+        assert [(g.seq, g.ts_ms, g.data_size, g.byte_offset) for g in got] == 2 * [(i, t, s, at) for i, (_, t, s, _, at) in enumerate(flv.read_tags(io.BytesIO(data)))]
+
+
 def test_sample_tables(spark):
     video = [(b"v" * (i + 1), 3000, 100 * (i % 2), i % 3 == 0) for i in range(9)]
     sound = [(b"a" * 4, 1024, 0, True) for _ in range(5)]

@@ -35,9 +35,9 @@ def _bodies(spark, sf_dir):
     f"""WITH {TAGS_SQL} SELECT stream_id, tag_type, ((ts // 1000) % 4294967296)::BIGINT AS ts_ms, is_key, tag_type <> 18 AS is_media, CASE tag_type WHEN 9 THEN CASE WHEN is_key THEN 0 ELSE -2 END END::BIGINT AS cts, seq::BIGINT AS number FROM tags"""
 )
 def tag_round_trip(spark, sf_dir):  # K1, S1, S2, P2-P7
-    files = flv.files_of(_bodies(spark, sf_dir), "stream_id", ("ts_ms", "seq")).where("part = 0")
-    named = files.select(F.col("stream_id").cast("string").alias("path"), "content")
-    out = flv.with_packets(flv.scanned(named))
+    parts = flv.files_of(_bodies(spark, sf_dir), "stream_id", ("ts_ms", "seq"))
+    named = parts.select(F.col("stream_id").cast("string").alias("path"), "part", "content")
+    out = flv.with_packets(flv.scanned_parts(named))
     at = F.when(F.col("tag_type") == 9, 6).otherwise(3)
     number = F.conv(F.hex(F.substring("body", at, F.lit(4))), 16, 10).cast("bigint")
     return out.select(F.col("stream_id").cast("bigint").alias("stream_id"), "tag_type", "ts_ms", "is_key", "is_media", "cts", number.alias("number"))
@@ -45,9 +45,9 @@ def tag_round_trip(spark, sf_dir):  # K1, S1, S2, P2-P7
 
 @query(f"WITH {TAGS_SQL} SELECT stream_id, true AS has_audio, true AS has_video, count(*)::BIGINT AS tags, sum(CASE tag_type WHEN 9 THEN 9 ELSE 6 END)::BIGINT AS bytes FROM tags GROUP BY stream_id")
 def tag_probe(spark, sf_dir):  # S2, S4: header-only scan
-    files = flv.files_of(_bodies(spark, sf_dir), "stream_id", ("ts_ms", "seq")).where("part = 0").select(F.col("stream_id").cast("string").alias("path"), "content")
-    flags = flv.probed(files).select(F.col("path").alias("stream_id"), "has_audio", "has_video")
-    sizes = flv.scanned(files, payload=False).groupBy("stream_id").agg(F.count("*").alias("tags"), F.sum("data_size").cast("bigint").alias("bytes"))
+    parts = flv.files_of(_bodies(spark, sf_dir), "stream_id", ("ts_ms", "seq")).select(F.col("stream_id").cast("string").alias("path"), "part", "content")
+    flags = flv.probed(parts.where("part = 0")).select(F.col("path").alias("stream_id"), "has_audio", "has_video")
+    sizes = flv.scanned_parts(parts, payload=False).groupBy("stream_id").agg(F.count("*").alias("tags"), F.sum("data_size").cast("bigint").alias("bytes"))
     return flags.join(sizes, "stream_id").select(F.col("stream_id").cast("bigint").alias("stream_id"), "has_audio", "has_video", "tags", "bytes")
 
 

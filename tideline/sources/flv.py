@@ -20,6 +20,8 @@ def kept(tags: DataFrame, by: Sequence[str], order: Sequence[str], has_audio: bo
 
 
 HEADER = b"FLV\x01"
+#: Bytes after which ``files_of`` ends a part.
+PART = 4 << 20
 DDL = "stream_id string, seq bigint, tag_type int, ts_ms bigint, data_size int, body binary, byte_offset bigint"
 
 
@@ -110,7 +112,7 @@ def files_of(tags: DataFrame, by: str = "stream_id", order: Sequence[str] = ("ts
                         out.append((key, part, bytes(buffer)))
                     key, part, buffer = own, 0, bytearray(file_header())
                 buffer += tag_bytes(kind, ts, body)
-                if len(buffer) >= 4 << 20:
+                if len(buffer) >= PART:
                     out.append((key, part, bytes(buffer)))
                     part, buffer = part + 1, bytearray()
             if out:
@@ -199,6 +201,63 @@ def source():
     return TagContainer
 
 
+def scanned_parts(parts: DataFrame, payload: bool = True, strict: bool = False) -> DataFrame:
+    """Tags of the streams of (path, part, content), cut into parts
+    anywhere.  Numbers and offsets run on from part to part; one part and an
+    unfinished tag are held at a time."""
+    import io
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(DDL))
+    rows = parts.select("path", "part", "content").repartition("path").sortWithinPartitions("path", "part")
+
+    def run(batches):
+        path, rest, seq, base = None, b"", 0, None
+        out = []
+
+        def full():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        def take(last):
+            # Tags of ``rest``; all but the last part's end is held back until more bytes come.
+            nonlocal rest, seq, base
+            if base is None:
+                found = probe(rest)
+                if found is None or len(rest) < found["header_size"] + 4:
+                    if last:
+                        raise ValueError("not a tag container")
+                    return
+                base, rest = found["header_size"] + 4, rest[found["header_size"] + 4 :]
+            done, at = complete_tags(rest)
+            for kind, ts, body in done:
+                yield path, seq, kind, ts, len(body), body if payload else None, base
+                seq, base = seq + 1, base + 11 + len(body) + 4
+            rest = rest[at:]
+            if last and rest:
+                for kind, ts, size, body, _ in read_tags(io.BytesIO(file_header() + rest), True, strict):  # its size field may be cut
+                    yield path, seq, kind, ts, size, body if payload else None, base
+
+        for batch in batches:
+            for own, content in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = []
+                if own != path:
+                    if path is not None:
+                        found += take(True)
+                    path, rest, seq, base = own, b"", 0, None
+                rest += content
+                found += take(False)
+                for a in range(0, len(found), 4096):
+                    out = found[a : a + 4096]
+                    yield full()
+        if path is not None and (out := list(take(True))):
+            yield full()
+
+    return rows.mapInArrow(run, DDL)
+
+
 def scanned(files: DataFrame, payload: bool = True, strict: bool = False) -> DataFrame:
     """Tags of the files of ``spark.read.format("binaryFile")``."""
     import io
