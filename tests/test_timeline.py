@@ -103,3 +103,19 @@ def test_start_cut_drops_streams_without_keys(spark):
     rows = [("a", 0, 0, False), ("a", 1, 10, True), ("b", 0, 5, False)]
     out = T.start_cut(frame(spark, rows), ["stream_id"], "ts", F.col("is_key"), F.lit(False), 0)
     assert got(out, "ts") == {("a", 1): (10,)}
+
+
+def test_natural_sort_of_all_parts(spark, sf):
+    import duckdb
+
+    from tideline.plans import registry
+    from tideline.plans.timeline_queries import naturally_sorted
+
+    path = sf.replace("sf0.001", "sf0.01")  # 2,000 parts
+    sql = registry.SQL["natural_sort"].replace(" WHERE p_partkey <= 200", "").replace("FROM part", f"FROM '{path}/part.parquet'")
+    want = duckdb.sql(sql).fetchall()
+    for rows in (None, 100):
+        mine = naturally_sorted(spark.read.parquet(f"{path}/part.parquet"), rows)
+        assert len(want) == 2000 and sorted(map(tuple, mine.collect())) == sorted(want)
+        plan = mine._jdf.queryExecution().executedPlan().toString()
+        assert rows is None or "SinglePartition" not in plan  # one range of bounded size may be one task

@@ -79,6 +79,28 @@ def naturally(df: DataFrame, name: str, to: str = "position") -> Column:
     return [F.regexp_replace(F.col(name), r"\d+(?!.*\d)", ""), F.when(number == "", F.lit(-1)).otherwise(number.cast("bigint")), F.col(name)]
 
 
+#: Rows of one range of ``numbered``, about, and sampled keys for each range.
+RANGE_ROWS, RANGE_KEYS = 250_000, 32
+
+
+def numbered(df: DataFrame, order: Sequence[Column], to: str = "position", rows: int | None = None) -> DataFrame:
+    """Rows numbered from 1 over the whole table.  Sampled keys cut it into
+    ranges; rows are numbered in their range, and a range starts where the
+    counts of those before it end.  Keys that are all equal share a range."""
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    df = df.withColumn("__key", key)
+    n = -(-df.count() // (rows or RANGE_ROWS))
+    bounds = df.select("__key", F.xxhash64("__key").alias("__h")).orderBy("__h").limit(RANGE_KEYS * n).select("__key").orderBy("__key").collect() if n > 1 else []
+    ends = [bounds[len(bounds) * i // n]["__key"] for i in range(1, n)] if bounds else []
+    kind = df.schema["__key"].dataType
+    table = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(e, kind.fields, strict=True)]) for e in ends]) if ends else None
+    df = df.withColumn("__range", F.size(F.filter(table, lambda e: e < F.col("__key"))) if ends else F.lit(0))
+    counts = {r["__range"]: r["n"] for r in df.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    starts = F.array(*[F.lit(sum(x for k, x in counts.items() if k < i)).cast("bigint") for i in range(n or 1)])
+    own = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))
+    return df.withColumn(to, F.get(starts, F.col("__range")) + own).drop("__key", "__range")
+
+
 def fan_out(df: DataFrame, sinks: Sequence[str]) -> DataFrame:
     """Every row once per sink name."""
     return df.withColumn("sink", F.explode(F.array(*[F.lit(s) for s in sinks])))

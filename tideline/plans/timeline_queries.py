@@ -426,11 +426,14 @@ def fan_out(spark, sf_dir):  # J8, K11
 
 @query("SELECT p_name, (ROW_NUMBER() OVER (ORDER BY regexp_replace(n, '\\d+$', ''), regexp_extract(n, '(\\d+)$', 1)::BIGINT, p_partkey))::INT AS position FROM (SELECT p_name, p_partkey, p_brand || '_' || p_size AS n FROM part WHERE p_partkey <= 200)")
 def natural_sort(spark, sf_dir):  # O5
-    from pyspark.sql import Window
+    return naturally_sorted(spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 200"))
+
 
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 200").withColumn("n", F.concat_ws("_", "p_brand", "p_size"))
+def naturally_sorted(part, rows=None):
+    """Names of ``part`` and their positions over all its rows."""
+    p = part.withColumn("n", F.concat_ws("_", "p_brand", "p_size"))
     order = [*J.naturally(p, "n")[:2], F.col("p_partkey")]
-    return p.select("p_name", F.row_number().over(Window.orderBy(*order)).alias("position"))
+    return J.numbered(p, order, "position", rows).select("p_name", F.col("position").cast("int").alias("position"))
 
 
 @query(f"WITH {TAGS_SQL}, m AS (SELECT stream_id, min(ts) AS s FROM tags GROUP BY ALL) SELECT stream_id, seq FROM tags JOIN m USING (stream_id) WHERE rn <= 10 AND ts < s + 432000000000")
