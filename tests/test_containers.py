@@ -99,6 +99,20 @@ def test_sample_tables(spark):
     assert mp4.with_duration(data, 77) != data
 
 
+def test_samples_of_all_orders(spark, sf):
+    import duckdb
+
+    from tideline.plans import registry
+    from tideline.plans.container_queries import samples_of
+
+    path = f"{sf}/lineitem.parquet"
+    sql = registry.SQL["sample_table"].replace(" WHERE l_orderkey % 4 = 0", "").replace("FROM lineitem", f"FROM '{path}'")
+    found = duckdb.sql(sql)
+    want = found.fetchall()
+    mine = samples_of(spark.read.parquet(path)).select(*[f"`{c}`" for c in found.columns])
+    assert len(want) > 4000 and sorted(map(tuple, mine.collect())) == sorted(want)
+
+
 def test_fragments():
     one = mp4.fragment(1, 1, 9000, [(b"ab", 10, 0, True), (b"c", 11, -2, False)])
     data = one + mp4.fragment(2, 2, 5, [(b"xyz", 3, 0, True)])

@@ -59,7 +59,11 @@ def tag_probe(spark, sf_dir):  # S2, S4: header-only scan
  ((2 * ticks * 1000 + 90) // 180)::BIGINT AS dts_ms, l_orderkey % 8 <> 0 OR sample_no % 3 = 1 AS is_key FROM s"""
 )
 def sample_table(spark, sf_dir):  # S9, J1-J3, W6, W7: chunks of two samples, the last may hold one
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 4 = 0")
+    return samples_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 4 = 0"))
+
+
+def samples_of(li):
+    """Samples of the tables that any rows of lineitem make, by order."""
     d = li.groupBy("l_orderkey", "l_linenumber").agg(F.first("l_quantity").cast("bigint").alias("size"), (F.first("l_suppkey") % 7 + 1).cast("int").alias("delta"))
     n = F.size("rows")
     order = F.sort_array(F.collect_list(F.struct("l_linenumber", "size", "delta")))
