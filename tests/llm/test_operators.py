@@ -242,6 +242,17 @@ def test_packing(spark, sf):
     assert len(rows) == 8 and packing.packed(tokencount.with_tokens(empty(spark)), "n_tokens", "doc_id").count() == 0
 
 
+def test_one_long_document_leaves_padding_least(spark):
+    rng = random.Random(4)
+    lengths = [int(rng.lognormvariate(5, 1)) for _ in range(3000)] + [2_000_000]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    rows = packing.packed(df, "n", "doc_id").collect()
+    count = collections.Counter(lengths)
+    ends = packing.boundaries(np.array(list(count)), np.array(list(count.values())), packing.BUCKETS)
+    least = sum(min(e for e in ends if e >= x) - x for x in lengths)
+    assert sum(r.bucket_length - r.n for r in rows) == least
+
+
 # 5 ---------------------------------------------------------------------------
 
 

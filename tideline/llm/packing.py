@@ -26,9 +26,6 @@ from tideline.llm.tokencount import with_tokens
 
 #: Buckets, and padded tokens of one batch.
 BUCKETS, BUDGET = 16, 65_536
-#: Distinct lengths that the histogram tells apart; with more, lengths count as
-#: rounded up to a multiple of the least unit that leaves so many.
-BINS = 8192
 #: Rows of a chunk, about.
 CHUNK = 4096
 
@@ -83,12 +80,10 @@ def packed(docs: DataFrame, length: str, key: str, buckets: int = BUCKETS, budge
     kept = [f"k{i}" for i in range(len(names))]
     rows = common.positional(docs, names, n=length, key=key).withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     rows = common.cut(rows, "lengths")
-    longest = rows.agg(F.max("n")).first()[0] or 0
-    unit = max(1, -(-(longest + 1) // BINS))
-    rounded = F.ceil(F.col("n") / unit).cast("long") * unit
-    histogram = rows.groupBy(rounded.alias("rounded")).agg(F.count("*").alias("rows")).collect()  # at most BINS + 1 rows
-    ends = boundaries(np.array([r["rounded"] for r in histogram]), np.array([r["rows"] for r in histogram]), buckets)
-    # A bucket's padded length: the end of its range, but no more than its longest row.
+    # Exact: d distinct lengths take d * d / 2 tokens, so T tokens have no more than sqrt(2 * T).
+    histogram = rows.groupBy("n").agg(F.count("*").alias("rows")).toArrow()
+    ends = boundaries(histogram.column("n").to_numpy(), histogram.column("rows").to_numpy(), buckets)
+    # A bucket's padded length: its longest row, which ends its range.
     table = F.from_json(F.lit(json.dumps(ends)), "array<bigint>")
     rows = rows.withColumn("bucket", F.size(F.filter(table, lambda e: e < F.col("n"))).cast("int"))
     hashed = F.xxhash64("key", F.lit("pack"))
