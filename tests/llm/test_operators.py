@@ -442,6 +442,21 @@ def test_visited_cells_come_by_distance():
         assert len(cells) == 20 and np.allclose(d[cells], np.sort(d))
 
 
+def test_nearest_with_mixed_norms(spark, monkeypatch):
+    monkeypatch.setattr(annsearch, "BLOCK", 16)  # so that cells are skipped
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::10] *= 5
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS)
+    mine = collections.defaultdict(list)
+    for r in annsearch.nearest(df, "vec_id % 100 = 1").orderBy("query_id", "rank").collect():
+        mine[r.query_id].append(r.vec_id)
+    want = brute_nearest(rows, range(1, 3000, 100))
+    assert dict(mine) == {q: [v for v, _ in found] for q, found in want.items()}
+
+
 def test_nearest_with_repeats_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(120)] + [(200 + i, [1.0] * 8) for i in range(60)]

@@ -4,8 +4,11 @@ Each vector's halves are quantised separately, by k-means centroids fitted on a
 bounded sample; a pair of centroids is a cell.  For a query, cells come in
 order of the summed distance of its halves to their centroids: the pairs are
 traversed with a heap, so no pair list is sorted, until the cells hold
-``visit`` of all vectors.  Vectors of the visited cells are reranked by the
-exact inner product in double precision.
+``visit`` of all vectors.  The sampled vectors of these cells give a floor for
+the ``k`` best scores.  A cell's norms and distances from its centroids bound
+its inner products from above, and every cell whose bound reaches the floor is
+searched, so no cell that holds one of the ``k`` nearest is left out, whatever
+the norms.  Its vectors are ranked by the exact inner product in double precision.
 
 Equal vectors form a class, since ties go to smaller ids: of one class at most
 ``k`` + 1 smallest ids can be among a query's ``k`` nearest without itself.  So
@@ -14,9 +17,8 @@ a vector that repeats a million times costs one product per query.
 Classes are dealt into blocks of bounded size within ranges of cells; each
 query goes to the blocks of its visited cells, and a task holds one block of
 classes and a slice of queries.  Only each block's best ``k`` of a query leave
-it, and of these only what reaches the query's floor: the score that its ``k``
-best other vectors of the fitting sample, within the visited cells, reach.
-They are candidates too, so the floor never cuts off one of the ``k`` found.
+it, and of these only what reaches the query's floor.  The sampled vectors are
+candidates too, so the floor never cuts off one of the ``k`` found.
 
 Defined results: vectors that are null, empty, zero, of another length than
 the most common one, or that hold null or non-finite components take no part.
@@ -38,8 +40,7 @@ from tideline.llm import common
 
 #: Centroids per half, rows of the sample that fits them, rounds of k-means.
 CENTROIDS, SAMPLE, ROUNDS = 16, 8192, 8
-#: Share of the vectors that a query's visited cells hold at least.  High,
-#: because recall of 0.9 must also hold where vectors have no cluster structure.
+#: Share of the vectors that the cells hold whose sampled vectors give the floor.
 VISIT = 0.8
 #: Vectors of one block, and queries compared with it at a time.
 BLOCK, QUERIES = 8192, 256
@@ -97,6 +98,23 @@ class Index:
         return out
 
 
+    def spread(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """(norm of the left half, of the right half, distances of both from
+        their centroids) of each vector in its cell."""
+        l, r = x[:, : self.half], x[:, self.half :]
+        parts = (l, r, l - self.left[cell // len(self.right)], r - self.right[cell % len(self.right)])
+        return np.stack([np.sqrt((p * p).sum(axis=1)) for p in parts])
+
+    def bounds(self, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """An upper bound of the inner products of one query with the vectors
+        of each cell; ``most`` has the largest ``spread`` of each."""
+        l, r = q[: self.half], q[self.half :]
+        a, b = np.sqrt(l @ l), np.sqrt(r @ r)
+        left = np.minimum(a * most[0], np.repeat(self.left @ l, len(self.right)) + a * most[2])
+        right = np.minimum(b * most[1], np.tile(self.right @ r, len(self.left)) + b * most[3])
+        return left + right + 1e-9 * (1 + a * most[0] + b * most[1])
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     return common.flat(column).flatten().to_numpy(zero_copy_only=False).reshape(len(column), width).astype(np.float64)
 
@@ -146,11 +164,18 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell = index.cell(matrix(batch.column(0), width))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["embedding", "ids", "cell"])
-
-    indexed = common.cut(members.mapInArrow(celled, "embedding array<double>, ids array<long>, cell int"), "index")
-    counts = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most CENTROIDS^2
+                x = matrix(batch.column(0), width)
+                cell = index.cell(x)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), *map(pa.array, index.spread(x, cell))], names=["embedding", "ids", "cell", *spread])
+
+    spread = ["s0", "s1", "s2", "s3"]
+    indexed = common.cut(members.mapInArrow(celled, "embedding array<double>, ids array<long>, cell int, " + ", ".join(f"{s} double" for s in spread)), "index")
+    stats = indexed.groupBy("cell").agg(F.count("*").alias("n"), *[F.max(s).alias(s) for s in spread]).collect()  # at most CENTROIDS^2
+    counts = {r["cell"]: r["n"] for r in stats}
+    most = np.zeros((len(spread), cells))
+    for r in stats:
+        most[:, r["cell"]] = [r[s] for s in spread]
+    filled = np.array([c in counts for c in range(cells)], bool)
     held = sum(counts.values())
     for cell, n in counts.items():
         index.share[cell // len(index.right), cell % len(index.right)] = n / held
@@ -177,9 +202,10 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
             at, to, floors = [], [], []
             for i, q in enumerate(matrix(batch.column(1), width)):
                 visited = index.visited(q, visit)
-                blocks = sorted({int(first[c]) + p for c in visited for p in range(int(parts[c]))})
                 known = x[np.isin(sample_cells, visited)] @ q
                 floor = np.partition(known, len(known) - k - 1)[len(known) - k - 1] if len(known) > k else -np.inf  # one may be the query
+                searched = np.flatnonzero(filled & (index.bounds(q, most) >= floor))
+                blocks = sorted({int(first[c]) + p for c in searched for p in range(int(parts[c]))})
                 at += [i] * len(blocks)
                 to += blocks
                 floors += [float(floor) - 1e-9] * len(blocks)
