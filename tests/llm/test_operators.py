@@ -385,6 +385,43 @@ def test_cross_parsing_is_brute_force():
         assert tables.phrases(codes, offsets)[:, 0].tolist() == [phrases(t, texts[x]) for x in ("en", "fr")]
 
 
+def test_language_of_many_scripts(spark):
+    rng = random.Random(6)
+    scripts = {"ar": 0x627, "el": 0x3B1, "en": 0x61, "ja": 0x3042, "ko": 0xAC00, "ru": 0x430, "zh": 0x4E00}
+    spread = {"ja": 80, "ko": 400, "zh": 600}
+
+    def text(lang):
+        letters = [c for c in map(chr, range(scripts[lang], scripts[lang] + spread.get(lang, 24))) if c.isalpha()]
+        return " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(40))
+
+    refs = tuple((x, langid.normal(" ".join(text(x) for _ in range(20)))) for x in sorted(scripts))
+    tables = langid.Tables(langid.Model(refs))
+    assert not tables.shared and tables.rare.any()
+    texts = [(x, langid.normal(text(x) + " " + text(y)[:9])) for x in scripts for y in ("en", "zh", "ru")]
+
+    def phrases(t, ref):
+        n = at = 0
+        while at < len(t):
+            k = 1
+            while at + k < len(t) and t[at : at + k + 1] in ref:
+                k += 1
+            at, n = at + k, n + 1
+        return n
+
+    codes, offsets, _ = tables.letters(pa.array([t for _, t in texts]))
+    assert tables.phrases(codes, offsets).T.tolist() == [[phrases(t, ref) for _, ref in refs] for _, t in texts]
+    best, score = tables.predict(pa.array([t for _, t in texts]))
+    assert [tables.languages[b] for b in best] == [x for x, _ in texts] and (score > 0.5).all()
+
+
+def test_all_languages_are_learned(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(100 + i)) * 3
+    df = spark.createDataFrame([(i, f"l{i:03}", f"{word(i)} {word(i)}") for i in range(90)], "doc_id long, lang string, text string")
+    model = langid.fit(df)
+    assert len(model.references) == 90
+    assert all(r.lang == r.lang_pred for r in langid.identified(df, model).collect())
+
+
 def test_language_held_out(spark, sf):
     rows = langid.op8_language_id(spark, "/root/testdata/sf0.01").join(documents(spark, "/root/testdata/sf0.01").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]

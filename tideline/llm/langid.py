@@ -4,7 +4,8 @@ needs the fewest phrases per character wins; ties go to the smaller name.
 
 A suffix automaton of the reference text accepts exactly its substrings, so
 walking it greedily and restarting at its initial state on a failure gives the
-longest matches.  The automaton with restarts is one flat transition table; all
+longest matches.  The automaton with restarts is one flat transition table, with
+sorted keys for the moves by a language's rarer letters; all
 texts of a batch walk it in step, in blocks of ``BLOCK`` letters (a phrase does
 not cross a block's end), so long texts cost no more per letter than short ones.
 
@@ -33,9 +34,11 @@ from tideline.llm import common
 UNKNOWN = "und"
 BLOCK = 1024
 #: Bounds of the training sample: distinct texts and letters per language, code
-#: points taken from one text (from a place that depends on its hash),
-#: languages and letters of the alphabet.
-TEXTS, LETTERS, TAKEN, LANGUAGES, ALPHABET = 160, 30_000, 2_000, 64, 60
+#: points taken from one text (from a place that depends on its hash).
+TEXTS, LETTERS, TAKEN = 160, 30_000, 2_000
+#: Letters of a language with columns in the flat table, the most frequent ones
+#: (its other letters are looked up), and entries of that table, about.
+ALPHABET, TABLE = 60, 100_000_000
 
 
 @dataclass(frozen=True)
@@ -82,24 +85,45 @@ def automaton(text: str) -> list[dict[str, int]]:
 
 
 class Tables:
-    """The flat transition table of all languages and the letter codes."""
+    """The flat transition table of all languages and the letter codes.
+
+    Every letter of any reference has its code.  Where they are too many for
+    one alphabet, each language maps codes to columns of its own; the letters
+    of its reference that have none there move by ``keys`` and ``moves``."""
 
     def __init__(self, model: Model):
         self.languages = [name for name, _ in model.references]
         used = Counter("".join(text for _, text in model.references))
         used.pop(" ", None)
-        letters = [c for c, _ in sorted(used.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.width = len(letters) + 2  # separator, letters, any other letter
-        other = self.width - 1
+        letters = [c for c, _ in sorted(used.items(), key=lambda x: (-x[1], x[0]))]
+        self.codes = len(letters) + 2  # separator, letters, any other letter
+        room = max(4, min(ALPHABET, int(TABLE / max(1.0, 1.5 * sum(len(text) for _, text in model.references))) - 2))
+        self.shared = len(letters) <= room
+        self.width = self.codes if self.shared else room + 2
+        other = self.codes - 1
         self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.code = np.where(self.letter, other, 0).astype(np.uint8)
+        self.code = np.where(self.letter, other, 0).astype(np.min_scalar_type(other))
         codes = {" ": 0} | {c: i + 1 for i, c in enumerate(letters)}
         for c, k in codes.items():
             if c != " ":
                 self.code[ord(c)] = k
         parts, self.roots, base = [], [], 0
-        for _, text in model.references:
+        self.columns = np.full((len(self.languages), self.codes), self.width - 1, np.int32)
+        self.rare = np.zeros((len(self.languages), self.codes), bool)
+        keys, moved = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        everywhere = codes
+        for j, (_, text) in enumerate(model.references):
             nexts = automaton(text)
+            if not self.shared:
+                own = Counter(text)
+                own.pop(" ", None)
+                by_count = [c for c, _ in sorted(own.items(), key=lambda x: (-x[1], x[0]))]
+                codes = {" ": 0} | {c: i + 1 for i, c in enumerate(by_count[:room])}
+                self.columns[j, [everywhere[c] for c in codes]] = list(codes.values())
+                self.rare[j, [everywhere[c] for c in by_count[room:]]] = True
+                far = [((base + s) * self.codes + everywhere[c], (base + to) * self.width << 1 | (s == 0)) for s, moves in enumerate(nexts) for c, to in moves.items() if c not in codes]
+                keys.append(np.array([k for k, _ in far], np.int64))
+                moved.append(np.array([v for _, v in far], np.int32))
             root = np.full(self.width, (base * self.width << 1) | 1, np.int32)
             for c, to in nexts[0].items():
                 if c in codes:
@@ -113,6 +137,24 @@ class Tables:
             self.roots.append(base * self.width)
             base += len(nexts)
         self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
+        order = np.argsort(np.concatenate(keys))
+        self.keys, self.moves = np.concatenate(keys)[order], np.concatenate(moved)[order]
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next states of (languages, lanes), doubled, plus 1 where a phrase starts."""
+        if self.shared:
+            return self.table.take(state + codes)
+        move = self.table.take(state + self.columns[:, codes])
+        j, lane = np.nonzero(self.rare[:, codes])
+        if len(j):
+            code = codes[lane].astype(np.int64)
+            key = state[j, lane].astype(np.int64) // self.width * self.codes + code
+            at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
+            lost = np.flatnonzero(self.keys[at] != key)  # start again; every letter has a move from its root
+            root = np.array(self.roots, np.int64)[j[lost]] // self.width * self.codes + code[lost]
+            at[lost] = np.searchsorted(self.keys, root)
+            move[j, lane] = self.moves[at]
+        return move
 
     def letters(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(letter codes with runs of others made one separator, offsets of each
@@ -151,7 +193,7 @@ class Tables:
             count = np.zeros(state.shape, np.int32)
             for t in range(longest):
                 k = active[t]
-                move = self.table.take(state[:, :k] + lanes[t, :k])
+                move = self.step(state[:, :k], lanes[t, :k])
                 count[:, :k] += move & 1
                 np.right_shift(move, 1, out=state[:, :k])
             for j in range(len(self.roots)):
@@ -182,11 +224,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = TE
     """Learn from labelled rows (rows with a null label or text teach nothing).
 
     Per language a sample of about ``texts`` distinct texts, chosen by their
-    hash, gives a reference of at most ``letters`` letters.  Languages beyond
-    the ``LANGUAGES`` with most texts are not learned.
+    hash, gives a reference of at most ``letters`` letters.
     """
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not sizes:
         return Model(())
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, texts / max(1, r["n"]))))])
