@@ -362,6 +362,15 @@ def test_html_templates(spark):
     assert htmlmain.extracted(df.limit(0)).count() == 0
 
 
+def test_html_repeated_text(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class='x1'>Read our paper every day</div><p>Story {i} of the <b>town</b></p><div class='q7'>Part {i}<p>Join <i>us</i> now</p></div></article></body>"
+    rows = [(i, "http://a.example/x%d" % i, page(i)) for i in range(6)] + [(10 + i, "http://b.example/x%d" % i, page(1)) for i in range(4)] + [(20, "http://c.example/x", page(20))]
+    mine = {r.page_id: r.text for r in htmlmain.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [mine[i] for i in range(6)] == [f"Title {i}\nStory {i} of the town\nPart {i}" for i in range(6)]
+    whole = "Title {0}\nRead our paper every day\nStory {0} of the town\nPart {0}\nJoin us now"
+    assert {mine[10 + i] for i in range(4)} == {whole.format(1)} and mine[20] == whole.format(20)  # copies, or too few pages, show no template
+
+
 # 8 ---------------------------------------------------------------------------
 
 

@@ -1,12 +1,15 @@
 """HTML extraction by template deduction over the pages of a host.
 
-A token is a tag with its path of enclosing elements.  Over the pages of a host
+A token is a tag, or the text of a block, with its path of enclosing elements.
+Over the pages of a host
 each token has an occurrence vector: how often it occurs in each page.  Tokens
 with the same vector form an equivalence class.  Large classes that most pages
 hold are the host's template; classes nest where one class's paths all lie
 under a token of another.  What stands between template tokens are slots; the
 slots under the template's main element and outside its menus, adverts and
-other furniture hold the page's text.
+other furniture hold the page's text.  Text counts by whole blocks, not by single
+words, so that words which all pages of a small host happen to share stay; a
+block that only copies of one page hold is no template.
 
 Vectors are never built: a token's vector is known by two sums, over pages, of
 hashes of (page, count), so a host of any size costs one mergeable aggregate.
@@ -25,8 +28,9 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -45,6 +49,8 @@ WEIGHT = 0.6
 DEPTH = 200
 #: Places in which a host's pages meet its template.
 SALTS = 32
+#: How tokens of text begin.
+TEXT = "\x01"
 #: Elements by their role.
 FURNITURE = frozenset("nav header footer aside form script style noscript template head title button select option iframe svg canvas dialog menu object video audio".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
@@ -152,33 +158,36 @@ def under(path: str, top: str) -> bool:
     return path == top or path.startswith(top + "/")
 
 
-def text_of(page: Page, top: str | None) -> str:
-    """Text of the slots under ``top``, one line per block."""
-    lines: list[str] = []
-    open_block, parts = -1, []
-    for path, block, text in page.slots:
-        if not free(path) or (top is not None and not under(path, top)):
-            continue
-        if block != open_block:
-            if parts and (line := " ".join(htmllib.unescape("".join(parts)).split())):
-                lines.append(line)
-            open_block, parts = block, []
-        parts.append(text)
-    if parts and (line := " ".join(htmllib.unescape("".join(parts)).split())):
-        lines.append(line)
-    return "\n".join(lines)
+def blocks(page: Page) -> Iterator[tuple[str, str]]:
+    """(path, line) of each block with text outside furniture."""
+    for _, group in groupby((x for x in page.slots if free(x[0])), lambda x: x[1]):
+        slots = list(group)
+        if line := " ".join(htmllib.unescape("".join(text for *_, text in slots)).split()):
+            yield slots[0][0], line
+
+
+def text_token(path: str, line: str) -> str:
+    return TEXT + xxhash.xxh3_64_hexdigest(f"{path}\0{line}".encode("utf-8", "surrogatepass"))
+
+
+def text_of(page: Page, top: str | None, repeated: Collection[str] = ()) -> str:
+    """Text of the slots under ``top``, one line per block, without lines whose
+    tokens are ``repeated`` (unless all are: then the pages are copies)."""
+    lines = [(path, line) for path, line in blocks(page) if top is None or under(path, top)]
+    slots = [x for x in lines if text_token(*x) not in repeated] if repeated else lines
+    return "\n".join(line for _, line in slots or lines)
 
 
-def extract(source: str | None, template: list[str]) -> str:
+def extract(source: str | None, template: list[str], repeated: Collection[str] = ()) -> str:
     """Main text of a page, given the main elements that its host's template
-    has (best first)."""
+    has (best first) and the template's tokens of text."""
     if not source:
         return ""
     page = parsed(source)
     top = next((t for t in template if t in page.tokens), None)
     if top is None:
         top = main_of(page.tokens)
-    return text_of(page, top)
+    return text_of(page, top, repeated)
 
 
 def host_of(url: Column) -> Column:
@@ -187,13 +196,16 @@ def host_of(url: Column) -> Column:
 
 def evidence(pages: DataFrame, url: str, html: str) -> DataFrame:
     """Per batch, host and token: two sums that identify the occurrence vector,
-    pages that hold it, occurrences, and characters of free text under it."""
+    pages that hold it, occurrences, characters of free text under it, and the
+    least and largest hash of a page that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "html", 8 << 20):
             found: dict[tuple[str, str], list[int]] = {}
             for host, name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 page = parsed(source)
+                own = xxhash.xxh32_intdigest(source.encode("utf-8", "surrogatepass"))
+                texts = Counter(text_token(*x) for x in blocks(page))
                 weight: Counter = Counter()
                 for path, _, text in page.slots:
                     if free(path):
@@ -202,25 +214,26 @@ def evidence(pages: DataFrame, url: str, html: str) -> DataFrame:
                     while "/" in path[1:]:
                         path = path[: path.rindex("/")]
                         weight[path] += n
-                for token, n in [*page.tokens.items(), ("", 1)]:
+                for token, n in [*page.tokens.items(), *texts.items(), ("", 1)]:
                     h = xxhash.xxh3_64_intdigest(f"{name} {n}")
-                    sums = found.setdefault((host, token), [0, 0, 0, 0, 0])
+                    sums = found.setdefault((host, token), [0, 0, 0, 0, 0, own, own])
                     for k, x in enumerate((h & 0xFFFFFFFF, h >> 32, 1, n, weight[token])):
                         sums[k] += x
+                    sums[5:] = min(sums[5], own), max(sums[6], own)
             keys = list(found)
-            columns = list(zip(*found.values(), strict=True)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["host", "token", "h1", "h2", "pages", "times", "weight"])
+            columns = list(zip(*found.values(), strict=True)) if found else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["host", "token", "h1", "h2", "pages", "times", "weight", "low", "high"])
 
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "host string, token string, h1 long, h2 long, pages long, times long, weight long")
+    return rows.mapInArrow(run, "host string, token string, h1 long, h2 long, pages long, times long, weight long, low long, high long")
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, template): tokens of the host's valid classes, as structs (token,
     class, nested in class, weight), for hosts with enough pages."""
-    tokens = evidence(pages, url, html).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("h1", "h2", "pages", "times", "weight")])
+    tokens = evidence(pages, url, html).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("h1", "h2", "pages", "times", "weight")], F.min("low").alias("low"), F.max("high").alias("high"))
     sizes = tokens.where("token = ''").select("host", F.col("pages").alias("all"), F.col("weight").alias("text"))
-    held = tokens.where("token <> ''").join(sizes, "host").where((F.col("all") >= PAGES) & (F.col("pages") >= SHARE * F.col("all")))
+    held = tokens.where("token <> ''").join(sizes, "host").where((F.col("all") >= PAGES) & (F.col("pages") >= SHARE * F.col("all")) & (~F.startswith("token", F.lit(TEXT)) | (F.col("low") < F.col("high"))))
     one = F.struct("token", "weight", "text", F.concat_ws(":", "h1", "h2", "pages", "times").alias("vector"), (F.col("pages") == F.col("times")).alias("single"))
     classes = held.groupBy("host").agg(F.sort_array(F.collect_list(one)).alias("tokens"))  # at most 1 / SHARE pages' tokens
     size = lambda t: F.size(F.filter("tokens", lambda x: x["vector"] == t["vector"]))
@@ -248,6 +261,7 @@ def mains(template: list[dict]) -> list[str]:
     """Main elements of a template, best first: tokens that occur once a page,
     in a class that is nested in none (or in such a one), named main elements
     first; else the deepest that holds most of the free text."""
+    template = [t for t in template if not t["token"].startswith(TEXT)]
     inner = nested(template)
     single = [t for t in template if t["single"] and free(t["token"]) and (inner[t["vector"]] is None or any(x["single"] for x in template if x["vector"] == inner[t["vector"]]))]
     named_main = main_of([t["token"] for t in single])
@@ -274,15 +288,16 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", keep: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        known: dict[str | None, list[str]] = {None: []}
+        known: dict[str | None, tuple[list[str], frozenset[str]]] = {None: ([], frozenset())}
         for batch in common.slices(batches, "html", 8 << 20):
             texts = []
             for source, template in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True):
                 if template not in known:
                     if len(known) > 1000:
-                        known = {None: []}
-                    known[template] = mains(json.loads(template))
-                texts.append(extract(source, known[template]))
+                        known = {None: ([], frozenset())}
+                    of = json.loads(template)
+                    known[template] = mains(of), frozenset(t["token"] for t in of if t["token"].startswith(TEXT))
+                texts.append(extract(source, *known[template]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, *made])
 
     schema = pages.select(*[F.col(f"`{c}`") for c in keep]).schema.add("text", "string", True).add("n_chars", "long", True)
