@@ -549,6 +549,14 @@ def test_toxicity_held_out(spark):
     assert right >= 0.9 * len(rows) and sum(r.predicted == 0 for r in clean) >= 0.97 * len(clean)
 
 
+def test_toxic_words_of_long_texts(spark):
+    filler = " ".join(f"word{i % 97}" for i in range(800))  # over 4,000 code points
+    rows = [(i, f"{filler} {'vileslur' if i % 2 else 'kindword'} {filler}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.scored(df.select("doc_id", "text"), model).collect())
+
+
 def test_toxic_spans_and_odd_rows(spark):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))

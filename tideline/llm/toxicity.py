@@ -27,21 +27,21 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import common
 
 #: Bounds of the training sample: rows of each class (0, 1), by hash of the id,
-#: among labelled texts of at most this many code points.
-SAMPLE, TEXT_LIMIT = (1800, 1400), 4000
+#: and their code points, so many for each of these rows; texts of any length
+#: are taken whole until either bound is reached.
+SAMPLE, POINTS = (1800, 1400), 4000
 #: A feature is telling if it is in this many sampled toxic documents at least
 #: and this many times likelier in a toxic document than in a clean one.
 LEAST, LIFT = 5, 40.0
@@ -107,8 +107,8 @@ def marginals(logit: np.ndarray, offsets: np.ndarray, moves: tuple[float, float,
     inner, end, first, last = inner[order], end[order], first[order], last[order]
     size = last - first
     odds = np.exp(logit)
-    for a in range(0, len(first), 4096):
-        at, n, lo, hi = first[a : a + 4096], size[a : a + 4096], inner[a : a + 4096], end[a : a + 4096]
+    for a in range(0, len(first), 1024):
+        at, n, lo, hi = first[a : a + 1024], size[a : a + 1024], inner[a : a + 1024], end[a : a + 1024]
         longest = int(n[0])
         active = np.searchsorted(-n, -np.arange(longest), "left")
         where = at[None, :] + np.arange(longest)[:, None]
@@ -161,10 +161,13 @@ def train(docs: list[tuple[str, int]], share: float) -> Model:
     owner, word = pairs // len(words), pairs % len(words)
     from tideline.llm.quality import ranges
 
-    seen = np.unique(np.repeat(owner, lengths[word]) * np.int64(len(index)) + pool[ranges(starts[word], lengths[word])])
-    owner, feature = seen // len(index), seen % len(index)
-    ones = np.bincount(feature[label[owner] == 1], minlength=len(index))
-    zeros = np.bincount(feature[label[owner] == 0], minlength=len(index))
+    ones, zeros = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+    for a in range(0, len(docs), 128):  # few documents at a time: less memory
+        part = slice(*np.searchsorted(owner, [a, a + 128]))
+        seen = np.unique(np.repeat(owner[part], lengths[word[part]]) * np.int64(len(index)) + pool[ranges(starts[word[part]], lengths[word[part]])])
+        toxic_one, feature = label[seen // len(index)] == 1, seen % len(index)
+        ones += np.bincount(feature[toxic_one], minlength=len(index))
+        zeros += np.bincount(feature[~toxic_one], minlength=len(index))
     lift = (ones / toxic) / ((zeros + 1) / clean)
     telling = (ones >= LEAST) & (lift >= LIFT)
     used = (ones >= LEAST) & (lift >= FEATURE_LIFT)
@@ -251,30 +254,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, toxic).
 
     Rows with a null id, text or label teach nothing.  At most ``sample`` rows
-    of each class are fetched, chosen by a hash of the id.
+    of each class are fetched, chosen by a hash of the id, whatever their
+    length; long texts make them fewer.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return train([], 0.0)
     near = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    # Longer texts do not count, so half as many again are looked up.
+    # Some ids may have no text, so half as many again are looked up.
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample[k] / n)))])
     ids = known.where(near < share[F.col("toxic")]).orderBy(near).limit(2 * sum(sample))
     rows = (
         docs.select("doc_id", "text")
-        .where(F.length("text") <= TEXT_LIMIT)
+        .where("text is not null")
         .join(F.broadcast(ids), "doc_id")  # at most 2 * sum(sample) ids
         .select(near.alias("at"), "text", "toxic")
         .orderBy("at", "text")
         .limit(2 * sum(sample))
-        .collect()
     )
-    kept, taken = [], Counter()
-    for r in rows:
-        if taken[r["toxic"]] < sample[r["toxic"]]:
-            taken[r["toxic"]] += 1
-            kept.append((r["text"], r["toxic"]))
+    own = Window.partitionBy("toxic").orderBy("at", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = F.when(F.col("toxic") == 1, sample[1]).otherwise(sample[0])
+    chosen = rows.select("at", "text", "toxic", F.row_number().over(own).alias("n"), before.alias("before")).where((F.col("n") <= most) & (F.col("before") < most * POINTS))
+    kept = [(r["text"], r["toxic"]) for r in chosen.orderBy("at", "text").collect()]
     return train(kept, sizes.get(1, 0) / sum(sizes.values()))
 
 
