@@ -52,14 +52,14 @@ def tag_probe(spark, sf_dir):  # S2, S4: header-only scan
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS size, (l_suppkey % 7 + 1)::BIGINT AS delta, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem WHERE l_orderkey % 4 = 0),
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS size, (l_suppkey % 7 + 1)::BIGINT AS delta, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem),
  d AS (SELECT l_orderkey, l_linenumber, any_value(size) AS size, any_value(delta) AS delta FROM l GROUP BY ALL),
  s AS (SELECT *, ROW_NUMBER() OVER w AS sample_no, (ROW_NUMBER() OVER w - 1) // 2 AS c, coalesce(sum(delta) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ticks FROM d WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
  SELECT l_orderkey, sample_no::INT AS sample_no, (c + 1)::INT AS chunk, (1000 * (c + 1) + coalesce(sum(size) OVER (PARTITION BY l_orderkey, c ORDER BY sample_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", size,
  ((2 * ticks * 1000 + 90) // 180)::BIGINT AS dts_ms, l_orderkey % 8 <> 0 OR sample_no % 3 = 1 AS is_key FROM s"""
 )
 def sample_table(spark, sf_dir):  # S9, J1-J3, W6, W7: chunks of two samples, the last may hold one
-    return samples_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 4 = 0"))
+    return samples_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 def samples_of(li):

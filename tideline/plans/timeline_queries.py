@@ -424,9 +424,9 @@ def fan_out(spark, sf_dir):  # J8, K11
     return J.fan_out(tags(spark, sf_dir).where("is_key"), ["archive", "relay"]).select("stream_id", "seq", "sink")
 
 
-@query("SELECT p_name, (ROW_NUMBER() OVER (ORDER BY regexp_replace(n, '\\d+$', ''), regexp_extract(n, '(\\d+)$', 1)::BIGINT, p_partkey))::INT AS position FROM (SELECT p_name, p_partkey, p_brand || '_' || p_size AS n FROM part WHERE p_partkey <= 200)")
+@query("SELECT p_name, (ROW_NUMBER() OVER (ORDER BY regexp_replace(n, '\\d+$', ''), regexp_extract(n, '(\\d+)$', 1)::BIGINT, p_partkey))::INT AS position FROM (SELECT p_name, p_partkey, p_brand || '_' || p_size AS n FROM part)")
 def natural_sort(spark, sf_dir):  # O5
-    return naturally_sorted(spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 200"))
+    return naturally_sorted(spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
 def naturally_sorted(part, rows=None):
