@@ -8,6 +8,7 @@ vectorised gathers, so cost follows the vocabulary of a batch, not its length.
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,11 +37,13 @@ def arrow_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place, once per session.
+    It is ``spark.checkpoint.dir``; only where that is unset and the session
+    runs in one process (tests) a temporary folder takes its place, once.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="tideline-")
         shared_dir.local = found
     return found.rstrip("/")
@@ -53,16 +56,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote, once nothing lazy reads it."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
-        parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing lazy reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
