@@ -1,8 +1,9 @@
 """Token counts: count-only Viterbi over a unigram vocabulary.
 
 An Aho-Corasick automaton enumerates every vocabulary match in a word; dynamic
-programming keeps one best score and one start per end position, and the pieces
-on the best path are counted, never built.
+programming carries the best score and its piece count to each end position, and
+pieces are never built.  The words of a batch go in step (``Lanes``); very long
+words go one by one (``Counter``), with the same result.
 
 Tie rules are those of the ``tokenizers`` Unigram model with ``Metaspace``
 words: candidates for one end are tried by rising start, and only a strictly
@@ -10,14 +11,16 @@ better score replaces an earlier one; a character that is no piece costs the
 lowest score of the vocabulary less 10, runs of such characters fuse into one
 unknown, and an unknown is spelled in byte pieces where all of them exist.
 
-Defined results: null text counts as null where asked for through ``tokens``
-(``n_tokens`` 0 in the query); an empty text has 0 tokens; texts of any length
-are processed whole, word by word.
+Defined results: a null or empty text has 0 tokens; texts of any length are
+processed whole, word by word; repeated rows count alike; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter as FrequencyCounter
 from collections.abc import Iterator
+from functools import cached_property
 from math import inf
 
 import ahocorasick
@@ -32,8 +35,10 @@ from tideline.llm import common
 #: The vocabulary file used by the queries.
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-#: Distinct words whose counts one Python worker keeps.
-CACHE = 120_000
+#: Longer words are counted one by one; so many others go in step.
+LONG, LANES = 64, 8192
+#: Commonest characters of a vocabulary that have columns in the dense table.
+COLUMNS = 96
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -54,17 +59,20 @@ class Counter:
     """Counts unigram pieces of words, exactly as the Unigram model would."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
-        self.automaton = ahocorasick.Automaton()
-        lowest = 0.0
-        for piece, score in pieces:
-            if piece and piece not in self.automaton:
-                self.automaton.add_word(piece, (len(piece), score))
-        lowest = min((score for _, score in pieces), default=0.0)
-        self.automaton.make_automaton()
-        self.unknown = lowest - UNKNOWN_PENALTY
+        self.pieces = pieces
+        self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
         names = {piece for piece, _ in pieces}
         self.byte = [f"<0x{b:02X}>" in names for b in range(256)]
-        self.seen: dict[str, int] = {}
+        self.lanes = Lanes(pieces, self.unknown) if all(self.byte) else None
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        made = ahocorasick.Automaton()
+        for piece, score in self.pieces:
+            if piece and piece not in made:
+                made.add_word(piece, (len(piece), score))
+        made.make_automaton()
+        return made
 
     def __call__(self, word: str) -> int:
         """Tokens of one Metaspace word, its leading mark included."""
@@ -116,20 +124,133 @@ class Counter:
         return len(raw) if all(self.byte[b] for b in raw) else 1
 
     def words(self, words: list[str]) -> np.ndarray:
-        seen = self.seen
         out = np.empty(len(words), np.int64)
-        for i, word in enumerate(words):
-            n = seen.get(word)
-            if n is None:
-                n = self(word)
-                if len(word) <= 64:
-                    if len(seen) >= CACHE:
-                        seen.clear()
-                    seen[word] = n
-            out[i] = n
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        alone = lengths > LONG if self.lanes else np.ones(len(words), bool)
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = self(words[i])
+        if self.lanes:
+            rest = np.flatnonzero(~alone)
+            rest = rest[np.argsort(-lengths[rest], kind="stable")]
+            for at in range(0, len(rest), LANES):
+                some = rest[at : at + LANES]
+                out[some] = self.lanes([words[i] for i in some.tolist()], lengths[some])
         return out
 
 
+class Lanes:
+    """The same automaton and programme for many words in step, one character
+    of each at a time, for vocabularies with all byte pieces (an unknown
+    character adds its bytes).
+
+    States are numbered level by level.  Moves by the vocabulary's commonest
+    characters, failures followed, fill a dense table; the others are looked up
+    by (state, character) and fail step by step.
+    """
+
+    def __init__(self, pieces: list[tuple[str, float]], unknown: float):
+        self.unknown = unknown
+        score: dict[str, float] = {}
+        for piece, x in pieces:
+            if piece:
+                score.setdefault(piece, x)
+        states = sorted({piece[:k] for piece in score for k in range(len(piece) + 1)} | {""}, key=len)
+        number = {x: i for i, x in enumerate(states)}
+        used = FrequencyCounter(x[-1] for x in states[1:])
+        letters = [c for c, _ in sorted(used.items(), key=lambda x: (-x[1], x[0]))]
+        self.width = min(COLUMNS, len(letters)) + 1  # the last is for all other characters
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[:] = len(letters)  # in no piece
+        for i, c in enumerate(letters):
+            self.code[ord(c)] = i
+        self.codes = len(letters) + 1
+        n = len(states)
+        self.fail = np.zeros(n, np.int32)
+        table = np.zeros((n, self.width), np.int32)
+        keys, moves = [], []
+        outputs: list[list[tuple[int, float]]] = [[]]
+        for i, x in enumerate(states[1:], 1):
+            up, letter = number[x[:-1]], self.code[ord(x[-1])]
+            at = x[1:]
+            while at not in number:
+                at = at[1:]
+            self.fail[i] = number[at]
+            outputs.append(([(len(x), score[x])] if x in score else []) + outputs[self.fail[i]])
+            if letter < self.width - 1:
+                table[up, letter] = i
+            else:
+                keys.append(up * self.codes + int(letter))
+                moves.append(i)
+        for i in range(1, n):  # a state's failure is on a level above it
+            missing = table[i] == 0
+            table[i, missing] = table[self.fail[i], missing]
+        self.table = table.ravel()
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.moves = np.array(keys, np.int64)[order], np.array(moves, np.int32)[order]
+        self.n_out = np.array([len(x) for x in outputs], np.int32)
+        self.first_out = np.cumsum(self.n_out) - self.n_out
+        self.out_length = np.array([k for x in outputs for k, _ in x], np.int32)
+        self.out_score = np.array([v for x in outputs for _, v in x], np.float64)
+        self.has_single = np.array([bool(x) and x[-1][0] == 1 for x in outputs])
+
+    def move(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        out = self.table.take(state * self.width + np.minimum(code, self.width - 1))
+        rare = np.flatnonzero(code >= self.width - 1)
+        if len(rare):
+            at, c = state[rare].astype(np.int64), code[rare]
+            to = np.zeros(len(rare), np.int32)
+            open_ = np.arange(len(rare)) if len(self.keys) else rare[:0]
+            while len(open_):
+                key = at[open_] * self.codes + c[open_]
+                k = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
+                hit = self.keys[k] == key
+                to[open_[hit]] = self.moves[k[hit]]
+                open_ = open_[~hit & (at[open_] > 0)]
+                at[open_] = self.fail[at[open_]]
+            out[rare] = to
+        return out
+
+    def __call__(self, words: list[str], lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each word; ``words`` by falling length."""
+        if not len(words):
+            return np.zeros(0, np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.cumsum(lengths) - lengths
+        longest, rows = int(lengths[0]), len(words)
+        active = np.searchsorted(-lengths, -np.arange(longest), "left")
+        best = np.full((longest + 1, rows), -np.inf)
+        best[0] = 0.0
+        count = np.zeros((longest + 1, rows), np.int32)
+        flat, flat_count = best.ravel(), count.ravel()
+        state = np.zeros(rows, np.int32)
+        for t in range(longest):
+            k = int(active[t])
+            point = points[starts[:k] + t]
+            state = self.move(state[:k], self.code[point])
+            found, pieces = best[t + 1, :k], count[t + 1, :k]
+            n, at = self.n_out[state], self.first_out[state]
+            lane = np.flatnonzero(n)
+            j = 0
+            while len(lane):  # the longest match (the earliest start) first
+                o = at[lane] + j
+                source = (t + 1 - self.out_length[o]) * rows + lane
+                total = self.out_score[o] + flat[source]
+                better = total > found[lane]
+                won = lane[better]
+                found[won] = total[better]
+                pieces[won] = flat_count[source[better]] + 1
+                j += 1
+                lane = lane[n[lane] > j]
+            lane = np.flatnonzero(~self.has_single[state])
+            if len(lane):
+                total = best[t, lane] + self.unknown
+                won = lane[total > found[lane]]
+                found[won] = best[t, won] + self.unknown
+                p = point[won]
+                pieces[won] = count[t, won] + 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
+        return count[lengths, np.arange(rows)].astype(np.int64)
+
+
 def metaspace_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words as Metaspace cuts them (each with its mark), coded."""
     texts = pc.fill_null(common.flat(texts).cast(pa.string()), "")
