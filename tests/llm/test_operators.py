@@ -159,6 +159,26 @@ def test_minhash_blocks(spark, monkeypatch):
     assert mine == brute_components(rows, 4)
 
 
+def test_minhash_unlinked_bucket_stays_linear(spark, monkeypatch):
+    """Texts of 24 equal words but one share buckets and are under 0.8: no pair
+    of them may become a row, however many they are."""
+    written = []
+    keep = minhash.common.cut
+
+    def cut(df, name):
+        out = keep(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash.common, "cut", cut)
+    words = [f"w{i}" for i in range(24)]
+    rows = [(i, " ".join([*words[:12], f"x{i}", *words[13:]])) for i in range(600)]
+    rows += [(700 + i, " ".join([*words, f"y{i}"])) for i in range(3)]
+    mine = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert mine == brute_components(rows, 4)
+    assert max(n for name, n in written if name in ("near", "links", "rest", "edges")) <= 30 * len(rows) and sum(n for name, n in written if name == "rest") <= len(rows)
+
+
 def test_minhash_query_and_odd_rows(spark, sf):
     mine = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.op2_minhash(spark, sf).collect()}
     assert mine == brute_components(texts_of(spark, sf), 4)
@@ -206,6 +226,16 @@ def test_token_ties():
     assert c("ab") == 1 and c("abc") == 2 and c("aXYb") == 3
 
 
+def test_words_in_step_count_like_words_alone():
+    rng = random.Random(8)
+    for trial in range(30):
+        letters = "abcdé日☃" + "".join(chr(0x3400 + i) for i in range(200 if trial % 3 == 0 else 0))  # more letters than columns
+        pieces = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))): float(-rng.randint(1, 6)) for _ in range(rng.randint(1, 150))}
+        own = tokencount.Counter([("<unk>", 0.0), *[(f"<0x{b:02X}>", 0.0) for b in range(256)], *pieces.items()])
+        words = ["".join(rng.choice(letters + "xyz") for _ in range(rng.randint(0, 70))) for _ in range(200)]
+        assert own.words(words).tolist() == [own(w) for w in words]
+
+
 def test_token_counts_of_odd_rows(spark):
     rows = tokencount.with_tokens(odd(spark)).select("doc_id", "n_tokens").collect()
     assert {r.doc_id: r.n_tokens for r in rows if r.doc_id in (1, 2)} == {1: 0, 2: 0} and len(rows) == 8

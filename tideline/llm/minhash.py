@@ -13,20 +13,24 @@ Steps, each over all rows:
    sets, recomputed for the classes concerned only.  The verified pairs give
    first components.
 4. Members of a bucket that are in different components after that could still
-   be linked to each other.  They are compared in blocks of ``BLOCK`` members,
-   by signature and then by their sets' hashes: those outside the pivot's
-   component with those in it, and among themselves.  A task passes on only
-   pairs that join components, one for each join, and these are verified too.
+   be linked to each other.  They are compared in blocks of bounded size, by
+   their full sets: those outside the pivot's component with those in it, and
+   among themselves.  A task counts what its members share through postings of
+   its hashes and passes on only links that join components, one for each join.
    So the components are those of all pairs that share a bucket, while no pair
-   of a group of near copies becomes a row unless it joins something.
+   of a group becomes a row unless it joins something.
+
+Keys that very many rows share (a bucket, a pivot, a set's digest) meet in
+sort-merge joins, whose skewed partitions adaptive execution splits.
 
 With 30 bands of 4 minima a link at the threshold of 0.8 misses every bucket
 with probability 1.4e-7, and its signatures agree in fewer than ``AGREE`` of
-120 places with probability 1e-8.
+120 places with probability 1e-8.  Sets hold 64-bit hashes of shingles.
 
 Defined results: a text without words (or null) has an empty set, is linked
 with nothing and stands for itself; a row with a null id takes part in nothing
-(component null, kept).  Rows that repeat an id are compared like any others.
+(component null, kept).  Rows that repeat an id are compared like any others;
+texts of any length give their whole sets; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,13 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import common
+from tideline.llm.quality import ranges
 
 BANDS, ROWS = 30, 4
 MINIMA = BANDS * ROWS
 #: Signature places in which a pair must agree to be verified.
 AGREE = 70
-#: Members of a bucket that one task compares at a time.
-BLOCK = 512
+#: Members of a bucket, and hashes of their sets, in one of its blocks, about;
+#: a task compares two blocks.
+BLOCK, HASHES = 1024, 1 << 20
 SEED = 0x5EED
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -188,11 +194,17 @@ def linked(percent: int):
     return run
 
 
+def by_key(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join on a key that may be hot: it sorts and merges, so that
+    adaptive execution can split what very many rows share."""
+    return rows.hint("merge")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, text: str) -> DataFrame:
     """Of the pairs (a, b) of class ids, those whose full sets are similar."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "digest"), "id")
     sets = common.cut(full_sets(docs, wanted, size, text), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(by_key(sets.select(F.col("id").alias("a"), F.col("set").alias("x"))), "a").select("a", "b", "x", "y")
     out = common.cut(both.mapInArrow(linked(percent), "a long, b long"), "links")
     common.dropped(sets)
     return out
@@ -207,10 +219,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(by_key(lowest), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: edges now point from larger to smaller.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(by_key(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = common.cut(small, "edges")
         common.dropped(edges)
         edges = new
@@ -221,72 +233,79 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def compact(sets: DataFrame) -> DataFrame:
-    """Sets as the low halves of their hashes: what two share can only grow."""
+def joining(percent: int):
+    """A task of ``leftovers``: of the links between its left and right members,
+    those that join components (a spanning forest of what they join)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            halves = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary(halves)], names=["id", "set"])
+    def run(table: pa.Table) -> pa.Table:
+        ids, out = table.column("id").to_numpy(), table.column("outside").to_numpy()
+        names, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
+        left = np.flatnonzero(out)
+        right = np.flatnonzero(~out) if table.column("kind")[0].as_py() == "mo" else left
+        n = np.array([len(x) for x in sets])
+        # Postings: which right members hold each hash.
+        hashes, codes = np.unique(np.concatenate([sets[j] for j in right]), return_inverse=True)
+        owner = np.repeat(right, n[right])[np.argsort(codes, kind="stable")]
+        ends = np.cumsum(np.bincount(codes, minlength=len(hashes)))
+        joined = np.arange(len(names))  # local component of each component
+        pairs: list[tuple[int, int]] = []
+        for i in left.tolist():
+            if (joined[comp[right]] == joined[comp[i]]).all():
+                continue
+            at = np.searchsorted(hashes, sets[i]).clip(max=len(hashes) - 1)
+            at = at[hashes[at] == sets[i]]
+            first = np.where(at > 0, ends[at - 1], 0)
+            both = np.bincount(owner[ranges(first, ends[at] - first)], minlength=len(ids))
+            near = np.flatnonzero((both > 0) & (100 * both >= percent * (n[i] + n - both)) & (joined[comp] != joined[comp[i]]))
+            for j in near.tolist():
+                if joined[comp[j]] != joined[comp[i]]:
+                    pairs.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                    joined[joined == joined[comp[j]]] = joined[comp[i]]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    return sets.mapInArrow(run, "id long, set binary")
+    return run
 
 
-def leftovers(members: DataFrame, buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, text: str) -> DataFrame | None:
-    """Pairs of one bucket that join different components, as far as the low
-    halves of their hashes tell; of pairs that join the same components, a
-    task names the first.  None if no bucket has more than one component.
+def leftovers(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, text: str) -> DataFrame | None:
+    """Links of one bucket that join different components; of links that join
+    the same components, a task names the first.  None if no bucket has more
+    than one component.
 
-    ``members``: (key, id); ``buckets``: (key, pivot) of buckets with more than
-    two members; ``labels``: (id, component) of linked classes.
+    ``members``: (key, id, pivot, n_shingles) of buckets with more than two
+    members; ``labels``: (id, component) of linked classes.
     """
-    placed = members.join(buckets, "key").join(labels, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("component"))
+    placed = members.join(labels, "id", "left").select("key", "id", "pivot", "n_shingles", F.coalesce("component", "id").alias("component"))
     home = placed.where("id = pivot").select("key", F.col("component").alias("home"))
-    placed = placed.join(home, "key").withColumn("outside", F.col("component") != F.col("home")).select("key", "id", "component", "outside")
-    sizes = placed.groupBy("key").agg(F.count_if(F.col("outside")).alias("o"), F.count_if(~F.col("outside")).alias("m"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("who")).where("o > 0 and o + m > 2")
-    sizes = sizes.groupBy("o", "m", "who").agg(F.min("key").alias("key")).drop("who")  # buckets of the same members count once
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    of = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.greatest(blocks(n), F.lit(1))).cast("int")
-    cells = common.cut(placed.join(sizes, "key").withColumn("at", F.when(F.col("outside"), of("o")).otherwise(of("m"))), "cells")
+    placed = placed.join(by_key(home), "key").select("key", "id", "n_shingles", "component", (F.col("component") != F.col("home")).alias("outside"))
+    placed = common.cut(placed, "placed")
+    hashes = lambda inside: F.coalesce(F.sum(F.when(F.col("outside") != inside, F.col("n_shingles"))), F.lit(0))
+    sizes = placed.groupBy("key").agg(
+        F.count_if(F.col("outside")).alias("o"), F.count_if(~F.col("outside")).alias("m"), hashes(True).alias("oh"), hashes(False).alias("mh"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("who")
+    )
+    sizes = sizes.where("o > 0 and o + m > 2").groupBy("o", "m", "oh", "mh", "who").agg(F.min("key").alias("key")).drop("who")  # buckets of the same members count once
+    blocks = lambda n, h: F.greatest(F.ceil(F.col(n) / BLOCK), F.least(F.col(n), F.ceil(F.col(h) / HASHES))).cast("int")
+    sizes = sizes.select("key", blocks("o", "oh").alias("ob"), blocks("m", "mh").alias("mb"))
+    of = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.greatest(F.col(n), F.lit(1))).cast("int")
+    cells = common.cut(placed.join(by_key(sizes), "key").withColumn("at", F.when(F.col("outside"), of("ob")).otherwise(of("mb"))), "cells")
+    common.dropped(placed)
     if cells.isEmpty():
+        common.dropped(cells)
         return None
-    sketches = classes.join(cells.select("id").distinct(), "id", "left_semi").select("id", "digest", "signature").dropDuplicates(["id"])
-    sets = compact(full_sets(docs, sketches.select("id", "digest"), size, text))
-    known = common.cut(sketches.select("id", "signature").join(sets, "id"), "known")
+    wanted = classes.join(cells.select("id").distinct(), "id", "left_semi").select("id", "digest").dropDuplicates(["id"])
+    known = common.cut(full_sets(docs, wanted, size, text), "known")
     row = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-    upto = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     at = F.col("at")
-    inside = F.transform(upto("o"), lambda j: row("mo", at, j))
+    inside = F.transform(upto("ob"), lambda j: row("mo", at, j))
     outside = F.concat(
-        F.when(F.col("m") > 0, F.transform(upto("m"), lambda i: row("mo", i, at))).otherwise(F.array().cast("array<struct<kind:string,i:int,j:int>>")),
-        F.transform(upto("o"), lambda j: row("oo", F.least(at, j), F.greatest(at, j))),
+        F.when(F.col("mb") > 0, F.transform(upto("mb"), lambda i: row("mo", i, at))).otherwise(F.array().cast("array<struct<kind:string,i:int,j:int>>")),
+        F.transform(upto("ob"), lambda j: row("oo", F.least(at, j), F.greatest(at, j))),
     )
     dealt = cells.select("key", "id", "component", "outside", F.explode(F.when(F.col("outside"), outside).otherwise(inside)).alias("c")).select("key", "c.*", "id", "component", "outside").join(known, "id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, out = table.column("id").to_numpy(), table.column("outside").to_numpy()
-        names, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
-        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), MINIMA)
-        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("set").combine_chunks()]
-        joined = np.arange(len(names))  # local component of each component
-        pairs: list[tuple[int, int]] = []
-        left = np.flatnonzero(out)
-        right = np.flatnonzero(~out) if table.column("kind")[0].as_py() == "mo" else left
-        for i in left.tolist():
-            near = right[joined[comp[right]] != joined[comp[i]]]
-            near = near[(sign[near] == sign[i]).sum(axis=1) >= AGREE]
-            for j in near.tolist():
-                if joined[comp[j]] == joined[comp[i]]:
-                    continue
-                x, y = sets[i], sets[j]
-                both = len(np.intersect1d(x, y, assume_unique=True)) + 2  # two hashes may share a half
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    pairs.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-                    if 100 * (both - 4) >= percent * (len(x) + len(y) - both + 8):  # beyond doubt
-                        joined[joined == joined[comp[j]]] = joined[comp[i]]
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
-
-    return dealt.groupBy("key", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    rest = common.cut(dealt.groupBy("key", "kind", "i", "j").applyInArrow(joining(percent), "a long, b long").distinct(), "rest")
+    common.dropped(cells, known)
+    return rest
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -294,25 +313,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     are linked whose shingle sets have a Jaccard similarity of ``percent``."""
     profile = common.cut(profiled(docs, size, text), "profile")
     full = profile.where("n_shingles > 0 and doc_id is not null")
-    ids = full.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    ids = common.cut(ids, "classes")
-    signed = full.join(ids.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), "digest", "signature", "bands")
+    ids = common.cut(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    signed = full.join(ids.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), "n_shingles", "digest", "signature", "bands")
     classes = common.cut(signed, "signed")
     signs = classes.select("id", "signature").dropDuplicates(["id"])
-    members = classes.select("id", F.explode("bands").alias("key")).distinct()
+    members = classes.select("id", "n_shingles", F.explode("bands").alias("key")).dropDuplicates(["id", "key"])
     buckets = common.cut(members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = common.cut(members.join(buckets, "key").select("key", "id", "pivot", "n"), "members")
+    shared = common.cut(members.join(by_key(buckets), "key").select("key", "id", "n_shingles", "pivot", "n"), "members")
     pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    near = pairs.join(signs.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").join(signs.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").select("a", "b", "sa", "sb")
+    near = pairs.join(signs.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").join(by_key(signs.select(F.col("id").alias("a"), F.col("signature").alias("sa"))), "a").select("a", "b", "sa", "sb")
     near = common.cut(near.mapInArrow(agreeing, "a long, b long"), "near")
     links = verified(near, docs, classes, size, percent, text)
     labels = common.cut(components(links), "labels")
-    rest = leftovers(shared.where("n > 2").select("key", "id"), buckets.where("n > 2").select("key", "pivot"), labels, classes, docs, size, percent, text)
-    if rest is not None and not (rest := common.cut(rest, "rest")).isEmpty():
-        more = verified(rest, docs, classes, size, percent, text)
-        labels = common.cut(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "labels")
+    rest = leftovers(shared.where("n > 2"), labels, classes, docs, size, percent, text)
+    if rest is not None:
+        first = labels
+        labels = common.cut(components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)), "labels")
+        common.dropped(first, rest)
+    common.dropped(classes, buckets, shared, near, links)
     placed = ids.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = profile.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(placed, "digest", "left")
+    rows = profile.select("doc_id", "n_shingles", "digest")
+    out = rows.where("digest is not null and doc_id is not null").join(by_key(placed), "digest", "left").select("doc_id", "n_shingles", "component")
+    out = out.unionByName(rows.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
