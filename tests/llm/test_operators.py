@@ -385,13 +385,55 @@ def test_html_templates(spark):
     page = lambda i: f"<html><body><div class='top'>Site</div><div class='wrap'><h2>Title {i}</h2><p>{'word ' * 50} {i}</p></div><div class='low'>end</div></body></html>"
     rows = [(i, "http://Host.example/x", page(i)) for i in range(6)] + [(9, None, None), (9, "no url", "<p>q")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
-    found = {r.host: [t.token for t in r.template] for r in htmlmain.templates(df).collect()}
-    assert "/html/body/div[wrap]" in found["host.example"]
+    found = {r.host: r.mains for r in htmlmain.templates(df).collect()}
+    p = htmlmain.Page(page(1))
+    wrap = next(p.parent[t] for t, tag in p.tag.items() if tag == "h2")
+    assert found == {"host.example": [wrap]}
     mine = htmlmain.extracted(df).collect()
     assert len(mine) == 8 and all(r.text.startswith("Title") and "Site" not in r.text for r in mine if r.page_id < 6)
     assert htmlmain.extracted(df.limit(0)).count() == 0
 
 
+def test_html_letters_that_change_length():
+    source = "<article><p>before İ İİİ text</p><SCRIPT>x</p></Script><p>after one</p><style>p</STYLE ><p>K two</p></article>"
+    assert htmlmain.extract(source) == "before İ İİİ text\nafter one\nK two"
+
+
+def test_html_names_are_a_tie_break():
+    source = "<article><h1 class='header'>T</h1><div class='related-work'><p>earlier studies</p></div><p id='share-price'>up 3</p><div class='cookie-notice'>eat</div><div class='ad slot'>buy</div><div class='share'>" + "long text " * 20 + "</div></article>"
+    assert htmlmain.extract(source) == "T\nearlier studies\nup 3\n" + ("long text " * 20).strip()
+    assert htmlmain.extract("<p>a longer text <span class='ad'>x <span>y</span> z</span> b</p>") == "a longer text b"
+
+
+def unnamed_page(rng, i):
+    """A page without article or main, with unnamed menu, adverts and footer."""
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    menu = "".join(f"<li><a href='/{w}'>{w}</a>" for w in words(5).split())
+    body = [f"Title {i} {words(3)}", *[words(rng.randint(10, 40)) for _ in range(rng.randint(3, 6))]]
+    text = f"<h1>{body[0]}</h1>" + "<div class=k9>Join our list today</div>".join(f"<p>{p}</p>" for p in body[1:])
+    return f"<html><body><div class=a1><ul>{menu}</ul></div><div class=b2><div class=c3>{words(8)}</div><div class=d4>{text}</div><div class=e5>{words(9)}</div></div><div class=f6>{words(6)}</div></body></html>", "\n".join(body)
+
+
+def test_html_main_by_template(spark):
+    rng = random.Random(11)
+    made = [unnamed_page(rng, i) for i in range(40)]
+    df = spark.createDataFrame([(i, f"https://u@www.a.example:80/{i}", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    mine = {r.page_id: r.text for r in htmlmain.extracted(df).collect()}
+    assert [mine[i] for i in range(40)] == [t for _, t in made]
+    assert all(htmlmain.extract(h) != t for h, t in made)  # without the template none is right
+
+
+def test_html_hot_host_and_deep_pages(spark):
+    deep = "<div>" * 30_000 + "<p>x<nav>menu</nav>y" + "</div>" * 30_000
+    assert htmlmain.extract(deep) == "x\ny"
+    rows = [(i, "http://hot.example/", f"<body><div class=n>All rights kept</div><main><p>Part {i % 7} of {i}</p></main></body>") for i in range(300)]
+    rows += rows[:3] + [(1000, "http://hot.example/", deep), (1001, "http://hot.example/", "<p>" + "long " * 200_000), (1002, "http://hot.example/", "")]
+    found = htmlmain.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows) and all(r.text == f"Part {r.page_id % 7} of {r.page_id}" for r in found if r.page_id < 300)
+    mine = {r.page_id: r for r in found}
+    assert mine[1000].text == "x\ny" and mine[1001].n_chars == 999_999 and mine[1002].text == ""
+
+
 def test_html_repeated_text(spark):
     page = lambda i: f"<body><article><h1>Title {i}</h1><div class='x1'>Read our paper every day</div><p>Story {i} of the <b>town</b></p><div class='q7'>Part {i}<p>Join <i>us</i> now</p></div></article></body>"
     rows = [(i, "http://a.example/x%d" % i, page(i)) for i in range(6)] + [(10 + i, "http://b.example/x%d" % i, page(1)) for i in range(4)] + [(20, "http://c.example/x", page(20))]

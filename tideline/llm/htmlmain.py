@@ -1,26 +1,37 @@
 """HTML extraction by template deduction over the pages of a host.
 
-A token is a tag, or the text of a block, with its path of enclosing elements.
-Over the pages of a host
+A token is an element with its path of enclosing elements (tag, class and role
+of each), or the text of a whole block with its path.  Over the pages of a host
 each token has an occurrence vector: how often it occurs in each page.  Tokens
-with the same vector form an equivalence class.  Large classes that most pages
-hold are the host's template; classes nest where one class's paths all lie
-under a token of another.  What stands between template tokens are slots; the
-slots under the template's main element and outside its menus, adverts and
-other furniture hold the page's text.  Text counts by whole blocks, not by single
-words, so that words which all pages of a small host happen to share stay; a
-block that only copies of one page hold is no template.
+with the same vector form an equivalence class; classes of two or more tokens
+that most pages hold are the host's template, and an element nests in the
+classes of the elements around it.  Text that is a template token is furniture
+wherever it stands.  What is left between template tokens are slots.
+
+The main element is chosen from the template: an element that occurs once a
+page, inside such elements only, and whose slots hold most of the host's free
+text and its headings; of these the deepest.  Names decide only ties: an
+``article`` or ``main`` element among them comes first.  Its slots, without what
+HTML itself calls furniture (``nav``, ``footer``, ``form`` ...), are the page's
+text.  Class and id values mark furniture only where they say nothing else
+("cookie-notice", not "related-work") and the element holds no more than half
+of the page's text.
 
 Vectors are never built: a token's vector is known by two sums, over pages, of
 hashes of (page, count), so a host of any size costs one mergeable aggregate.
 A template lists tokens that at least half of a host's pages hold, so it has at
-most twice as many as a page.
+most twice as many as a page.  Paths are chained 64-bit hashes, so depth costs
+nothing.  Text counts by whole blocks, not by single words, so that words which
+all pages of a small host happen to share stay; a block that only copies of one
+page hold is no template.
 
 Pages on hosts too small for evidence, and pages that lack the template's main
 element, use their own first article or main element, else their body.
 
 Defined results: a null or empty html gives an empty text; a page with a null
-url counts as of one host without name.
+url counts as of one host without name; repeated rows give their text each;
+pages of any length and depth are taken whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,7 +40,6 @@ import html as htmllib
 import re
 from collections import Counter
 from collections.abc import Collection, Iterator
-from dataclasses import dataclass, field
 from itertools import groupby
 
 import pyarrow as pa
@@ -43,14 +53,9 @@ from tideline.llm import common
 PAGES, SHARE = 3, 0.5
 #: Tokens of a class that make it large enough.
 TOKENS = 2
-#: Share of a page's free text under the main element, where none is named so.
-WEIGHT = 0.6
-#: Elements within elements that paths tell apart.
-DEPTH = 200
-#: Places in which a host's pages meet its template.
-SALTS = 32
-#: How tokens of text begin.
-TEXT = "\x01"
+#: Share of the host's free text, and of its pages with a heading, that the
+#: main element must hold; share of text that a named main element must hold.
+WEIGHT, HEADINGS, NAMED = 0.6, 0.8, 0.25
 #: Elements by their role.
 FURNITURE = frozenset("nav header footer aside form script style noscript template head title button select option iframe svg canvas dialog menu object video audio".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
@@ -58,219 +63,286 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in class, id and role values that mark furniture.
+MAIN = frozenset({"article", "main"})
+HOLDERS = frozenset("body div section td center main article".split())
+#: Never furniture by name.
+PLAIN = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: Words of class, id and role values that name furniture, and words that such
+#: values may hold besides.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation "
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation "
     "newsletter notice overlay pagination popup promo promotion recommended related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-MAIN = frozenset({"article", "main"})
-HOLDERS = frozenset("body div section td center main article".split())
+BESIDES = frozenset("area bar block bottom box container content fixed form global group header inner item items left list main module outer page panel primary reader right row secondary section site slot top unit user wrap wrapper".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
+DIGITS = re.compile(r"\d+")
+ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
+#: Kinds of tokens, and how an element is marked as furniture.
+ELEMENT, HOLDER, MAIN_ELEMENT, TEXT = range(4)
+FREE, BY_NAME, BY_TAG = range(3)
+
+
+def named(attributes: str) -> tuple[str, bool, bool]:
+    """(label from class and role; whether class, id and role name furniture;
+    whether the role is main)."""
+    if "=" not in attributes:
+        return "", False, False
+    values = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in ATTRIBUTE.finditer(attributes)]
+    furniture = False
+    for _, value in values:
+        for name in value.split():
+            words = set(WORDS.findall(name))
+            furniture |= bool(words & MARKS) and words <= MARKS | BESIDES
+    label = ".".join(sorted(DIGITS.sub("#", " ".join(v.split())) for k, v in values if k in ("class", "role")))
+    return label, furniture, ("role", "main") in values
+
+
+_children: dict[tuple[int, str], int] = {}
 
-@dataclass
-class Page:
-    """Tokens and text of one page: ``tokens`` counts paths, ``slots`` lists
-    (path, block number, text) in page order."""
-
-    tokens: Counter = field(default_factory=Counter)
-    slots: list[tuple[str, int, str]] = field(default_factory=list)
-
-
-def named(attributes: str) -> tuple[str, bool]:
-    """(label from class, id and role; whether they mark furniture)."""
-    if not attributes or "=" not in attributes:
-        return "", False
-    values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)]
-    words = {w for _, v in values for w in WORDS.findall(v.lower())}
-    label = ".".join(sorted(v.strip().lower() for k, v in values if k in ("class", "role")))
-    return label, bool(words & MARKS)
-
-
-def parsed(source: str) -> Page:
-    """Tokens and slots; furniture elements end their name with "!"."""
-    page = Page()
-    stack: list[tuple[str, str]] = []  # (tag, path)
-    block, at, path = 0, 0, ""
-    low = None
-    while True:
-        m = TAG.search(source, at)
-        text = source[at : m.start() if m else len(source)]
-        if text:
-            page.slots.append((path, block, text))
-        if not m:
-            return page
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag or tag == "br":
-            if tag:
-                page.slots.append((path, block, " "))
-            continue
-        if m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    if t == tag:
-                        break
-                path = stack[-1][1] if stack else ""
-            block += tag not in INLINE
-            continue
-        label, furniture = named(m[3]) if m[3] else ("", False)
-        if tag in INLINE and not furniture:
-            continue
-        block += tag not in INLINE
-        shut = CLOSES.get(tag, ()) or ({"p"} if tag in ENDS_P else ())
-        if shut and stack and stack[-1][0] in shut:
-            while stack and stack[-1][0] in shut:
-                stack.pop()
-            path = stack[-1][1] if stack else ""
-        name = tag + (f"[{label}]" if label else "") + ("!" if furniture or tag in FURNITURE else "")
-        if len(stack) < DEPTH:
-            own = f"{path}/{name}"
-        else:  # too deep to be a token of its own; furniture stays marked
-            own = path if free(name) or not free(path) else f"{path}/!"
-        page.tokens[own] += 1
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        if tag in RAW:
-            if low is None:
-                low = source.lower()
-            end = low.find("</" + tag, at)
-            at = len(source) if end < 0 else end
-        stack.append((tag, own))
-        path = own
-
-
-def free(path: str) -> bool:
-    return "!" not in path
-
-
-def main_of(paths: Iterator[str] | list[str]) -> str | None:
-    """The shallowest, then first, path that ends in a main element."""
-    found = [p for p in paths if free(p) and re.split(r"[\[!]", p.rsplit("/", 1)[-1])[0] in MAIN or free(p) and re.search(r"\[(?:[^\]]*\.)?main[^/]*\]$", p)]
-    return min(found, key=lambda p: (p.count("/"), p), default=None)
-
-
-def under(path: str, top: str) -> bool:
-    return path == top or path.startswith(top + "/")
-
-
-def blocks(page: Page) -> Iterator[tuple[str, str]]:
-    """(path, line) of each block with text outside furniture."""
-    for _, group in groupby((x for x in page.slots if free(x[0])), lambda x: x[1]):
-        slots = list(group)
-        if line := " ".join(htmllib.unescape("".join(text for *_, text in slots)).split()):
-            yield slots[0][0], line
-
-
-def text_token(path: str, line: str) -> str:
-    return TEXT + xxhash.xxh3_64_hexdigest(f"{path}\0{line}".encode("utf-8", "surrogatepass"))
-
-
-def text_of(page: Page, top: str | None, repeated: Collection[str] = ()) -> str:
-    """Text of the slots under ``top``, one line per block, without lines whose
-    tokens are ``repeated`` (unless all are: then the pages are copies)."""
-    lines = [(path, line) for path, line in blocks(page) if top is None or under(path, top)]
-    slots = [x for x in lines if text_token(*x) not in repeated] if repeated else lines
-    return "\n".join(line for _, line in slots or lines)
 
+def child(parent: int, name: str) -> int:
+    """The token of an element ``name`` in that of ``parent``."""
+    found = _children.get((parent, name))
+    if found is None:
+        if len(_children) > 200_000:
+            _children.clear()
+        found = _children[parent, name] = xxhash.xxh3_64_intdigest(f"{parent}/{name}".encode("utf-8", "surrogatepass")) >> 1 or 1
+    return found
 
-def extract(source: str | None, template: list[str], repeated: Collection[str] = ()) -> str:
-    """Main text of a page, given the main elements that its host's template
-    has (best first) and the template's tokens of text."""
+
+class Page:
+    """Tokens and slots of one page.  ``parent``, ``tag``, ``mark`` and ``kind``
+    describe each token, parents first (the page itself is 0); ``slots`` lists
+    (token, block number, text) in page order."""
+
+    def __init__(self, source: str):
+        self.parent: dict[int, int] = {0: 0}
+        self.tag, self.mark, self.kind, self.depth = {0: ""}, {0: FREE}, {0: ELEMENT}, {0: 0}
+        self.times: Counter = Counter()
+        self.slots: list[tuple[int, int, str]] = []
+        self.parse(source)
+        self.free = self.freed()
+
+    def parse(self, source: str) -> None:
+        stack: list[tuple[str, int]] = []
+        opened: Counter = Counter()
+        block, at, own = 0, 0, 0
+        while True:
+            m = TAG.search(source, at)
+            text = source[at : m.start() if m else len(source)]
+            if text:
+                self.slots.append((own, block, text))
+            if not m:
+                return
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag or tag == "br":
+                if tag:
+                    self.slots.append((own, block, " "))
+                continue
+            if m[1]:
+                if opened[tag]:
+                    while True:
+                        t, _ = stack.pop()
+                        opened[t] -= 1
+                        if t == tag:
+                            break
+                    own = stack[-1][1] if stack else 0
+                block += tag not in INLINE
+                continue
+            label, by_name, is_main = named(m[3]) if m[3] else ("", False, False)
+            if tag in INLINE and not by_name and not opened[tag]:
+                continue
+            block += tag not in INLINE
+            shut = CLOSES.get(tag, ()) or ({"p"} if tag in ENDS_P else ())
+            while shut and stack and stack[-1][0] in shut:
+                opened[stack.pop()[0]] -= 1
+            up = stack[-1][1] if stack else 0
+            own = child(up, f"{tag} {label}!" if by_name else f"{tag} {label}")
+            if own not in self.parent:
+                self.parent[own], self.tag[own], self.depth[own] = up, tag, self.depth[up] + 1
+                self.mark[own] = BY_TAG if tag in FURNITURE else BY_NAME if by_name and tag not in PLAIN else FREE
+                self.kind[own] = MAIN_ELEMENT if is_main or tag in MAIN else HOLDER if tag in HOLDERS else ELEMENT
+            self.times[own] += 1
+            if tag in VOID or m[3].endswith("/"):
+                own = up
+                continue
+            if tag in RAW:
+                end = ENDS[tag].search(source, at)
+                at = end.start() if end else len(source)
+            stack.append((tag, own))
+            opened[tag] += 1
+
+    def weights(self, free: dict[int, bool]) -> Counter:
+        """Characters of free text under each token."""
+        weight: Counter = Counter()
+        for token, _, text in self.slots:
+            if free[token]:
+                weight[token] += len(text)
+        for token in reversed(self.parent):
+            if token and token in weight:
+                weight[self.parent[token]] += weight[token]
+        return weight
+
+    def freed(self) -> dict[int, bool]:
+        """Whether each token stands outside furniture."""
+
+        def under(marks: dict[int, int]) -> dict[int, bool]:
+            free: dict[int, bool] = {}
+            for token, up in self.parent.items():
+                free[token] = marks[token] == FREE and (token == 0 or free[up])
+            return free
+
+        if BY_NAME in self.mark.values():
+            weight = self.weights(under({t: m if m == BY_TAG else FREE for t, m in self.mark.items()}))
+            for token, m in self.mark.items():
+                if m == BY_NAME and 2 * weight[token] > weight[0]:
+                    self.mark[token] = FREE  # a name does not outweigh most of a page's text
+        return under(self.mark)
+
+    def blocks(self) -> Iterator[tuple[int, str]]:
+        """(token, line) of each block with text outside furniture."""
+        for _, group in groupby((x for x in self.slots if self.free[x[0]]), lambda x: x[1]):
+            slots = list(group)
+            if line := " ".join(htmllib.unescape("".join(text for *_, text in slots)).split()):
+                yield slots[0][0], line
+
+    def main(self) -> int:
+        """The shallowest, then first, named main element, or the page itself."""
+        found = [t for t in self.parent if self.kind[t] == MAIN_ELEMENT and self.free[t]]
+        return min(found, key=lambda t: self.depth[t], default=0)
+
+    def under(self, top: int) -> dict[int, bool]:
+        inside: dict[int, bool] = {}
+        for token, up in self.parent.items():
+            inside[token] = token == top or (token != 0 and inside[up])
+        return inside
+
+
+def text_token(token: int, line: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{token}\0{line}".encode("utf-8", "surrogatepass")) >> 1 or 1
+
+
+def extract(source: str | None, mains: Collection[int] = (), repeated: Collection[int] = ()) -> str:
+    """Main text of a page, given the main elements of its host's template
+    (best first) and the template's tokens of text: one line per block.  Where
+    all blocks are template, the pages are copies and keep them."""
     if not source:
         return ""
-    page = parsed(source)
-    top = next((t for t in template if t in page.tokens), None)
-    if top is None:
-        top = main_of(page.tokens)
-    return text_of(page, top, repeated)
+    page = Page(source)
+    top = next((t for t in mains if t in page.parent), None)
+    inside = page.under(page.main() if top is None else top)
+    lines = [(token, line) for token, line in page.blocks() if inside[token]]
+    slots = [x for x in lines if text_token(*x) not in repeated] if repeated else lines
+    return "\n".join(line for _, line in slots or lines)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+SUMS = ("h1", "h2", "pages", "times", "weight", "heads")
+
+
 def evidence(pages: DataFrame, url: str, html: str) -> DataFrame:
     """Per batch, host and token: two sums that identify the occurrence vector,
-    pages that hold it, occurrences, characters of free text under it, and the
-    least and largest hash of a page that holds it."""
+    pages that hold it, occurrences, characters of free text under it and pages
+    with a heading under it; the least and largest hash of a page that holds it;
+    its parent, kind, depth and whether it is free."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "html", 8 << 20):
-            found: dict[tuple[str, str], list[int]] = {}
+            found: dict[tuple[str, int], list[int]] = {}
             for host, name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                page = parsed(source)
-                own = xxhash.xxh32_intdigest(source.encode("utf-8", "surrogatepass"))
-                texts = Counter(text_token(*x) for x in blocks(page))
-                weight: Counter = Counter()
-                for path, _, text in page.slots:
-                    if free(path):
-                        weight[path] += len(text)
-                for path, n in list(weight.items()):  # add to all above
-                    while "/" in path[1:]:
-                        path = path[: path.rindex("/")]
-                        weight[path] += n
-                for token, n in [*page.tokens.items(), *texts.items(), ("", 1)]:
+                page = Page(source)
+                content = xxhash.xxh32_intdigest(source.encode("utf-8", "surrogatepass"))
+                weight = page.weights(page.free)
+                lines = list(page.blocks())
+                heads: set[int] = set()
+                texts: dict[int, tuple[int, int, int]] = {}
+                for token, line in lines:
+                    own = text_token(token, line)
+                    n, size, _ = texts.get(own, (0, 0, 0))
+                    texts[own] = n + 1, size + len(line), token
+                    at = token
+                    while page.tag[at] != "h1" and at:
+                        at = page.parent[at]
+                    while at and at not in heads:
+                        heads.add(at)
+                        at = page.parent[at]
+                rows = [(t, n, weight[t], t in heads, page.parent[t], page.kind[t], page.depth[t], page.free[t]) for t, n in page.times.items()]
+                rows += [(t, n, size, False, up, TEXT, 0, True) for t, (n, size, up) in texts.items()]
+                rows.append((0, 1, weight[0], bool(heads), 0, ELEMENT, 0, True))
+                for token, n, size, headed, up, kind, depth, free in rows:
                     h = xxhash.xxh3_64_intdigest(f"{name} {n}")
-                    sums = found.setdefault((host, token), [0, 0, 0, 0, 0, own, own])
-                    for k, x in enumerate((h & 0xFFFFFFFF, h >> 32, 1, n, weight[token])):
+                    sums = found.setdefault((host, token), [0, 0, 0, 0, 0, 0, content, content, up, kind, depth, int(free)])
+                    for k, x in enumerate((h & 0xFFFFFFFF, h >> 32, 1, n, size, headed)):
                         sums[k] += x
-                    sums[5:] = min(sums[5], own), max(sums[6], own)
+                    sums[6:8] = min(sums[6], content), max(sums[7], content)
             keys = list(found)
-            columns = list(zip(*found.values(), strict=True)) if found else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["host", "token", "h1", "h2", "pages", "times", "weight", "low", "high"])
+            columns = list(zip(*found.values(), strict=True)) if found else [[]] * 12
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], names=["host", "token", *SUMS, "low", "high", "parent", "kind", "depth", "free"])
 
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "host string, token string, h1 long, h2 long, pages long, times long, weight long, low long, high long")
+    columns = ["host string", *[f"{c} long" for c in ("token", *SUMS, "low", "high", "parent", "kind", "depth", "free")]]
+    return rows.mapInArrow(lambda batches: common.trimmed(run(batches)), ", ".join(columns))
+
+
+def deduced(tokens: list[dict]) -> tuple[list[int], list[int]]:
+    """(main elements, best first; tokens of text) of a host's template, from
+    the tokens that enough of its pages hold."""
+    whole = next((t for t in tokens if t["token"] == 0), None)
+    vector = lambda t: (t["h1"], t["h2"], t["pages"], t["times"])
+    size = Counter(vector(t) for t in tokens if t["token"])
+    template = {t["token"]: t for t in tokens if t["token"] and size[vector(t)] >= TOKENS}
+    repeated = [t for t in template.values() if t["kind"] == TEXT and t["low"] < t["high"]]
+    slots = {t["token"]: t["weight"] for t in tokens}  # text that is no template
+    parents = {t["token"]: t["parent"] for t in tokens}
+    for t in repeated:
+        at = t["parent"]
+        while at:
+            slots[at] = slots.get(at, 0) - t["weight"]
+            at = parents.get(at, 0)
+        slots[0] = slots.get(0, 0) - t["weight"]
+
+    def once(t: dict) -> bool:
+        """Whether it and all around it occur once a page."""
+        while t is not None and t["pages"] == t["times"]:
+            if not t["parent"]:
+                return True
+            t = template.get(t["parent"])
+        return False
+
+    single = [t for t in template.values() if t["kind"] in (HOLDER, MAIN_ELEMENT) and t["free"] and once(t)]
+    text, heads = max(1, slots.get(0, 0)), whole["heads"] if whole else 0
+    named_main = [t for t in single if t["kind"] == MAIN_ELEMENT and slots[t["token"]] >= NAMED * text]
+    heavy = [t for t in single if slots[t["token"]] >= WEIGHT * text]
+    heavy = [t for t in heavy if t["heads"] >= HEADINGS * heads] or heavy
+    mains = sorted(named_main, key=lambda t: (t["depth"], t["token"]))[:1] or sorted(heavy, key=lambda t: (-t["depth"], -slots[t["token"]], t["token"]))[:1]
+    return [t["token"] for t in mains], sorted(t["token"] for t in repeated)
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, template): tokens of the host's valid classes, as structs (token,
-    class, nested in class, weight), for hosts with enough pages."""
-    tokens = evidence(pages, url, html).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("h1", "h2", "pages", "times", "weight")], F.min("low").alias("low"), F.max("high").alias("high"))
-    sizes = tokens.where("token = ''").select("host", F.col("pages").alias("all"), F.col("weight").alias("text"))
-    held = tokens.where("token <> ''").join(sizes, "host").where((F.col("all") >= PAGES) & (F.col("pages") >= SHARE * F.col("all")) & (~F.startswith("token", F.lit(TEXT)) | (F.col("low") < F.col("high"))))
-    one = F.struct("token", "weight", "text", F.concat_ws(":", "h1", "h2", "pages", "times").alias("vector"), (F.col("pages") == F.col("times")).alias("single"))
-    classes = held.groupBy("host").agg(F.sort_array(F.collect_list(one)).alias("tokens"))  # at most 1 / SHARE pages' tokens
-    size = lambda t: F.size(F.filter("tokens", lambda x: x["vector"] == t["vector"]))
-    valid = F.filter("tokens", lambda t: size(t) >= TOKENS)
-    return classes.select("host", valid.alias("template"))
-
-
-def nested(template: list[dict]) -> dict[str, str | None]:
-    """For each class (vector) the class that it is nested in: the one with the
-    deepest token above all of its own."""
-    of: dict[str, list[str]] = {}
-    for t in template:
-        of.setdefault(t["vector"], []).append(t["token"])
-    home = {t["token"]: t["vector"] for t in template}
-    out: dict[str, str | None] = {}
-    for vector, paths in of.items():
-        above = paths[0].rsplit("/", 1)[0]
-        while above and not (home.get(above, vector) != vector and all(under(p, above) for p in paths)):
-            above = above.rsplit("/", 1)[0]
-        out[vector] = home.get(above) if above else None
-    return out
-
-
-def mains(template: list[dict]) -> list[str]:
-    """Main elements of a template, best first: tokens that occur once a page,
-    in a class that is nested in none (or in such a one), named main elements
-    first; else the deepest that holds most of the free text."""
-    template = [t for t in template if not t["token"].startswith(TEXT)]
-    inner = nested(template)
-    single = [t for t in template if t["single"] and free(t["token"]) and (inner[t["vector"]] is None or any(x["single"] for x in template if x["vector"] == inner[t["vector"]]))]
-    named_main = main_of([t["token"] for t in single])
-    if named_main:
-        return [named_main]
-    holds = lambda path: re.split(r"[\[!]", path.rsplit("/", 1)[-1])[0] in HOLDERS
-    heavy = [t for t in single if holds(t["token"]) and t["weight"] >= WEIGHT * max(1, t["text"])]
-    deepest = max(heavy, key=lambda t: (t["token"].count("/"), t["weight"], t["token"]), default=None)
-    return [deepest["token"]] if deepest else []
+    """(host, mains, repeated): main elements and tokens of text of the template
+    of each host with enough pages."""
+    fixed = ("parent", "kind", "depth", "free")
+    tokens = evidence(pages, url, html).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in SUMS], F.min("low").alias("low"), F.max("high").alias("high"), *[F.min(c).alias(c) for c in fixed])
+    tokens = common.cut(tokens, "tokens")  # read twice; pages are parsed once for it
+    sizes = tokens.where("token = 0").select("host", F.col("pages").alias("all")).where(F.col("all") >= PAGES)
+    held = tokens.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all"))
+    one = F.struct("token", *SUMS, "low", "high", *fixed)
+    hosts = held.groupBy("host").agg(F.collect_list(one).alias("tokens"))  # at most 1 / SHARE pages' tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [deduced(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1)]], names=["host", "mains", "repeated"])
+
+    return hosts.mapInArrow(run, "host string, mains array<long>, repeated array<long>")
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -278,30 +350,20 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", keep: list
     made = ["text", "n_chars"]
     keep = [c for c in (pages.columns if keep is None else keep) if c not in made]
     common.arrow_batches(pages.sparkSession)
-    found = templates(pages, url, html)
-    rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"), F.pmod(F.xxhash64(F.col(f"`{html}`"), F.col(f"`{url}`")), F.lit(SALTS)).cast("int").alias("salt"))
-    # A host may have a third of all pages: its pages meet its template in SALTS places.
-    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.join(found, ["host", "salt"], "left").select(*[f"k{i}" for i in range(len(keep))], "html", F.to_json("template").alias("template"))
+    # Small, so that pages meet it in a broadcast where its size allows; else in
+    # a sort-merge join, whose hot hosts adaptive execution splits.
+    found = common.cut(templates(pages, url, html), "templates")
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"))
+    rows = rows.join(found, "host", "left").select(*[f"k{i}" for i in range(len(keep))], "html", "mains", "repeated")
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        known: dict[str | None, tuple[list[str], frozenset[str]]] = {None: ([], frozenset())}
         for batch in common.slices(batches, "html", 8 << 20):
-            texts = []
-            for source, template in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True):
-                if template not in known:
-                    if len(known) > 1000:
-                        known = {None: ([], frozenset())}
-                    of = json.loads(template)
-                    known[template] = mains(of), frozenset(t["token"] for t in of if t["token"].startswith(TEXT))
-                texts.append(extract(source, *known[template]))
+            texts = [extract(source, mains or (), frozenset(repeated or ())) for source, mains, repeated in zip(*[batch.column(k + i).to_pylist() for i in range(3)], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, *made])
 
     schema = pages.select(*[F.col(f"`{c}`") for c in keep]).schema.add("text", "string", True).add("n_chars", "long", True)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: common.trimmed(run(batches)), schema)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
