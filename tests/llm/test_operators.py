@@ -321,8 +321,6 @@ def test_bpe_of_odd_rows(spark):
 
 
 def test_quality_counts(spark, sf):
-    import public_tokenizers
-
     def brute(t):
         t = t or ""
         w = WORD.findall(t)
@@ -334,28 +332,51 @@ def test_quality_counts(spark, sf):
             seen.add(line)
         return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), again, len(hit)
 
-    path = public_tokenizers.path(quality.VOCABULARY)
+    paths = quality.vocabularies(None)
     rng = random.Random(3)
     texts = [None, "", " \n "] + ["".join(rng.choice("ab \n#é") for _ in range(rng.randint(0, 80))) for _ in range(800)] + [t for _, t in texts_of(spark, sf)]
-    m = quality.measure(pa.array(texts), path)
+    m = quality.measure(pa.array(texts), paths)
     for i, t in enumerate(texts):
         assert tuple(int(m[c][i]) for c in quality.COUNTS) == brute(t)
-    tokens, _ = quality.state(path)
-    for i in range(len(texts) - 30, len(texts)):
-        ids = [x for w in WORD.findall(texts[i]) for x in tokens.model.encode(w)]
-        c = collections.Counter(ids)
-        assert m["n_tokens"][i] == len(ids) and abs(m["token_entropy"][i] + sum(n / len(ids) * math.log2(n / len(ids)) for n in c.values())) < 1e-9
+    for k, path in enumerate(paths):
+        tokens, _ = quality.state(path)
+        end = f"_{k + 1}" if k else ""
+        for i in range(len(texts) - 30, len(texts)):
+            ids = [x for w in WORD.findall(texts[i]) for x in (tokens.model.encode_ordinary(" " + w) if k else tokens.model.encode(w))]
+            c = collections.Counter(ids)
+            assert m["n_tokens" + end][i] == len(ids) and abs(m["token_entropy" + end][i] + sum(n / len(ids) * math.log2(n / len(ids)) for n in c.values())) < 1e-9
 
 
 def test_quality_verdict(spark, sf):
-    rows = quality.op6_quality(spark, sf).collect()
+    path = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "quality")
+    rows = quality.op6_quality(spark, path).join(labels, "doc_id", "left").collect()
     prose = [r for r in rows if not r.base_failed and r.n_symbols < 0.05 * r.n_words]
     assert sum(r.kept for r in prose) >= 0.98 * len(prose) and not any(r.kept for r in rows if r.base_failed)
+    junk = [r for r in rows if r.quality == 0 and not r.base_failed]  # the bands see no labels
+    assert len(junk) >= 15 and sum(r.kept for r in junk) <= 0.5 * len(junk)
     bad = " ".join(f"abc\U0001f9ff\U0001f9ff{i}" for i in range(300))  # byte fallback in Latin text
     good = " ".join(f"{a}{b} and" for a in ("river", "stone", "cloud", "garden", "winter") for b in ("s", "ed", "ing", "er", "less", "ful", "side", "like"))
     found = {r.doc_id: r.kept for r in quality.assessed(spark.createDataFrame([(1, bad), (2, good), (3, "x " * 100)], "doc_id long, text string")).collect()}
     assert found == {1: False, 2: True, 3: False}
-    assert quality.assessed(odd(spark)).count() == 8 and quality.assessed(empty(spark)).count() == 0
+    fitted = quality.fit(odd(spark), lang="lang")
+    assert quality.assessed(odd(spark), fitted, lang="lang").count() == 8 and quality.assessed(empty(spark), quality.fit(empty(spark))).count() == 0
+
+
+def test_quality_bands_are_fitted(spark):
+    """Planted junk of each kind is rejected by bands fitted on a mixture that
+    holds it; other scripts have bands of their own."""
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    prose = lambda letters: " ".join(word(letters) for _ in range(rng.randint(140, 160)))
+    latin, greek = "etaoinshrdlu", "αειοντσρκλ"
+    rows = [(i, prose(latin if i % 2 else greek), None if i % 3 else "xx") for i in range(600)]
+    junk = [(1000 + i, " | ".join(word(latin) for _ in range(100)), None) for i in range(10)] + [(1100 + i, " ".join(word(latin) + "☃\U0001f9ff" for _ in range(120)), None) for i in range(10)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    fitted = quality.fit(df, lang="lang")
+    assert {k[:2] for k in fitted} >= {("script", "latin"), ("script", "greek"), ("lang", "xx")}
+    kept = {r.doc_id: r.kept for r in quality.assessed(df, fitted, lang="lang").collect()}
+    assert not any(kept[i] for i, *_ in junk) and sum(kept[i] for i, *_ in rows) >= 0.98 * len(rows)
 
 
 # 7 ---------------------------------------------------------------------------

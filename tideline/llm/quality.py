@@ -1,20 +1,26 @@
-"""Quality rules: base counts of a text and the fertility of a public tokenizer.
+"""Quality rules: base counts of a text and its fertility under public vocabularies.
 
 Base counts are plain: words, their characters, symbols, repeated lines, words
-in repeated 3-word windows.  Fertility looks at how a byte-fallback tokenizer
-takes the text: characters per token, the share of byte-fallback tokens and the
-entropy of the token distribution.  Each script has a band of accepted values;
-a text outside its script's band is rejected.  Entropy counts as a share of
-log2(tokens), at most log2(REACH), so neither short nor long texts are rejected
-for their length.
+in repeated 3-word windows.  Fertility looks at how each of several public
+vocabularies takes the text: characters per token, the share of byte-fallback
+tokens (single bytes of a character) and the entropy of the token distribution.
+
+Rejection bands are fitted on a bounded sample of distinct texts that pass the
+base rule: within a language (where rows name one) or a script, and within texts
+of like length (an octave of tokens, as entropy grows with length), a value more
+than ``WIDTH`` quartile ranges beyond the quartiles lies outside.  A text outside
+any band of its group is rejected.  Groups with too few sampled rows use their
+script's bands of that length, else the wide bands in ``BANDS``.
 
 Defined results: a null or empty text has 0 words, fails the base rule
-(n_words < 50) and is not kept; its fertility columns are null.
+(n_words < 50) and is not kept; its fertility columns are null.  Texts of any
+length are measured whole; repeated rows are judged alike and count once in the
+sample; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +32,18 @@ from pyspark.sql import functions as F
 from tideline.llm import common
 
 VOCABULARY = "piece_bpe_32k.model"
+#: The vocabularies whose fertility counts.
+VOCABULARIES = (VOCABULARY, "byte_bpe_50k.tiktoken")
 SYMBOLS = "[#*$%&|<>]"
 #: Distinct words whose tokens one Python worker keeps.
-CACHE = 80_000
+CACHE = 40_000
 #: Tokens from which on a text is expected to show the full entropy of prose.
 REACH = 512
+#: Rows of the sample that fits the bands, sampled rows that a group must have,
+#: and quartile ranges beyond the quartiles where its band ends.
+SAMPLE, ROWS, WIDTH = 8192, 30, 2.5
+#: Measures with a band, and the least range of quartiles that counts.
+MEASURES = {"chars_per_token": 0.04, "byte_share": 0.02, "token_entropy": 0.1}
 
 
 @dataclass(frozen=True)
@@ -79,14 +92,30 @@ def script_table() -> np.ndarray:
 
 
 class Tokens:
-    """Token ids of words, from a piece model with byte fallback."""
+    """Token ids of words under one vocabulary: a piece model with byte fallback
+    or the ranks of a byte-level one (a word with the blank before it)."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.size = self.model.get_piece_size()
-        self.byte = np.array([self.model.is_byte(i) for i in range(self.size)])
+        if path.endswith(".model"):
+            import sentencepiece
+
+            self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.size = self.model.get_piece_size()
+            self.byte = np.array([self.model.is_byte(i) for i in range(self.size)])
+            self.encode = lambda words: self.model.encode(words, num_threads=1)
+        else:
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+            self.model = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.size = max(ranks.values()) + 1
+            self.byte = np.zeros(self.size, bool)
+            self.byte[[i for piece, i in ranks.items() if len(piece) == 1 and piece[0] >= 0x80]] = True
+            self.encode = lambda words: [self.model.encode_ordinary(" " + w) for w in words]
         self.seen: dict[str, np.ndarray] = {}
 
     def __call__(self, words: list[str]) -> list[np.ndarray]:
@@ -95,7 +124,7 @@ class Tokens:
         new = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
-            for i, ids in zip(some, self.model.encode([words[i] for i in some], num_threads=1), strict=True):
+            for i, ids in zip(some, self.encode([words[i] for i in some]), strict=True):
                 out[i] = np.array(ids, np.int32)
         for i in new:
             if len(words[i]) <= 48:
@@ -167,21 +196,11 @@ def repeated_lines(texts: pa.Array) -> np.ndarray:
     return np.bincount(again, minlength=len(texts)).astype(np.int64)
 
 
-def measure(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
-    tokens, scripts = state(path)
-    texts = pc.fill_null(common.flat(texts).cast(pa.string()), "")
-    words, codes, offsets = common.unique_words(texts)
-    rows = len(texts)
+def fertility(tokens: Tokens, words: list[str], codes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """n_tokens, byte tokens and token entropy of each text under one vocabulary."""
+    rows = len(offsets) - 1
     spread = lambda x: common.per_row(x[codes] if len(codes) else np.zeros(0, x.dtype), offsets)
-    as_np = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
-    out = {
-        "n_words": np.diff(offsets),
-        "word_chars": spread(as_np(pc.utf8_length(words))),
-        "n_symbols": spread(as_np(pc.count_substring_regex(words, SYMBOLS))),
-        "n_dup_lines": repeated_lines(texts),
-        "n_repeat_words": repeated_words(codes, offsets, max(1, len(words))),
-    }
-    ids = tokens(words.to_pylist())
+    ids = tokens(words)
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     pool = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     starts = np.cumsum(lengths) - lengths
@@ -201,63 +220,146 @@ def measure(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
         times, owner = np.diff(edge), keys[edge[:-1]] // tokens.size
         total = n[a:b][owner]
         entropy[a:b] = np.bincount(owner, -times / total * np.log2(times / total), minlength=b - a)
+    return {"n_tokens": n, "byte_share": fallback / np.maximum(n, 1), "token_entropy": entropy}
+
+
+def measure(texts: pa.Array, paths: Sequence[str]) -> dict[str, np.ndarray]:
+    """Base counts, script, and the fertility under each vocabulary; measures of
+    the second and later ones end in _2, _3, ..."""
+    texts = pc.fill_null(common.flat(texts).cast(pa.string()), "")
+    words, codes, offsets = common.unique_words(texts)
+    rows = len(texts)
+    spread = lambda x: common.per_row(x[codes] if len(codes) else np.zeros(0, x.dtype), offsets)
+    as_np = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+    out = {
+        "n_words": np.diff(offsets),
+        "word_chars": spread(as_np(pc.utf8_length(words))),
+        "n_symbols": spread(as_np(pc.count_substring_regex(words, SYMBOLS))),
+        "n_dup_lines": repeated_lines(texts),
+        "n_repeat_words": repeated_words(codes, offsets, max(1, len(words))),
+    }
+    listed = words.to_pylist()
+    for k, path in enumerate(paths):
+        found = fertility(state(path)[0], listed, codes, offsets)
+        found["chars_per_token"] = out["word_chars"] / np.maximum(found["n_tokens"], 1)
+        out |= {name + (f"_{k + 1}" if k else ""): x for name, x in found.items()}
     # Script of a text: the script of most of its letters.
-    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join(listed).encode("utf-32-le", "surrogatepass"), np.uint32)
     chars = as_np(pc.utf8_length(words))
-    of = scripts[points]
+    of = state(paths[0])[1][points]
     edges = np.cumsum(chars) - chars
     votes = np.stack([spread(np.add.reduceat(np.append(of == k, False).astype(np.int64), edges) * (chars > 0) if len(words) else chars) for k in range(len(NAMES) - 1)], axis=1) if len(words) else np.zeros((rows, len(NAMES) - 1), np.int64)
     out["script"] = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), len(NAMES) - 1)
-    some = np.maximum(n, 1)
-    out |= {"n_tokens": n, "chars_per_token": out["word_chars"] / some, "byte_share": fallback / some, "token_entropy": entropy}
     return out
 
 
-def verdict(m: dict[str, np.ndarray], bands: dict[str, Band]) -> np.ndarray:
-    """True where a text's fertility lies in its script's band."""
-    get = lambda field: np.array([getattr(bands[name], field) for name in NAMES])[m["script"]]
+def octave(tokens: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(tokens, 1))).astype(np.int64)
+
+
+#: (lower, upper) ends of each measure of a group (language, "script" and its
+#: name) at an octave of tokens.
+Fitted = dict[tuple[str, str, int], dict[str, tuple[float, float]]]
+
+
+def verdict(m: dict[str, np.ndarray], languages: list[str | None], fitted: Fitted) -> np.ndarray:
+    """True where a text's fertility lies in all bands of its group."""
+    get = lambda field: np.array([getattr(BANDS[name], field) for name in NAMES])[m["script"]]
     share = m["token_entropy"] / np.log2(np.clip(m["n_tokens"], 2, REACH))
     cpt = m["chars_per_token"]
-    return (cpt >= get("low")) & (cpt <= get("high")) & (m["byte_share"] <= get("bytes")) & (share >= get("entropy"))
+    out = (cpt >= get("low")) & (cpt <= get("high")) & (m["byte_share"] <= get("bytes")) & (share >= get("entropy"))
+    if fitted:
+        for i, (lang, script, at) in enumerate(zip(languages, m["script"].tolist(), octave(m["n_tokens"]).tolist(), strict=True)):
+            ends = fitted.get(("lang", lang, at)) if lang is not None else None
+            ends = ends or fitted.get(("script", NAMES[script], at))
+            if ends:
+                out[i] = all(lo <= m[name][i] <= hi for name, (lo, hi) in ends.items())
+    return out
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def assessed(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all, if not given) with the base counts,
-    base_failed, kept, and the fertility behind the verdict."""
+def failing(m: dict[str, np.ndarray]) -> np.ndarray:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def measures(paths: Sequence[str]) -> list[str]:
+    return [name + (f"_{k + 1}" if k else "") for k in range(len(paths)) for name in MEASURES]
+
+
+def vocabularies(paths: Sequence[str] | None) -> list[str]:
     import public_tokenizers
 
-    path, bands = path or public_tokenizers.path(VOCABULARY), bands or BANDS
-    made = [*COUNTS, "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy"]
+    return list(paths or [public_tokenizers.path(name) for name in VOCABULARIES])
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str | None = None, paths: Sequence[str] | None = None, sample: int = SAMPLE) -> Fitted:
+    """Bands from about ``sample`` distinct texts, chosen by their hash; ``lang``
+    names a column of languages, if there is one (null: by script only)."""
+    paths = vocabularies(paths)
+    names = measures(paths)
+    common.arrow_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{text}`").alias("text"), (F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string")).alias("lang")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, sample / max(1, n))
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["h"]).select("text", "lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 4 << 20):
+            m = measure(batch.column("text"), paths)
+            good = pa.array(~failing(m))
+            columns = [batch.column("lang"), pa.array(NAMES, pa.string()).take(pa.array(m["script"])), pa.array(octave(m["n_tokens"])), *[pa.array(m[c], pa.float64()) for c in names]]
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in columns], names=["lang", "script", "octave", *names])
+
+    measured = near.mapInArrow(lambda batches: common.trimmed(run(batches)), "lang string, script string, octave long, " + ", ".join(f"{c} double" for c in names))
+    groups = F.explode(F.array(F.struct(F.lit("lang").alias("by"), F.col("lang").alias("name")), F.struct(F.lit("script").alias("by"), F.col("script").alias("name")))).alias("g")
+    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in names]
+    found = measured.select(groups, "octave", *names).where("g.name is not null").groupBy("g.by", "g.name", "octave").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= ROWS).collect()  # at most sample / ROWS groups of each kind
+
+    def ends(name: str, low: float, high: float) -> tuple[float, float]:
+        room = WIDTH * max(high - low, MEASURES[name.rstrip("_0123456789")])
+        return (float("-inf") if name.startswith("byte_share") else low - room), high + room
+
+    return {(r["by"], r["name"], r["octave"]): {c: ends(c, *r[c]) for c in names} for r in found}
+
+
+def assessed(docs: DataFrame, fitted: Fitted | None = None, text: str = "text", keep: list[str] | None = None, lang: str | None = None, paths: Sequence[str] | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` (all, if not given) with the base counts,
+    base_failed, kept, and the fertility behind the verdict.  ``lang`` names the
+    column that was given to ``fit``."""
+    paths, fitted = vocabularies(paths), fitted or {}
+    fertile = [name + (f"_{k + 1}" if k else "") for k in range(len(paths)) for name in ("n_tokens", *MEASURES)]
+    made = [*COUNTS, "base_failed", "kept", "script", *fertile]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     common.arrow_batches(docs.sparkSession)
-    source, kept = common.through(docs, keep, text)
+    named = docs.withColumn("__lang", F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string"))
+    source, kept = common.through(named, [*keep, "__lang"], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 4 << 20):
-            m = measure(batch.column("text"), path)
-            failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+            m = measure(batch.column("text"), paths)
+            failed = failing(m)
             none = m["n_tokens"] == 0
+            *own, languages = kept(batch)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *kept(batch),
+                    *own,
                     *[pa.array(m[c], pa.int64()) for c in COUNTS],
                     pa.array(failed),
-                    pa.array(~failed & verdict(m, bands)),
+                    pa.array(~failed & verdict(m, languages.to_pylist(), fitted)),
                     pa.array(NAMES, pa.string()).take(pa.array(m["script"])),
-                    pa.array(m["n_tokens"], pa.int64()),
-                    *[pa.array(m[c], pa.float64(), mask=none) for c in ("chars_per_token", "byte_share", "token_entropy")],
+                    *[pa.array(m[c], pa.int64()) if c.startswith("n_tokens") else pa.array(m[c], pa.float64(), mask=none) for c in fertile],
                 ],
                 names=[*keep, *made],
             )
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name in made:
-        schema = schema.add(name, "long" if name in COUNTS or name == "n_tokens" else "boolean" if name in ("base_failed", "kept") else "string" if name == "script" else "double", True)
+        schema = schema.add(name, "long" if name in COUNTS or name.startswith("n_tokens") else "boolean" if name in ("base_failed", "kept") else "string" if name == "script" else "double", True)
     return source.mapInArrow(lambda batches: common.trimmed(run(batches)), schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    return assessed(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs = common.table(spark, sf_dir, "documents")
+    return assessed(docs, fit(docs, lang="lang"), keep=["doc_id"], lang="lang")
