@@ -487,6 +487,28 @@ def test_cross_parsing_is_brute_force():
         assert tables.phrases(codes, offsets)[:, 0].tolist() == [phrases(t, texts[x]) for x in ("en", "fr")]
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 1024])
+def test_phrases_cross_blocks(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(4)
+    text = lambda n, k: "".join(rng.choice("abc "[:k]) for _ in range(n))
+    refs = tuple((x, langid.normal(text(300, k) + "x" * 40)) for x, k in (("a", 2), ("b", 3), ("c", 4)))
+    tables = langid.Tables(langid.Model(refs))
+    texts = [langid.normal(t) for t in ["x" * 90, refs[0][1], refs[1][1][3:] * 30, text(5000, 4), "", "b", *[text(rng.randint(1, 60), 4) for _ in range(60)]]]
+
+    def phrases(t, ref):
+        n = at = 0
+        while at < len(t):
+            k = 1
+            while at + k < len(t) and t[at : at + k + 1] in ref:
+                k += 1
+            at, n = at + k, n + 1
+        return n
+
+    codes, offsets, _ = tables.letters(pa.array(texts))
+    assert tables.phrases(codes, offsets).T.tolist() == [[phrases(t, ref) for _, ref in refs] for t in texts]
+
+
 def test_language_of_many_scripts(spark):
     rng = random.Random(6)
     scripts = {"ar": 0x627, "el": 0x3B1, "en": 0x61, "ja": 0x3042, "ko": 0xAC00, "ru": 0x430, "zh": 0x4E00}

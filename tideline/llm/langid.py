@@ -6,15 +6,17 @@ A suffix automaton of the reference text accepts exactly its substrings, so
 walking it greedily and restarting at its initial state on a failure gives the
 longest matches.  The automaton with restarts is one flat transition table, with
 sorted keys for the moves by a language's rarer letters; all
-texts of a batch walk it in step, in blocks of ``BLOCK`` letters (a phrase does
-not cross a block's end), so long texts cost no more per letter than short ones.
+texts of a batch walk it in step, in blocks of ``BLOCK`` letters whose phrases go
+on into the next, so long texts cost no more per letter than short ones.
 
 Letters are lower-cased; every run of other characters is one separator.
 
 Defined results: null, empty and letterless texts get ``und`` and score 0.
 With no labelled language at all every text gets ``und``.  Score is
 second / (best + second) of the phrase counts: 0.5 for a tie, near 1 for a
-clear winner, 1 where only one language was learned.
+clear winner, 1 where only one language was learned.  Texts of any length are
+parsed whole; repeated rows are predicted alike; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -172,7 +174,13 @@ class Tables:
         return codes[keep], np.concatenate(([0], np.cumsum(keep)))[offsets], found[offsets[1:]] > found[offsets[:-1]]
 
     def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases of each text in each language: (languages, texts)."""
+        """Phrases of each text in each language: (languages, texts).
+
+        Blocks of all texts first run in step, each as if a phrase began with it.
+        Then every block that continues a text runs again from the state in which
+        the block before it ended, beside its first run, until the two agree;
+        from there on they are one, so the counts are those of whole texts.
+        """
         sizes = np.diff(offsets)
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(sizes)), blocks)
@@ -181,24 +189,59 @@ class Tables:
         number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = offsets[owner] + number * BLOCK
         size = np.minimum(BLOCK, offsets[owner + 1] - start)
+        roots = np.array(self.roots, np.int32)[:, None]
+        count, end = np.zeros((len(self.roots), len(owner)), np.int32), np.zeros((len(self.roots), len(owner)), np.int32)
         order = np.argsort(-size, kind="stable")
-        start, size, owner = start[order], size[order], owner[order]
-        total = np.zeros((len(self.roots), len(sizes)), np.int64)
-        for a in range(0, len(start), 8192):  # lanes that fit the caches
-            first, n = start[a : a + 8192], size[a : a + 8192]
+        for a in range(0, len(order), 8192):  # lanes that fit the caches
+            own = order[a : a + 8192]
+            first, n = start[own], size[own]
             longest = int(n[0])
             lanes = codes.take(first[None, :] + np.arange(longest)[:, None], mode="clip").astype(np.int32)
             active = np.searchsorted(-n, -np.arange(longest), "left")
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], len(first), axis=1)
-            count = np.zeros(state.shape, np.int32)
+            state = np.repeat(roots, len(first), axis=1)
+            seen = np.zeros(state.shape, np.int32)
             for t in range(longest):
                 k = active[t]
                 move = self.step(state[:, :k], lanes[t, :k])
-                count[:, :k] += move & 1
+                seen[:, :k] += move & 1
                 np.right_shift(move, 1, out=state[:, :k])
-            for j in range(len(self.roots)):
-                total[j] += np.bincount(owner[a : a + 8192], count[j], len(sizes)).astype(np.int64)
-        return total
+            count[:, own], end[:, own] = seen, state
+        total, fresh_end = count.copy(), end.copy()
+        again = np.flatnonzero(number > 0)
+        while len(again):  # a second round only where a whole block did not agree
+            late = []
+            for a in range(0, len(again), 8192):
+                late.append(self.continued(codes, start, size, again[a : a + 8192], roots, count, fresh_end, end, total))
+            late = np.concatenate(late) + 1
+            again = late[(late < len(owner)) & (number[np.minimum(late, len(owner) - 1)] > 0)]
+        out = np.zeros((len(self.roots), len(sizes)), np.int64)
+        for j in range(len(self.roots)):
+            out[j] = np.bincount(owner, total[j], len(sizes)).astype(np.int64)
+        return out
+
+    def continued(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray, roots: np.ndarray, count: np.ndarray, fresh_end: np.ndarray, end: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Run blocks ``own`` from their predecessors' ends; set their ``total``
+        and ``end``, and give those whose end has changed."""
+        true, fresh = end[:, own - 1].copy(), np.repeat(roots, len(own), axis=1)
+        more = np.zeros(true.shape, np.int32)
+        lane, late, t = np.arange(len(own)), [], 0
+        while len(lane):
+            letters = codes[start[own[lane]] + t].astype(np.int32)
+            a, b = self.step(true[:, lane], letters), self.step(fresh[:, lane], letters)
+            more[:, lane] += (a & 1) - (b & 1)
+            true[:, lane], fresh[:, lane] = a >> 1, b >> 1
+            t += 1
+            open_ = ((a >> 1) != (b >> 1)).any(axis=0)
+            over = open_ & (size[own[lane]] <= t)
+            late.append(lane[over])
+            lane = lane[open_ & ~over]
+        total[:, own] = count[:, own] + more
+        late = np.concatenate(late) if late else lane
+        ends = fresh_end[:, own]
+        ends[:, late] = true[:, late]
+        changed = (ends != end[:, own]).any(axis=0)
+        end[:, own] = ends
+        return own[changed]
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(index of the language, or -1 for unknown; score) of each text."""
@@ -216,8 +259,8 @@ _tables: dict[Model, Tables] = {}
 
 
 def normal(text: str) -> str:
-    """Letters lower-cased, runs of others one blank."""
-    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    """Letters lower-cased (as in ``Tables.letters``), runs of others one blank."""
+    return " ".join("".join(c if c.isalpha() else " " for c in pc.utf8_lower(pa.scalar(text)).as_py()).split())
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = TEXTS, letters: int = LETTERS) -> Model:
