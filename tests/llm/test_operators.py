@@ -75,6 +75,35 @@ def test_secret_spans(spark, secret_model):
         assert (r.red or "") == out + whole[at:]
 
 
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.randint(0, 99) for _ in range(n)]) for i, n in enumerate([0, 1, 31, 32, 33, 64, 1000, 1024, 1025, 5000])]
+    got = spark.createDataFrame(rows, "i int, v array<int>").select("i", "v", secrets.running(F.col("v")).alias("sums"), secrets.running(F.col("v"), F.greatest).alias("most")).collect()
+    assert all(r.sums == list(itertools.accumulate(r.v)) and r.most == list(itertools.accumulate(r.v, max)) for r in got) and len(got) == len(rows)
+
+
+def test_many_secrets_in_one_text(spark, secret_model):
+    import time
+
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(n))
+    text = lambda n: "é".join(f"token={key(12)} {key(30) if i % 3 else ''}\n" for i in range(n))
+    took = {}
+    for n in (4000, 16000):
+        whole = text(n)
+        began = time.perf_counter()
+        r = secrets.scanned(spark.createDataFrame([(1, whole)], "doc_id long, text string"), secret_model).withColumn("red", secrets.redacted(F.col("text"), F.col("secret_spans"))).first()
+        took[n] = time.perf_counter() - began
+        assert [(s.start, s.kind, s.end) for s in r.secret_spans if s.kind < 3] == base_spans(whole)
+        out, at = [], 0
+        for s in r.secret_spans:
+            if s.start >= at:
+                out += [whole[at : s.start], secrets.MARK]
+            at = max(at, s.end)
+        assert r.red == "".join(out) + whole[at:]
+    assert took[16000] < 8 * took[4000] + 2  # four times the matches, not sixteen times the time
+
+
 def test_markov_models(spark, secret_model):
     rng = random.Random(1)
     key = lambda letters: "".join(rng.choice(letters) for _ in range(40))

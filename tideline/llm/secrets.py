@@ -12,16 +12,21 @@ strings are digests in hex, base64 and base-36-like spellings.  Only counts of
 character pairs (at most 128 x 128 per label) reach the driver.
 
 Matches' places come from the pieces between them: the lengths of the pieces
-and matches before a match add up to its start.  Offsets are code points, ends
-exclusive.
+and matches before a match add up to its start.  Running sums and maxima go by
+chunks (``running``), so cost is linear in a text and in its matches.  Offsets
+are code points, ends exclusive.
 
-Defined results: a null text is an empty one, without spans.
+Defined results: a null text is an empty one, without spans; texts of any length
+are scanned whole; repeated rows have their spans each; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,26 +51,54 @@ TEXTS, RANDOM = 400, 4000
 MARK = "<SECRET>"
 
 SPAN = "struct<start:int,end:int,kind:int>"
+#: Elements that a running sum takes at a time, and code points of a text's pieces.
+CHUNK, PIECE = 32, 4096
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = operator.add, levels: int = 3) -> Column:
+    """Running sums (or what else ``join`` gives, from 0 up) of an array<int>.
+
+    A fold that appends copies its array each time, so it runs over chunks; the
+    chunks' totals run the same way, and the last level's few as one."""
+    none = F.array().cast("array<int>")
+
+    def folded(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("last"), none.alias("out"))
+        step = lambda acc, x: let(join(acc["last"], x), lambda now: F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out")))
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
+
+    if levels == 1:
+        return folded(values)
+
+    def chunked(v: Column) -> Column:
+        n = F.ceil(F.size(v) / CHUNK).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda c: folded(F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))).otherwise(F.array().cast("array<array<int>>"))
+
+    def placed(chunks: Column) -> Column:
+        before = running(F.transform(chunks, lambda x: F.get(x, F.size(x) - 1)), join, levels - 1)
+        return let(before, lambda b: F.flatten(F.transform(chunks, lambda x, c: let(F.coalesce(F.get(b, c - 1), F.lit(0)), lambda at: F.transform(x, lambda y: join(at, y))))))
+
+    return let(let(values, chunked), placed)
 
 
 def matches(text: Column, pattern: str, group: int | None = None) -> Column:
     """array<struct<start, end, text, part>> of the leftmost non-overlapping
     matches; ``part`` is the given group."""
-    gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    found = "array<struct<start:int,end:int,text:string,part:string>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["pos"] + F.length(x["hit"])
-        return F.struct(
-            (end + F.length(x["gap"])).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), end.alias("end"), x["hit"].alias("text"), x["part"].alias("part")))).alias("out"),
-        )
+    def placed(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+        return let(ends, lambda e: F.transform(rows, lambda x, i: F.struct((F.get(e, i) - F.length(x["hit"])).alias("start"), F.get(e, i).alias("end"), x["hit"].alias("text"), x["part"].alias("part"))))
 
-    rows = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(2), F.greatest(F.size(hits), F.lit(0))).alias("gap"), parts.alias("part"))
-    start = F.struct(F.length(F.get(gaps, F.lit(0))).alias("pos"), F.array().cast(found).alias("out"))
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # The gap before each match; what follows the last one is left out.
+    zipped = let(hits, lambda h: F.arrays_zip(h.alias("hit"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h)).alias("gap"), parts.alias("part")))
+    return let(zipped, placed)
 
 
 def as_spans(found: Column, kind: int) -> Column:
@@ -167,23 +200,44 @@ def scanned(docs: DataFrame, model: Model, text: str = "text", to: str = "secret
     kept = [f"k{i}" for i in range(len(names))]
     found = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(kept, names, strict=True)], F.concat(assign, access).alias("first"), runs.alias("runs"))
     found = found.select(*kept, F.concat("first", F.coalesce(F.col("runs.hex"), none)).alias("base"), F.coalesce(F.col("runs.markov"), none).alias("more"))
-    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    ordered = F.array_sort(F.transform(F.concat("base", clear), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    spans = F.transform(ordered, lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(f"array<{SPAN}>")
+    ordered = F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+
+    def clear(rows: Column) -> Column:
+        """Without runs that overlap a base span: one before (by the furthest end
+        so far) or one that starts next."""
+        ends = running(F.transform(rows, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(F.lit(0))), F.greatest)
+
+        def stays(e: Column, x: Column, i: Column) -> Column:
+            after = F.get(rows, i + 1)
+            return (x["kind"] < 3) | ((F.coalesce(F.get(e, i - 1), F.lit(0)) <= x["start"]) & ~F.coalesce((after["kind"] < 3) & (after["start"] < x["end"]), F.lit(False)))
+
+        return let(ends, lambda e: F.filter(rows, lambda x, i: stays(e, x, i)))
+
+    spans = F.transform(F.when(F.size("more") > 0, let(ordered, clear)).otherwise(ordered), lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(f"array<{SPAN}>")
     return found.select(*[F.col(k).alias(c) for k, c in zip(kept, names, strict=True)], spans.alias(to))
 
 
 def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
     """``text`` with each span, or run of overlapping spans, replaced by ``mark``."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        return F.struct(
-            F.greatest(acc["pos"], s["end"]).alias("pos"),
-            F.when(fresh, F.concat(acc["out"], text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
+    def between(pieces: Column, a: Column, b: Column | None) -> Column:
+        """Code points ``a`` to ``b`` (or to the end), from pieces of the text."""
+        first, at = (a / PIECE).cast("int"), (a % PIECE) + 1
+        head = F.coalesce(F.get(pieces, first).substr(at, F.lit(PIECE)), F.lit(""))
+        if b is None:
+            return F.concat(head, F.array_join(F.slice(pieces, first + 2, F.size(pieces)), ""))
+        last = (b / PIECE).cast("int")
+        middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.coalesce(F.get(pieces, last).substr(F.lit(1), b % PIECE), F.lit(""))
+        return F.when(first == last, F.coalesce(F.get(pieces, first).substr(at, b - a), F.lit(""))).otherwise(F.concat(head, middle, tail))
+
+    def cut(pieces: Column, s: Column, ends: Column) -> Column:
+        gaps = F.filter(F.transform(s, lambda x, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("a"), x["start"].alias("b"))), lambda g: g["a"] <= g["b"])
+        kept = F.transform(gaps, lambda g: F.concat(between(pieces, g["a"], g["b"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), between(pieces, F.get(ends, F.size(ends) - 1), None))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = let(pieces, lambda p: let(spans, lambda s: let(running(F.transform(s, lambda x: x["end"]), F.greatest), lambda e: cut(p, s, e))))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
