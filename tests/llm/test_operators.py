@@ -632,6 +632,32 @@ def test_visited_cells_come_by_distance():
         assert len(cells) == 20 and np.allclose(d[cells], np.sort(d))
 
 
+def test_clustered_vectors_are_searched_in_part(spark, monkeypatch):
+    monkeypatch.setattr(annsearch, "BLOCK", 16)  # many blocks
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(40, 16))
+    x = middles[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    shares = []
+    searched = annsearch.Index.searched
+
+    index = annsearch.Index(annsearch.centroids(x[:, :8], 16, 1), annsearch.centroids(x[:, 8:], 16, 2))
+    cell = index.cell(x)
+    count = np.bincount(cell, minlength=256)
+    index.share = (count / 4000).reshape(16, 16)
+    spread = index.spread(x, cell)
+    most = np.stack([np.array([s[cell == c].max(initial=0.0) for c in range(256)]) for s in spread])
+    for q in x[::100]:
+        cells, _ = searched(index, q, x, cell, most, count > 0, 20, annsearch.VISIT)
+        shares.append(count[cells].sum() / 4000)
+    assert np.mean(shares) < 0.3
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    mine = collections.defaultdict(list)
+    for r in annsearch.nearest(spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS), "vec_id % 100 = 0").orderBy("query_id", "rank").collect():
+        mine[r.query_id].append(r.vec_id)
+    assert dict(mine) == {q: [v for v, _ in found] for q, found in brute_nearest(rows, range(0, 4000, 100)).items()}
+
+
 def test_nearest_with_mixed_norms(spark, monkeypatch):
     monkeypatch.setattr(annsearch, "BLOCK", 16)  # so that cells are skipped
     rng = np.random.default_rng(3)

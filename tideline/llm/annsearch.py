@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm import common
 
-#: Centroids per half, rows of the sample that fits them, rounds of k-means.
-CENTROIDS, SAMPLE, ROUNDS = 16, 8192, 8
+#: Centroids per half are this many times the fourth root of the number of
+#: vectors (so cells grow with its square root); least rows of the sample that
+#: fits them, and rows for each centroid; rounds of k-means.
+CENTROIDS, SAMPLE, EACH, ROUNDS = 2.0, 8192, 32, 8
 #: Share of the vectors that the cells hold whose sampled vectors give the floor.
-VISIT = 0.8
+VISIT = 0.25
 #: Vectors of one block, and queries compared with it at a time.
 BLOCK, QUERIES = 8192, 256
 #: Queries of one task, about.
@@ -97,6 +99,13 @@ class Index:
                     heapq.heappush(heap, (da[oa[i2]] + db[ob[j2]], i2, j2))
         return out
 
+    def searched(self, q: np.ndarray, sample: np.ndarray, sample_cells: np.ndarray, most: np.ndarray, filled: np.ndarray, k: int, visit: float) -> tuple[np.ndarray, float]:
+        """Cells that may hold one of a query's ``k`` nearest, and a floor of
+        their scores: the k + 1-th best (one may be the query) of the sampled
+        vectors in the cells that are visited first."""
+        known = sample[np.isin(sample_cells, self.visited(q, visit))] @ q
+        floor = np.partition(known, len(known) - k - 1)[len(known) - k - 1] if len(known) > k else -np.inf
+        return np.flatnonzero(filled & (self.bounds(q, most) >= floor)), float(floor)
 
     def spread(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """(norm of the left half, of the right half, distances of both from
@@ -140,19 +149,15 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
     width, total = widths[0]["w"], widths[0]["n"]
     rows = rows.where(F.size("embedding") == width)
     near = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30))
-    share = min(1.0, 1.3 * SAMPLE / total)
-    sample = rows.where(near < share * (1 << 30)).dropDuplicates(["embedding"]).select("embedding", near.alias("at")).orderBy("at").limit(SAMPLE).select("embedding").toArrow()
-    x = matrix(sample.column("embedding"), width) if sample.num_rows else matrix(rows.select("embedding").limit(CENTROIDS).toArrow().column("embedding"), width)
+    per_half = max(4, round(CENTROIDS * total**0.25))
+    size = max(SAMPLE, EACH * per_half)
+    share = min(1.0, 1.3 * size / total)
+    sample = rows.where(near < share * (1 << 30)).dropDuplicates(["embedding"]).select("embedding", near.alias("at")).orderBy("at").limit(size).select("embedding").toArrow()
+    x = matrix(sample.column("embedding"), width) if sample.num_rows else matrix(rows.select("embedding").limit(per_half).toArrow().column("embedding"), width)
     half = width // 2
-    index = Index(centroids(x[:, :half], CENTROIDS, 1), centroids(x[:, half:], CENTROIDS, 2))
+    index = Index(centroids(x[:, :half], per_half, 1), centroids(x[:, half:], per_half, 2))
     cells = len(index.left) * len(index.right)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cell = index.cell(matrix(batch.column(1), width))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["vec_id", "embedding", "cell"])
-
     # Classes of equal vectors, each with its k + 1 smallest ids.
     ranked = rows.withColumn("h", F.xxhash64("embedding"))
     classes = ranked.groupBy("embedding", "h").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
@@ -170,7 +175,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
 
     spread = ["s0", "s1", "s2", "s3"]
     indexed = common.cut(members.mapInArrow(celled, "embedding array<double>, ids array<long>, cell int, " + ", ".join(f"{s} double" for s in spread)), "index")
-    stats = indexed.groupBy("cell").agg(F.count("*").alias("n"), *[F.max(s).alias(s) for s in spread]).collect()  # at most CENTROIDS^2
+    stats = indexed.groupBy("cell").agg(F.count("*").alias("n"), *[F.max(s).alias(s) for s in spread]).collect()  # a row for each cell
     counts = {r["cell"]: r["n"] for r in stats}
     most = np.zeros((len(spread), cells))
     for r in stats:
@@ -201,14 +206,11 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
                 continue
             at, to, floors = [], [], []
             for i, q in enumerate(matrix(batch.column(1), width)):
-                visited = index.visited(q, visit)
-                known = x[np.isin(sample_cells, visited)] @ q
-                floor = np.partition(known, len(known) - k - 1)[len(known) - k - 1] if len(known) > k else -np.inf  # one may be the query
-                searched = np.flatnonzero(filled & (index.bounds(q, most) >= floor))
+                searched, floor = index.searched(q, x, sample_cells, most, filled, k, visit)
                 blocks = sorted({int(first[c]) + p for c in searched for p in range(int(parts[c]))})
                 at += [i] * len(blocks)
                 to += blocks
-                floors += [float(floor) - 1e-9] * len(blocks)
+                floors += [floor - 1e-9] * len(blocks)
             taken = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to, pa.int64()), pa.array(floors, pa.float64())], names=["query_id", "q", "block", "floor"])
 
