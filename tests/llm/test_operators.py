@@ -312,6 +312,15 @@ def test_one_long_document_leaves_padding_least(spark):
     assert sum(r.bucket_length - r.n for r in rows) == least
 
 
+def test_rows_without_a_key_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    df = spark.createDataFrame([(None if i % 3 else i, 10 + i % 4) for i in range(1500)], "doc_id long, n long")
+    rows = packing.packed(df, "n", "doc_id", budget=200).collect()
+    places = {(r.bucket, r.batch, r.position) for r in rows}
+    assert len(rows) == len(places) == 1500
+    assert max(r.batch for r in rows if r.bucket == 0) == -(-sum(r.bucket == 0 for r in rows) // (200 // 10)) - 1
+
+
 # 5 ---------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ and chunks start where the counts of the chunks before them end.
 
 Defined results: a null length counts as 0; a document longer than the budget
 makes a batch of its own; an empty table gives an empty result.  Rows repeating
-an id are packed one by one.
+an id are packed one by one, rows without one too; texts of any length count.
 """
 
 from __future__ import annotations
@@ -79,22 +79,23 @@ def packed(docs: DataFrame, length: str, key: str, buckets: int = BUCKETS, budge
     names = [c for c in docs.columns if c not in made]
     kept = [f"k{i}" for i in range(len(names))]
     rows = common.positional(docs, names, n=length, key=key).withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    rows = common.cut(rows, "lengths")
+    # Rows without a key are told apart by where they were read, so that they do not all meet in one chunk.
+    salt = F.when(F.col("key").isNull(), F.monotonically_increasing_id())
+    rows = common.cut(rows.withColumn("hashed", F.xxhash64("key", "n", salt)), "lengths")
     # Exact: d distinct lengths take d * d / 2 tokens, so T tokens have no more than sqrt(2 * T).
     histogram = rows.groupBy("n").agg(F.count("*").alias("rows")).toArrow()
     ends = boundaries(histogram.column("n").to_numpy(), histogram.column("rows").to_numpy(), buckets)
     # A bucket's padded length: its longest row, which ends its range.
     table = F.from_json(F.lit(json.dumps(ends)), "array<bigint>")
     rows = rows.withColumn("bucket", F.size(F.filter(table, lambda e: e < F.col("n"))).cast("int"))
-    hashed = F.xxhash64("key", F.lit("pack"))
     stats = {r["bucket"]: (r["rows"], r["longest"]) for r in rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("n").alias("longest")).collect()}
     per = lambda f, kind: F.get(F.from_json(F.lit(json.dumps([f(stats.get(b, (0, 0))) for b in range(len(ends) + 1)])), f"array<{kind}>"), F.col("bucket"))
-    rows = rows.withColumn("chunk", F.pmod(hashed, per(lambda s: max(1, -(-s[0] // CHUNK)), "bigint"))).withColumn("bucket_length", per(lambda s: s[1], "bigint"))
+    rows = rows.withColumn("chunk", F.pmod("hashed", per(lambda s: max(1, -(-s[0] // CHUNK)), "bigint"))).withColumn("bucket_length", per(lambda s: s[1], "bigint"))
     room = per(lambda s: max(1, budget // max(1, s[1])), "bigint")
     counts = rows.groupBy("bucket", "chunk").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("bucket", "chunk", F.coalesce(before, F.lit(0)).alias("start"))
-    own = Window.partitionBy("bucket", "chunk").orderBy("n", "key")
+    own = Window.partitionBy("bucket", "chunk").orderBy("n", "key", "hashed")
     numbered = rows.withColumn("r", F.row_number().over(own) - 1).join(starts, ["bucket", "chunk"])
     at = F.col("start") + F.col("r")
     return numbered.select(*[F.col(k).alias(c) for k, c in zip(kept, names, strict=True)], "bucket", "bucket_length", F.floor(at / room).alias("batch"), F.pmod(at, room).cast("int").alias("position"))
