@@ -8,12 +8,20 @@ from collections.abc import Iterator
 from tideline.functions.audio import opus_head, opus_packet
 
 
+def _remainder(byte: int) -> int:
+    c = byte << 24
+    for _ in range(8):
+        c = (c << 1 ^ 0x04C11DB7 if c >> 31 else c << 1) & 0xFFFFFFFF
+    return c
+
+
+REMAINDERS = [_remainder(b) for b in range(256)]
+
+
 def crc(data: bytes) -> int:
     c = 0
     for b in data:
-        c ^= b << 24
-        for _ in range(8):
-            c = (c << 1 ^ 0x04C11DB7 if c >> 31 else c << 1) & 0xFFFFFFFF
+        c = (c << 8 & 0xFFFFFFFF) ^ REMAINDERS[c >> 24 ^ b]
     return c
 
 
