@@ -233,3 +233,11 @@ def test_frames_and_policy():
     assert audio_policy.classified(b"\xaf\x00cfg") == {"codec": "aac", "header": True, "payload": b"cfg", "track": None}
     assert audio_policy.classified(b"\x95\x01Opus\x03xyz") == {"codec": "opus", "header": False, "payload": b"xyz", "track": 3}
     assert audio_policy.transcodable("opus", "mp3", 48000, 2) is None and audio_policy.transcodable("flac", "aac", 48000, 2)
+
+
+def test_playlists_nest_without_limit():
+    from tideline.sources import hls
+
+    texts = {f"p{i}": f"#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=1\np{i + 1}\n#EXT-X-STREAM-INF:BANDWIDTH=1\np0\n" for i in range(2000)}
+    texts["p2000"] = "#EXTM3U\n#EXTINF:1.5,\na.ts\n"
+    assert [(s["uri"], s["duration"]) for s in hls.collected("p0", texts.__getitem__)] == [("a.ts", 1.5)]

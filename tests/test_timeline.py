@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tideline.operators import joins as J
 from tideline.operators import segments as S
 from tideline.operators import timeline as T
@@ -86,8 +88,8 @@ def test_shed_and_gaps(spark):
     rows = [("a", i, t, key) for i, (t, key) in enumerate([(1, False), (9, True), (2, False), (3, True), (1, False)])]
     assert [v[0] for _, v in sorted(got(T.shed(frame(spark, rows), ["stream_id"], ["seq"], "ts", "is_key", 9), "dropped").items())] == [False, True, True, False, False]
     rows = [("a", 0, 0, False), ("a", 1, 50, False), ("a", 2, 60, False)]
-    filled = T.gaps_filled(frame(spark, rows), ["stream_id"], ["seq"], "ts", 10, 3).orderBy("ts").collect()
-    assert [(r.ts, r.filled) for r in filled] == [(0, False), (10, True), (20, True), (30, True), (50, False), (60, False)]
+    filled = T.gaps_filled(frame(spark, rows), ["stream_id"], ["seq"], "ts", 10).orderBy("ts").collect()
+    assert [(r.ts, r.filled) for r in filled] == [(0, False), (10, True), (20, True), (30, True), (40, True), (50, False), (60, False)]
 
 
 def test_asof_ties_and_none(spark):
@@ -119,3 +121,11 @@ def test_natural_sort_of_all_parts(spark, sf):
         assert len(want) == 2000 and sorted(map(tuple, mine.collect())) == sorted(want)
         plan = mine._jdf.queryExecution().executedPlan().toString()
         assert rows is None or "SinglePartition" not in plan  # one range of bounded size may be one task
+
+
+def test_gaps_over_the_limit_are_errors(spark):
+    df = frame(spark, [("a", 0, 0, False), ("a", 1, 50, False)])
+    assert T.gaps_filled(df, ["stream_id"], ["seq"], "ts", 10).count() == 6
+    assert T.gaps_filled(df, ["stream_id"], ["seq"], "ts", 10, 4).count() == 6
+    with pytest.raises(Exception, match="gap of 4 steps"):
+        T.gaps_filled(df, ["stream_id"], ["seq"], "ts", 10, 3).collect()

@@ -85,3 +85,9 @@ def keyframe_index(df: DataFrame, by: Sequence[str], ts: str, position: str, key
     """Times and file positions of the keyframes, in order."""
     pairs = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(position).alias("pos"))))
     return df.where(key).groupBy(*by).agg(pairs.alias("index"))
+
+
+def meta_json(df: DataFrame, by: Sequence[str], ts: str, size: str, key: Column) -> DataFrame:
+    """What a player is told of each stream, as JSON text."""
+    facts = F.struct(F.count("*").alias("tags"), F.sum(size).alias("bytes"), (F.max(ts) - F.min(ts)).alias("duration"), F.count_if(key).alias("keyframes"))
+    return df.groupBy(*by).agg(F.to_json(facts).alias("meta"))

@@ -104,3 +104,10 @@ def numbered(df: DataFrame, order: Sequence[Column], to: str = "position", rows:
 def fan_out(df: DataFrame, sinks: Sequence[str]) -> DataFrame:
     """Every row once per sink name."""
     return df.withColumn("sink", F.explode(F.array(*[F.lit(s) for s in sinks])))
+
+
+def correlated(requests: DataFrame, responses: DataFrame, by: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
+    """Each request with ``values`` of the first response of its id at or
+    after it, null if none came: the as-of join with time turned round."""
+    turned = lambda df: df.withColumn("__turned", -F.col(at))
+    return asof_backward(turned(requests), turned(responses).drop(at), by, "__turned", values).drop("__turned")

@@ -111,21 +111,17 @@ def decimate(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, ke
 
 
 def decimate_display(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, fps: int, unit: int = 1000) -> DataFrame:
-    """As W14 in display order, without regard to keys."""
+    """As W14 in display order (by time first), without regard to keys.
 
-    def make():
-        base, chosen = None, 0
-
-        def step(t):
-            nonlocal base, chosen
-            base = t if base is None else base
-            keep = (t - base) * fps >= chosen * unit
-            chosen += keep
-            return (bool(keep),)
-
-        return step
-
-    return ordered_scan(df, by, order, [ts], "kept boolean", make)
+    Frame i is selected if its slot q(i) has reached the count of those before
+    it.  Slots never fall, so the count is c(i) = min(c(i-1) + 1, q(i) + 1), that
+    is i + min(0, smallest q(j) + 1 - j so far): a running minimum."""
+    if order[0] != ts:
+        raise ValueError("display order goes by time first")
+    w, running = _w(by, order), _running(by, order)
+    slots = df.withColumn("__gone", (F.col(ts) - F.first(ts).over(running)) * fps).withColumn("__n", F.row_number().over(w))
+    counted = slots.withColumn("__d", F.expr(f"(__gone div {unit}) + 1 - __n")).withColumn("__c", F.col("__n") + F.least(F.lit(0), F.min("__d").over(running)))
+    return counted.withColumn("kept", F.col("__c") > F.coalesce(F.lag("__c").over(w), F.lit(0))).drop("__gone", "__n", "__d", "__c")
 
 
 def jumps(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, limit: int) -> DataFrame:
@@ -308,22 +304,10 @@ def realigned(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, l
 
 
 def shed(df: DataFrame, by: Sequence[str], order: Sequence[str], lag: str, key: str, most: int) -> DataFrame:
-    """T5: once ``lag`` reaches ``most``, rows are dropped up to the next key."""
-
-    def make():
-        skipping = False
-
-        def step(behind, is_key):
-            nonlocal skipping
-            if behind >= most:
-                skipping = True
-            if skipping and is_key and behind < most:
-                skipping = False
-            return (skipping,)
-
-        return step
-
-    return ordered_scan(df, by, order, [lag, key], "dropped boolean", make)
+    """T5: once ``lag`` reaches ``most``, rows are dropped up to the next key
+    that comes with less: the last row that says either decides."""
+    says = F.when(F.col(lag) >= most, F.lit(True)).when(F.col(key), F.lit(False))
+    return df.withColumn("dropped", F.coalesce(F.last(says, ignorenulls=True).over(_running(by, order)), F.lit(False)))
 
 
 def merged_in_sequence(df: DataFrame, by: Sequence[str], seq: str) -> DataFrame:
@@ -342,13 +326,17 @@ def latest_group(df: DataFrame, by: Sequence[str], order: Sequence[str], key: Co
     return df.join(marks, list(by)).where(F.when(header, at == F.col("__header")).otherwise(at >= F.col("__key"))).drop("__key", "__header")
 
 
-def gaps_filled(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, step: int, most: int) -> DataFrame:
+def gaps_filled(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, step: int, most: int | None = None) -> DataFrame:
     """A row stands for ``step``; where the next comes later, whole missing
-    steps are filled with rows ``filled`` = true, ``most`` at most for a gap."""
+    steps are filled with rows ``filled`` = true.  A gap of more than ``most``
+    steps (if given) is an error."""
     gap = F.lead(ts).over(_w(by, order)) - F.col(ts)
-    n = F.least(F.greatest(F.floor(gap / step) - 1, F.lit(0)), F.lit(most)).cast("long")
-    wide = df.withColumn("__n", F.coalesce(n, F.lit(0)))
-    return wide.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n")))).select(*by, (F.col(ts) + F.col("__i") * step).alias(ts), (F.col("__i") > 0).alias("filled"))
+    n = F.coalesce(F.greatest(F.floor(gap / step) - 1, F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    wide = df.withColumn("__n", n)
+    if most is not None:
+        error = F.raise_error(F.concat(F.lit("gap of "), F.col("__n").cast("string"), F.lit(f" steps, {most} at most"))).cast("long")
+        wide = wide.withColumn("__n", F.when(F.col("__n") > most, error).otherwise(F.col("__n")))
+    return wide.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n")))).select(*by, (F.col(ts) + F.col("__i") * step).alias(ts), (F.col("__i") > 0).alias("filled"))
 
 
 def init_barrier(df: DataFrame, by: Sequence[str], order: Sequence[str], needs: Sequence[Column]) -> DataFrame:
@@ -359,3 +347,74 @@ def init_barrier(df: DataFrame, by: Sequence[str], order: Sequence[str], needs:
     for s in seen[1:]:
         met = met & (s == 1)
     return df.withColumn("__met", met).where("__met").drop("__met")
+
+
+def credited(df: DataFrame, by: Sequence[str], order: Sequence[str], grant: str, initial: int, most: int) -> DataFrame:
+    """Rows go out on credit.  A row with a ``grant`` above 0 adds that much,
+    up to ``most``; every other row spends one, or is held back (``admitted``
+    false) where there is none.  ``credit`` is what is left."""
+
+    def make():
+        credit = initial
+
+        def step(more):
+            nonlocal credit
+            if more:
+                credit = min(most, credit + more)
+                return True, credit
+            out = credit > 0
+            credit -= out
+            return out, credit
+
+        return step
+
+    return ordered_scan(df, by, order, [grant], "admitted boolean, credit bigint", make)
+
+
+def ring(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, behind: str, capacity: int) -> DataFrame:
+    """A ring of ``capacity`` bytes.  ``head`` is what was written up to and
+    with a row, ``tail`` the oldest byte still held; a reader that is ``behind``
+    bytes late reads on at ``position``, and has ``lapped`` if that was not where
+    it stood."""
+    head = F.sum(size).over(_running(by, order))
+    wide = df.withColumn("head", head).withColumn("tail", F.greatest(F.col("head") - capacity, F.lit(0)))
+    stood = F.greatest(F.col("head") - F.col(behind), F.lit(0))
+    return wide.withColumn("position", F.greatest(stood, F.col("tail"))).withColumn("lapped", stood < F.col("tail"))
+
+
+def until(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, duration: int, idle: int) -> DataFrame:
+    """Rows of a stream up to the first pause longer than ``idle``, and
+    less than ``duration`` after its first row."""
+    pause = (F.col(ts) - F.lag(ts).over(_w(by, order)) > idle).cast("int")
+    marked = df.withColumn("__pause", F.coalesce(pause, F.lit(0))).withColumn("__first", F.first(ts).over(_running(by, order)))
+    return marked.withColumn("__over", F.max("__pause").over(_running(by, order))).where((F.col("__over") == 0) & (F.col(ts) - F.col("__first") < duration)).drop("__pause", "__first", "__over")
+
+
+def paced(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, speed: int, longest: int, to: str = "due") -> DataFrame:
+    """When a replay at ``speed`` sends each row, from 0: the waits before
+    it added up; a wait of ``longest`` or more is skipped, as is a step back."""
+    wait = F.coalesce(F.col(ts) - F.lag(ts).over(_w(by, order)), F.lit(0))
+    scaled = df.withColumn("__wait", wait).withColumn("__wait", F.expr(f"__wait div {speed}"))
+    return scaled.withColumn(to, F.sum(F.when((F.col("__wait") > 0) & (F.col("__wait") < longest), F.col("__wait")).otherwise(F.lit(0))).over(_running(by, order))).drop("__wait")
+
+
+def reference_lists(df: DataFrame, by: Sequence[str], order: Sequence[str], picture: str, idr: str, reference: str, depth: int) -> DataFrame:
+    """The reference pictures of each frame, in coding order: of the newest
+    ``depth`` reference frames since the last IDR, ``list0`` has those shown
+    before it, nearest first, then those after; ``list1`` the other way round."""
+    from collections import deque
+
+    def make():
+        held: deque[int] = deque(maxlen=depth)
+
+        def step(poc, is_idr, is_reference):
+            if is_idr:
+                held.clear()
+            before, after = sorted((p for p in held if p < poc), reverse=True), sorted(p for p in held if p > poc)
+            if is_reference:
+                held.append(poc)
+            return before + after, after + before
+
+        return step
+
+    return ordered_scan(df, by, order, [picture, idr, reference], "list0 array<bigint>, list1 array<bigint>", make)

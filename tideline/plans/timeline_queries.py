@@ -452,8 +452,17 @@ def lowest_order(spark, sf_dir):  # O8, O3
     return J.lowest(tags(spark, sf_dir), BY, ["size", "seq"]).select("stream_id", "seq", "size")
 
 
-@query(None)
-def reorder_buffer(spark, sf_dir):  # T1, O4: recursive with a buffer; tested against a loop
+@query(
+    ARRIVALS_SQL
+    + """, r AS (SELECT stream_id, rn, ts AS newest, [{'t': ts, 'n': rn, 's': seq}] AS buf, list_filter([{'t': ts, 'n': rn, 's': seq}], lambda e: false) AS out FROM arr WHERE rn = 1
+ UNION ALL SELECT c.stream_id, c.rn, y.nw, x.b[k + 1:], x.b[:k]
+ FROM r JOIN arr c ON c.stream_id = r.stream_id AND c.rn = r.rn + 1, LATERAL (SELECT greatest(r.newest, c.ts) AS nw) y, LATERAL (SELECT list_sort(list_append(r.buf, {'t': c.ts, 'n': c.rn, 's': c.seq})) AS b) x,
+ LATERAL (SELECT greatest(len(x.b) - 16, len([e FOR e IN x.b IF e.t <= y.nw - 86400000000])) AS k) z),
+ o AS (SELECT stream_id, rn, 0 AS f, unnest(out) AS e, generate_subscripts(out, 1) AS i FROM r
+ UNION ALL SELECT stream_id, rn, 1, unnest(buf), generate_subscripts(buf, 1) FROM r WHERE (stream_id, rn) IN (SELECT stream_id, max(rn) FROM arr GROUP BY stream_id))
+ SELECT stream_id, e.s AS seq, ROW_NUMBER() OVER w AS position, max(e.t) OVER w AS ts_out FROM o WINDOW w AS (PARTITION BY stream_id ORDER BY rn, f, i)"""
+)
+def reorder_buffer(spark, sf_dir):  # T1, O4
     return T.reordered(arrivals(spark, sf_dir), BY, ARRIVAL, "ts", DAY, 16).select("stream_id", "seq", "position", "ts_out")
 
 
@@ -488,9 +497,9 @@ def latest_gop_cache(spark, sf_dir):  # T7
     return T.latest_group(tags(spark, sf_dir), BY, ORDER, F.col("is_key"), header()).select("stream_id", "seq")
 
 
-@query(f"WITH {TAGS_SQL}, g AS (SELECT stream_id, ts, coalesce(least(greatest((lead(ts) OVER (PARTITION BY stream_id ORDER BY ts, seq) - ts) // 43200000000 - 1, 0), 5), 0) AS n FROM tags) SELECT stream_id, ts + i * 43200000000 AS ts, i > 0 AS filled FROM g, LATERAL (SELECT unnest(range(0, n + 1)) AS i)")
+@query(f"WITH {TAGS_SQL}, g AS (SELECT stream_id, ts, coalesce(greatest((lead(ts) OVER (PARTITION BY stream_id ORDER BY ts, seq) - ts) // 43200000000 - 1, 0), 0) AS n FROM tags) SELECT stream_id, ts + i * 43200000000 AS ts, i > 0 AS filled FROM g, LATERAL (SELECT unnest(range(0, n + 1)) AS i)")
 def gap_fill(spark, sf_dir):  # T12
-    return T.gaps_filled(tags(spark, sf_dir), BY, ORDER, "ts", DAY // 2, 5)
+    return T.gaps_filled(tags(spark, sf_dir), BY, ORDER, "ts", DAY // 2)
 
 
 @query(f"WITH {TAGS_SQL}, m AS (SELECT *, max(is_header::INT) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS h, max(is_key::INT) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k, max((tag_type = 8)::INT) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS a FROM tags) SELECT stream_id, seq FROM m WHERE h + k + a = 3")
@@ -511,3 +520,72 @@ def track_metadata_join(spark, sf_dir):  # J6 at table scale: filters and column
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_quantity")
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity", "o_totalprice")
+
+
+@query(
+    f"""WITH RECURSIVE {TAGS_SQL}, r AS (SELECT stream_id, seq, rn, true AS admitted, CASE WHEN is_header THEN 4 ELSE 1 END::BIGINT AS credit FROM tags WHERE rn = 1
+ UNION ALL SELECT t.stream_id, t.seq, t.rn, t.is_header OR r.credit > 0, CASE WHEN t.is_header THEN least(4, r.credit + 3) ELSE greatest(r.credit - 1, 0) END FROM r JOIN tags t ON t.stream_id = r.stream_id AND t.rn = r.rn + 1)
+ SELECT stream_id, seq, admitted, credit FROM r"""
+)
+def credit_control(spark, sf_dir):  # T6: headers grant three, two to begin with, four at most
+    t = tags(spark, sf_dir).withColumn("grant", F.when(header(), 3).otherwise(0))
+    return T.credited(t, BY, ORDER, "grant", 2, 4).select("stream_id", "seq", "admitted", "credit")
+
+
+@query(
+    f"""WITH {TAGS_SQL}, h AS (SELECT *, sum(size) OVER (PARTITION BY stream_id ORDER BY ts, seq)::BIGINT AS head, 5 * (seq % 9) * 1000 AS behind FROM tags)
+ SELECT stream_id, seq, head, greatest(head - 20000, 0) AS tail, greatest(head - behind, head - 20000, 0) AS position, greatest(head - behind, 0) < greatest(head - 20000, 0) AS lapped FROM h"""
+)
+def ring_buffer(spark, sf_dir):  # T8
+    t = tags(spark, sf_dir).withColumn("behind", 5000 * (F.col("seq") % 9))
+    return T.ring(t, BY, ORDER, "size", "behind", 20000).select("stream_id", "seq", "head", "tail", "position", "lapped")
+
+
+@query(
+    f"""WITH {TAGS_SQL}, g AS (SELECT *, ts - lag(ts) OVER w > 86400000000 AS pause, ts - first(ts) OVER w AS gone FROM tags WINDOW w AS (PARTITION BY stream_id ORDER BY ts, seq))
+ SELECT stream_id, seq FROM g ANTI JOIN (SELECT stream_id, min(rn) AS stop FROM g WHERE pause GROUP BY stream_id) p ON p.stream_id = g.stream_id AND g.rn >= p.stop WHERE gone < 864000000000"""
+)
+def idle_end(spark, sf_dir):  # T14, T15
+    return T.until(tags(spark, sf_dir), BY, ORDER, "ts", 10 * DAY, DAY).select("stream_id", "seq")
+
+
+@query(
+    f"""WITH {TAGS_SQL}, g AS (SELECT stream_id, seq, ts, (coalesce(ts - lag(ts) OVER (PARTITION BY stream_id ORDER BY ts, seq), 0) // 2)::BIGINT AS wait FROM tags)
+ SELECT stream_id, seq, sum(CASE WHEN wait > 0 AND wait < 36000000000 THEN wait ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY ts, seq)::BIGINT AS due FROM g"""
+)
+def paced_replay(spark, sf_dir):  # T16
+    return T.paced(tags(spark, sf_dir), BY, ORDER, "ts", 2, 10 * HOUR).select("stream_id", "seq", "due")
+
+
+@query(
+    """WITH r AS (SELECT o_custkey, epoch_us(o_orderdate) AS t, o_orderkey FROM orders), p AS (SELECT o_custkey, t - 86400000000 AS t, o_orderkey AS answer FROM r)
+ SELECT r.o_orderkey, arg_min(p.answer, (p.t, -p.answer)) AS answer FROM r LEFT JOIN p ON p.o_custkey = r.o_custkey AND p.t >= r.t GROUP BY r.o_orderkey"""
+)
+def correlated_answers(spark, sf_dir):  # J9: a customer's next order of another day answers one
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)")
+    asked = o.select("o_custkey", at.alias("at"), "o_orderkey")
+    answers = o.select("o_custkey", (at - DAY).alias("at"), F.col("o_orderkey").alias("answer"))
+    return J.correlated(asked, answers, ["o_custkey"], "at", ["answer"]).select("o_orderkey", "answer")
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_partkey AS poc, l_quantity >= 45 AS idr, l_quantity::INT % 3 <> 0 AS ref, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem),
+ e AS (SELECT *, sum(idr::INT) OVER (PARTITION BY l_orderkey ORDER BY rn) AS epoch FROM l),
+ x AS (SELECT a.l_orderkey, a.rn, a.poc, b.poc AS p, ROW_NUMBER() OVER (PARTITION BY a.l_orderkey, a.rn ORDER BY b.rn DESC) AS k FROM e a JOIN e b ON a.l_orderkey = b.l_orderkey AND a.epoch = b.epoch AND b.rn < a.rn AND b.ref),
+ y AS (SELECT l_orderkey, rn, string_agg(p, ',' ORDER BY p > poc, abs(p - poc)) AS list0, string_agg(p, ',' ORDER BY p < poc, abs(p - poc)) AS list1 FROM x WHERE k <= 3 AND p <> poc GROUP BY ALL)
+ SELECT l_orderkey, rn::INT AS frame, coalesce(list0, '') AS list0, coalesce(list1, '') AS list1 FROM l LEFT JOIN y USING (l_orderkey, rn)"""
+)
+def reference_lists(spark, sf_dir):  # J10
+    from pyspark.sql import Window
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    frames = li.select("l_orderkey", F.col("l_partkey").alias("poc"), (F.col("l_quantity") >= 45).alias("idr"), (F.col("l_quantity").cast("int") % 3 != 0).alias("ref"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("frame"))
+    out = T.reference_lists(frames, ["l_orderkey"], ["frame"], "poc", "idr", "ref", 3)
+    return out.select("l_orderkey", "frame", *[F.array_join(c, ",").alias(c) for c in ("list0", "list1")])
+
+
+@query(f"""WITH {TAGS_SQL} SELECT stream_id, '{{"tags":' || count(*) || ',"bytes":' || sum(size)::BIGINT || ',"duration":' || (max(ts) - min(ts)) || ',"keyframes":' || count_if(is_key) || '}}' AS meta FROM tags GROUP BY stream_id""")
+def meta_json(spark, sf_dir):  # K15
+    return A.meta_json(tags(spark, sf_dir), BY, "ts", "size", F.col("is_key"))

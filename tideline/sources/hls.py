@@ -39,8 +39,8 @@ def playlist(text: str) -> dict:
     return {"segments": segments, "children": children}
 
 
-def collected(path: str, read, depth: int = 8) -> list[dict]:
-    """Segments of a playlist and its children, each path once, in order;
+def collected(path: str, read) -> list[dict]:
+    """Segments of a playlist and its children however deep, each path once, in order;
     ``read`` gives a path's text.  URIs resolve against their playlist."""
     seen: set[str] = set()
     out: list[dict] = []
@@ -51,9 +51,11 @@ def collected(path: str, read, depth: int = 8) -> list[dict]:
             return uri
         return f"{base.rsplit('/', 1)[0]}/{unquote(parts.path)}" if "/" in base else unquote(parts.path)
 
-    def visit(at: str, left: int) -> None:
-        if at in seen or not left:
-            return
+    waiting = [path]
+    while waiting:
+        at = waiting.pop()
+        if at in seen:
+            continue
         seen.add(at)
         found = playlist(read(at))
         for s in found["segments"]:
@@ -61,10 +63,7 @@ def collected(path: str, read, depth: int = 8) -> list[dict]:
             if uri not in seen:
                 seen.add(uri)
                 out.append(s | {"uri": uri, "init": s["init"] and resolve(at, s["init"])})
-        for c in found["children"]:
-            visit(resolve(at, c), left - 1)
-
-    visit(path, depth)
+        waiting += [resolve(at, c) for c in reversed(found["children"])]
     return out
 
 
