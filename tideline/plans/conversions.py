@@ -275,6 +275,65 @@ def from_playlist(text: bytes, files: dict[str, bytes]) -> dict:
     return from_fmp4(files[found[0]["init"]], media) if found and found[0]["init"] else from_ts(media)
 
 
+def to_split_fmp4(tracks: dict, target_ms: int = 4000) -> dict[str, bytes]:
+    """Each track with its own init segment and segments (W11), and a playlist
+    that names both."""
+    found = {"video": tracks | {"aac": None, "audio": []}, "audio": tracks | {"avc": None, "video": []}}
+    files = {f"{name}/{k}": v for name, own in found.items() if own[name] for k, v in to_fmp4(own, target_ms).items()}
+    lines = ["#EXTM3U", "#EXT-X-VERSION:7"]
+    if found["audio"]["audio"] and found["video"]["video"]:
+        lines.append('#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="audio",NAME="audio",URI="audio/index.m3u8"')
+    lines += ["#EXT-X-STREAM-INF:BANDWIDTH=1000000", "video/index.m3u8" if found["video"]["video"] else "audio/index.m3u8"]
+    return files | {"index.m3u8": ("\n".join(lines) + "\n").encode()}
+
+
+def from_folder(files: dict[str, bytes]) -> dict:
+    """Tracks of a folder of playlists and segments: of ``index.m3u8``, which may
+    name one playlist for each track."""
+    top = hls.playlist(files["index.m3u8"].decode())
+    if not top["children"]:
+        return from_playlist(files["index.m3u8"], files)
+    out = {"avc": None, "aac": None, "video": [], "audio": [], "metadata": {}}
+    for child in top["children"]:
+        folder = child.rpartition("/")[0] + "/"
+        one = from_playlist(files[child], {k.removeprefix(folder): v for k, v in files.items() if k.startswith(folder)})
+        out = {k: out[k] or one[k] for k in out}
+    return out
+
+
+def from_adts(data: bytes) -> dict:
+    """Tracks of an ADTS stream: frames of 1,024 samples from time 0."""
+    out = {"avc": None, "aac": None, "video": [], "audio": [], "metadata": {}}
+    for i, f in enumerate(audio.adts_frames(data)):
+        out["aac"] = out["aac"] or audio.audio_config_bytes(f["object_type"], f["rate"], f["channels"])
+        out["audio"].append((f["payload"], (2 * i * 1024 * 1000 + f["rate"]) // (2 * f["rate"]), 0, True))
+    return out
+
+
+def to_adts(tracks: dict) -> bytes:
+    if not tracks["aac"]:
+        raise ValueError("no AAC track")
+    c = audio.audio_config(tracks["aac"])
+    return b"".join(audio.adts_frame(s[0], c["rate"], c["channels"], c["object_type"]) for s in tracks["audio"])
+
+
+def aac_of(data: bytes) -> dict:
+    """Tracks of whatever holds AAC, by its first bytes."""
+    readers = {"flv": demuxed, "mp4": demuxed_mp4, "adts": from_adts}
+    kind = audio.sniffed(data)
+    if kind not in readers:
+        raise ValueError(f"no AAC in a container of kind {kind}")
+    return readers[kind](data)
+
+
+def pcm_of(data: bytes) -> bytes:
+    """The samples of a 16-bit PCM WAVE file."""
+    head = audio.wav_header(data)
+    if head["format"] != 1 or head["bits"] != 16:
+        raise ValueError("not 16-bit PCM")
+    return data[head["data_offset"] : head["data_offset"] + head["data_size"]]
+
+
 #: Conversions of single files, by name: bytes in, named bytes out.
 CONVERSIONS: dict[str, Callable[[bytes], dict[str, bytes]]] = {
     "flv_to_mp4": lambda d: {"output.mp4": muxed_mp4(demuxed(d))},
@@ -285,6 +344,22 @@ CONVERSIONS: dict[str, Callable[[bytes], dict[str, bytes]]] = {
     "mp4_to_fmp4": lambda d: to_fmp4(demuxed_mp4(d)),
     "ts_to_flv": lambda d: {"output.flv": muxed_flv(from_ts(d))},
     "ts_to_mp4": lambda d: {"output.mp4": muxed_mp4(from_ts(d))},
+    "flv_to_split_fmp4": lambda d: to_split_fmp4(demuxed(d)),
+    "mp4_to_split_fmp4": lambda d: to_split_fmp4(demuxed_mp4(d)),
+    "aac_to_adts": lambda d: {"output.aac": to_adts(aac_of(d))},
+    "aac_to_flv": lambda d: {"output.flv": muxed_flv(aac_of(d) | {"avc": None, "video": []})},
+    "aac_to_mp4": lambda d: {"output.mp4": muxed_mp4(aac_of(d) | {"avc": None, "video": []})},
+    "wav_to_pcm": lambda d: {"output.pcm": pcm_of(d)},
+    "pcm_to_wav": lambda d: {"output.wav": audio.wav_bytes(d, 48000, 2)},
+}
+
+#: Conversions of folders with an ``index.m3u8``: named bytes in, named bytes out.
+FOLDER_CONVERSIONS: dict[str, Callable[[dict[str, bytes]], dict[str, bytes]]] = {
+    "hls_to_flv": lambda f: {"output.flv": muxed_flv(from_folder(f))},
+    "hls_to_mp4": lambda f: {"output.mp4": muxed_mp4(from_folder(f))},
+    "fmp4_to_flv": lambda f: {"output.flv": muxed_flv(from_folder(f))},
+    "fmp4_to_mp4": lambda f: {"output.mp4": muxed_mp4(from_folder(f))},
+    "fmp4_to_hls": lambda f: to_hls(from_folder(f)),
 }
 
 
@@ -302,3 +377,19 @@ def converted(files: DataFrame, conversion: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"path": [path] * len(made), "name": list(made), "content": list(made.values())}, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, name string, content binary")
+
+
+def converted_folders(files: DataFrame, conversion: str) -> DataFrame:
+    """(folder, name, content) of a conversion over rows (folder, name, content):
+    a folder, like a file above, is the unit of work."""
+    import pyarrow as pa
+
+    turn = FOLDER_CONVERSIONS[conversion]
+    schema = pa.schema([("folder", pa.string()), ("name", pa.string()), ("content", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        made = turn(dict(zip(table.column("name").to_pylist(), table.column("content").to_pylist(), strict=True)))
+        folder = table.column("folder")[0].as_py()
+        return pa.Table.from_pydict({"folder": [folder] * len(made), "name": list(made), "content": list(made.values())}, schema=schema)
+
+    return files.select("folder", "name", "content").groupBy("folder").applyInArrow(run, "folder string, name string, content binary")

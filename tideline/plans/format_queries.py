@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideline.functions import amf, audio, audio_policy, frames, h264, nal, pcm
+from tideline.plans import conversions
 from tideline.sources import flv, hls, live, mp4, ogg, rtp
 from tideline.sources.events import TAGS_SQL, tags
 
@@ -471,3 +472,69 @@ def strict_scan(spark, sf_dir):  # S5: a cut last tag ends the scan, or is an er
     # A file is the unit of a strict scan, so a stream's parts come together.
     files = each(whole.select("stream_id", F.transform("p", lambda x: x["content"]).alias("c")), lambda key, c: [(key, b"".join(c))], "stream_id bigint, content binary")
     return _along(files.withColumn("part", F.lit(0)), make, "stream_id bigint, whole bigint, refused boolean, all_tags bigint")
+
+
+def _movies(spark, sf_dir) -> DataFrame:
+    """(path, content): a tag container of each order's lines: a video frame each
+    40 ms and an audio frame each 20 ms."""
+
+    def make(key, rows):
+        avc = nal.configuration_record([nal.sps_unit(64, 48)], [h264.parameter_sets(64, 48)[1]])
+        unit = lambda i, r: nal.to_lengths([bytes([0x65 if i % 3 == 0 else 0x41]) + bytes([r["q"]]) * r["q"]])
+        video = [(unit(i, r), 40 * i, 40 * (i % 2), i % 3 == 0) for i, r in enumerate(rows)]
+        sound = [(bytes([r["q"]]) * 5, 20 * i, 0, True) for i, r in enumerate(rows)]
+        yield str(key), conversions.muxed_flv({"avc": avc, "aac": audio.audio_config_bytes(2, 48000, 2), "video": video, "audio": sound})
+
+    return each(lines(spark, sf_dir), make, "path string, content binary")
+
+
+def _media(files: DataFrame, key: str) -> DataFrame:
+    """(l_orderkey, kind, frame, dts, cts, is_key, size, number) of tag containers."""
+
+    def make(path, content):
+        t = conversions.demuxed(content)
+        for kind in ("video", "audio"):
+            for i, (data, dts, cts, is_key) in enumerate(t[kind], 1):
+                yield int(path), kind, i, dts, cts, is_key, len(data), data[-1]
+
+    return each(files.select(key, "content"), make, "l_orderkey bigint, kind string, frame int, dts bigint, cts int, is_key boolean, size int, number int")
+
+
+_MEDIA_SQL = f"""WITH {LINES_SQL} SELECT l_orderkey, 'video' AS kind, rn::INT AS frame, (40 * (rn - 1))::BIGINT AS dts, (40 * ((rn - 1) % 2))::INT AS cts, (rn - 1) % 3 = 0 AS is_key, q + 5 AS size, q AS number FROM l
+ UNION ALL SELECT l_orderkey, 'audio', rn::INT, (20 * (rn - 1))::BIGINT, 0, true, 5, q FROM l"""
+
+
+@query(_MEDIA_SQL)
+def conversion_mp4(spark, sf_dir):  # API: tags to MP4 and back
+    files = conversions.converted(conversions.converted(_movies(spark, sf_dir), "flv_to_mp4").select("path", "content"), "mp4_to_flv")
+    return _media(files, "path")
+
+
+@query(_MEDIA_SQL)
+def conversion_fmp4(spark, sf_dir):  # API: fragments with a track each, and back to tags
+    parts = conversions.converted(_movies(spark, sf_dir), "flv_to_split_fmp4").withColumnRenamed("path", "folder")
+    return _media(conversions.converted_folders(parts, "fmp4_to_flv"), "folder")
+
+
+@query(_MEDIA_SQL)
+def conversion_hls(spark, sf_dir):  # API: segments of a transport stream and their playlist, and back to tags
+    parts = conversions.converted(_movies(spark, sf_dir), "flv_to_hls").withColumnRenamed("path", "folder")
+    return _media(conversions.converted_folders(parts, "hls_to_flv"), "folder")
+
+
+@query(f"WITH {LINES_SQL} SELECT l_orderkey, rn::INT AS frame, 48000 AS rate, 2 AS channels, q AS number FROM l")
+def conversion_aac(spark, sf_dir):  # API, S18: AAC out of tags, into MP4, out again as ADTS
+    files = conversions.converted(conversions.converted(_movies(spark, sf_dir), "aac_to_mp4").select("path", "content"), "aac_to_adts")
+
+    def make(path, content):
+        for i, f in enumerate(audio.adts_frames(content), 1):
+            yield int(path), i, f["rate"], f["channels"], f["payload"][0]
+
+    return each(files.select("path", "content"), make, "l_orderkey bigint, frame int, rate int, channels int, number int")
+
+
+@query(f"WITH {LINES_SQL} SELECT l_orderkey, (4 * count(*))::INT AS size, sum(q)::BIGINT AS total FROM l GROUP BY l_orderkey")
+def conversion_wav(spark, sf_dir):  # API: PCM to WAVE and back
+    samples = each(lines(spark, sf_dir), lambda key, rows: [(str(key), b"".join(r["q"].to_bytes(4, "little") for r in rows))], "path string, content binary")
+    files = conversions.converted(conversions.converted(samples, "pcm_to_wav").select("path", "content"), "wav_to_pcm")
+    return each(files.select("path", "content"), lambda path, data: [(int(path), len(data), sum(data))], "l_orderkey bigint, size int, total bigint")

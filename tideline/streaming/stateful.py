@@ -3,8 +3,10 @@
 ``tideline.operators.timeline``; the same rows give the same result.
 
 Input rows: stream_id string, seq bigint, ts bigint, is_key boolean, lag bigint.
-They take the rows of a micro-batch by ``seq``.  ``transformWithState`` needs the
-RocksDB state store: ``STATE_STORE``.
+``seq`` numbers a stream's rows as they arrived (a shuffle keeps no other order);
+rows of a micro-batch are taken by it.  ``transformWithState`` needs the RocksDB
+state store: ``STATE_STORE``.  With a time to live, state of streams that have
+gone silent for so long is dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +29,16 @@ def _rows(frames: Iterator[pd.DataFrame]) -> list[tuple]:
     return list(all_rows[["seq", "ts", "is_key", "lag"]].itertuples(index=False, name=None))
 
 
-class Reorder(StatefulProcessor):
+class Lasting(StatefulProcessor):
+    """A processor whose state can have a time to live, in ms."""
+
+    ttl: int | None = None
+
+    def close(self) -> None:
+        pass
+
+
+class Reorder(Lasting):
     """A bounded reorder buffer; late rows are clamped, never dropped.  The
     buffer is flushed by a row with a null ``ts``, the end of its stream."""
 
@@ -37,8 +48,8 @@ class Reorder(StatefulProcessor):
         self.window, self.most = window, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getListState("buffer", "ts bigint, n bigint, seq bigint")
-        self.clock = handle.getValueState("clock", "n bigint, newest bigint, last bigint, position bigint")
+        self.buffer = handle.getListState("buffer", "ts bigint, n bigint, seq bigint", self.ttl)
+        self.clock = handle.getValueState("clock", "n bigint, newest bigint, last bigint, position bigint", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = sorted((int(t), int(n), int(s)) for t, n, s in self.buffer.get()) if self.buffer.exists() else []
@@ -69,11 +80,8 @@ class Reorder(StatefulProcessor):
         self.clock.update((n, newest, last, position))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "ts", "position", "ts_out"])
 
-    def close(self) -> None:
-        pass
-
 
-class Realign(StatefulProcessor):
+class Realign(Lasting):
     """T4: times that go back by more than ``limit`` get a new offset."""
 
     OUT = "stream_id string, seq bigint, ts_out bigint"
@@ -82,7 +90,7 @@ class Realign(StatefulProcessor):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "offset bigint, last bigint")
+        self.state = handle.getValueState("state", "offset bigint, last bigint", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         offset, last = map(int, self.state.get()) if self.state.exists() else (0, None)
@@ -100,11 +108,8 @@ class Realign(StatefulProcessor):
             self.state.update((offset, last))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "ts_out"])
 
-    def close(self) -> None:
-        pass
-
 
-class Shed(StatefulProcessor):
+class Shed(Lasting):
     """T5: from a lag of ``most`` on rows are dropped up to the next key."""
 
     OUT = "stream_id string, seq bigint, dropped boolean"
@@ -113,7 +118,7 @@ class Shed(StatefulProcessor):
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("skipping", "skipping boolean")
+        self.state = handle.getValueState("skipping", "skipping boolean", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         skipping = bool(self.state.get()[0]) if self.state.exists() else False
@@ -127,11 +132,8 @@ class Shed(StatefulProcessor):
         self.state.update((skipping,))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "dropped"])
 
-    def close(self) -> None:
-        pass
 
-
-class Segment(StatefulProcessor):
+class Segment(Lasting):
     """Live segment numbers, cut at keyframes."""
 
     OUT = "stream_id string, seq bigint, segment bigint"
@@ -140,7 +142,7 @@ class Segment(StatefulProcessor):
         self.target = target
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "start bigint, segment bigint")
+        self.state = handle.getValueState("state", "start bigint, segment bigint", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         start, segment = map(int, self.state.get()) if self.state.exists() else (None, 1)
@@ -154,10 +156,9 @@ class Segment(StatefulProcessor):
             self.state.update((start, segment))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "segment"])
 
-    def close(self) -> None:
-        pass
-
 
-def processed(stream: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    """The processor over ``stream`` (columns of ``IN``), keyed by stream_id."""
-    return stream.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="None")
+def processed(stream: DataFrame, processor: Lasting, ttl: int | None = None) -> DataFrame:
+    """The processor over ``stream`` (columns of ``IN``), keyed by stream_id;
+    ``ttl`` is in ms."""
+    processor.ttl = ttl
+    return stream.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="None" if ttl is None else "ProcessingTime")
