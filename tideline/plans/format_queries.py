@@ -348,6 +348,20 @@ def scaled_frames(spark, sf_dir):  # V1, V2: a mark over the corner, then half t
     return each(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), make, "p_partkey bigint, x int, y int, luma int")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey, i, (p_partkey * 3 + i * 50) % 256 AS r, (p_partkey * 5 + i * 70) % 256 AS g, (p_partkey * 7 + i * 90) % 256 AS b FROM part, (SELECT unnest(range(0, 4)) AS i)),
+ c AS (SELECT *, greatest(0, least(255, trunc(-0.14713::DOUBLE * r + -0.28886::DOUBLE * g + 0.436::DOUBLE * b + 128)))::INT AS u, greatest(0, least(255, trunc(0.615::DOUBLE * r + -0.51499::DOUBLE * g + -0.10001::DOUBLE * b + 128)))::INT AS v FROM p)
+ SELECT p_partkey, i::INT AS pixel, trunc(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)::INT AS y, (sum(u) OVER (PARTITION BY p_partkey) // 4)::INT AS u, (sum(v) OVER (PARTITION BY p_partkey) // 4)::INT AS v FROM c"""
+)
+def mark_pixels(spark, sf_dir):  # V3: an image of four pixels as a mark
+    def make(key):
+        out = pcm.from_rgb(bytes((key * a + i * b) % 256 for i in range(4) for a, b in ((3, 50), (5, 70), (7, 90))), 2, 2)
+        for i in range(4):
+            yield key, i, out[i], out[4], out[5]
+
+    return each(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), make, "p_partkey bigint, pixel int, y int, u int, v int")
+
+
 @query("SELECT p_partkey, abs(p_partkey % 200 - p_size * 3)::DOUBLE AS difference, (abs(p_partkey % 200 - p_size * 3) > 1)::INT::DOUBLE AS changed FROM part")
 def scene_changes(spark, sf_dir):  # W23
     import numpy as np
