@@ -13,15 +13,19 @@ A sequence of BPE tokens is the encoding of its text exactly if every two
 neighbours are the encoding of theirs, so this agreement makes the joined
 sequence exact.
 
-Defined results: a null text is an empty one: 0 tokens, digests of ''.
+Defined results: a null text is an empty one: 0 tokens, digests of ''; texts of
+any length are encoded whole, with or without white space; repeated rows encode
+alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@contextmanager
+def threads() -> Iterator[None]:
+    """The library's threads, as many as a task has cores, for the leaves of a
+    long text; elsewhere one thread a task, as the cores are Spark's."""
+    os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "2"))
+    before = os.environ.get("TOKENIZERS_PARALLELISM")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    try:
+        yield
+    finally:
+        if before is None:
+            del os.environ["TOKENIZERS_PARALLELISM"]
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = before
+
+
 class Encoder:
     """Encodes chunks with the tokenizer of ``path``, long ones as trees."""
 
@@ -92,7 +112,8 @@ class Encoder:
         if len(cuts) > 1 and len(word) - cuts[-1] < 2:
             cuts.pop()
         leaves = [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
-        parts = [e.ids for e in self.open.encode_batch(leaves[:-1], add_special_tokens=False)]
+        with threads():
+            parts = [e.ids for e in self.open.encode_batch(leaves[:-1], add_special_tokens=False)]
         parts.append(self.closed.encode(leaves[-1], add_special_tokens=False).ids)
         at = [*cuts, len(word)]
         while len(parts) > 1:
@@ -207,8 +228,6 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, keep:
     source, kept = common.through(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
         for batch in common.slices(batches, "text", 4 << 20):
             n, ids, decoded = encode(batch.column("text"), path)

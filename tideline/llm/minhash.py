@@ -336,7 +336,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     out = rows.where("digest is not null and doc_id is not null").join(by_key(placed), "digest", "left").select("doc_id", "n_shingles", "component")
     out = out.unionByName(rows.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    made = common.cut(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), "components")
+    common.dropped(profile, ids, labels)
+    return made
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
