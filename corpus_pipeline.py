@@ -63,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
