@@ -630,6 +630,17 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_nearest_sql(spark):
+    import duckdb
+
+    from tideline.llm import queries
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    mine = sorted(tuple(r) for r in annsearch.op9_nearest(spark, "/root/testdata/sf0.01").collect())
+    assert mine == sorted(c.execute(queries.SQL["op9_nearest"]).fetchall())
+
+
 def test_visited_cells_come_by_distance():
     rng = np.random.default_rng(1)
     index = annsearch.Index(rng.normal(size=(5, 3)), rng.normal(size=(4, 3)))

@@ -235,7 +235,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, visit: float = VISIT
                     pick = np.arange(len(s)) if len(s) <= k + 1 else np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1] - 1e-9)
                     mine = np.isin(owner, pick)
                     v = flat[mine]
-                    exact = (vectors[owner[mine]] * asking[a + i]).sum(axis=1)
+                    exact = np.ascontiguousarray((vectors[owner[mine]] * asking[a + i]).T).sum(axis=0)  # components one after another
                     own = (v != names[a + i]) & (exact >= floors[a + i])
                     v, exact = v[own], exact[own]
                     order = np.lexsort((v, -exact))[:k]

