@@ -50,7 +50,7 @@ def test_tags(spark, tmp_path):
     (tmp_path / "b.flv").write_bytes(flv.file_header() + flv.tag_bytes(9, 5, b"\x17\x02\x00\x00\x00"))
     spark.dataSource.register(flv.source())
     mine = spark.read.format("tag_container").load(str(tmp_path))
-    assert mine.count() == 5
+    assert mine.count() == 5 and spark.read.format("tag_container").load(f"file://{tmp_path}").count() == 5
     scanned = flv.scanned(spark.read.format("binaryFile").load(str(tmp_path)))
     flags = {(r.tag_type, r.ts_ms): (r.is_key, r.is_sequence_header, r.is_media, r.cts) for r in flv.with_packets(scanned).collect()}
     assert flags[9, 0] == (False, True, False, 0) and flags[9, 40] == (False, False, True, -2) and flags[8, 1 << 31][2] and not flags[9, 5][2]

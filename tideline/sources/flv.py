@@ -160,9 +160,13 @@ def source():
 
     Options: path (a file or folder), payload (false: skip bodies), mode
     (FAILFAST: a cut tag is an error).  Executors open the files themselves, in
-    bounded memory, so the path must be a mounted folder; ``scanned`` takes any
-    path that Spark can read, a whole file at a time.
+    bounded memory: the path is a mounted folder or a URI of a store that Arrow
+    reads (file, hdfs, s3, gs); ``scanned`` takes any path that Spark can read, a
+    whole file at a time.
     """
+    import os
+
+    from pyarrow import fs
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class One(InputPartition):
@@ -173,15 +177,19 @@ def source():
         def __init__(self, options):
             self.options = dict(options)
 
-        def partitions(self):
-            import os
-
+        def store(self):
             path = self.options["path"]
-            names = [path] if os.path.isfile(path) else sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".flv"))
-            return [One(n) for n in names]
+            return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+        def partitions(self):
+            store, path = self.store()
+            if store.get_file_info(path).is_file:
+                return [One(path)]
+            found = store.get_file_info(fs.FileSelector(path, recursive=True))
+            return [One(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith(".flv")]
 
         def read(self, partition):
-            with open(partition.path, "rb") as f:
+            with self.store()[0].open_input_file(partition.path) as f:
                 payload = self.options.get("payload", "true").lower() != "false"
                 strict = self.options.get("mode", "").upper() == "FAILFAST"
                 for seq, (kind, ts, size, body, at) in enumerate(read_tags(f, payload, strict)):
