@@ -342,7 +342,9 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             made = [deduced(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1)]], names=["host", "mains", "repeated"])
 
-    return hosts.mapInArrow(run, "host string, mains array<long>, repeated array<long>")
+    out = hosts.mapInArrow(run, "host string, mains array<long>, repeated array<long>")
+    out.reads = tokens
+    return out
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -352,7 +354,9 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", keep: list
     common.arrow_batches(pages.sparkSession)
     # Small, so that pages meet it in a broadcast where its size allows; else in
     # a sort-merge join, whose hot hosts adaptive execution splits.
-    found = common.cut(templates(pages, url, html), "templates")
+    deduced_ones = templates(pages, url, html)
+    found = common.cut(deduced_ones, "templates")
+    common.dropped(deduced_ones.reads)
     rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"))
     rows = rows.join(found, "host", "left").select(*[f"k{i}" for i in range(len(keep))], "html", "mains", "repeated")
     k = len(keep)
