@@ -552,3 +552,26 @@ def conversion_wav(spark, sf_dir):  # API: PCM to WAVE and back
     samples = each(lines(spark, sf_dir), lambda key, rows: [(str(key), b"".join(r["q"].to_bytes(4, "little") for r in rows))], "path string, content binary")
     files = conversions.converted(conversions.converted(samples, "pcm_to_wav").select("path", "content"), "wav_to_pcm")
     return each(files.select("path", "content"), lambda path, data: [(int(path), len(data), sum(data))], "l_orderkey bigint, size int, total bigint")
+
+
+@query(
+    f"""WITH {TAGS_SQL}, v AS (SELECT stream_id, seq, is_key, sum(is_key::INT) OVER (PARTITION BY stream_id ORDER BY ts // 1000, seq)::BIGINT AS gop FROM tags WHERE tag_type = 9)
+ SELECT stream_id, seq, gop, is_key, 200 AS corner, (seq % 100)::INT AS "left", (seq % 100 + 50)::INT AS "right" FROM v WHERE gop > 0"""
+)
+def group_reencode(spark, sf_dir):  # API re-encode, D1, E1, R7, R8: pictures decoded, halved, marked and encoded by group
+    from tideline.operators import gop
+
+    sps = nal.sps(h264.parameter_sets(16, 16)[0])
+
+    def write(stream, seq, ts, key):
+        row = bytes([seq % 100] * 16 + [seq % 100 + 50] * 16)
+        yield str(stream), seq, ts, key, h264.encode(row * 32 + bytes(512), 32, 32, seq)
+
+    def read(stream, seq, group, key, data):
+        frame = h264.decode(data, sps)
+        yield int(stream), seq, group, key, frame[0], frame[16 * 8], frame[16 * 8 + 15]
+
+    video = tags(spark, sf_dir).where("tag_type = 9").select("stream_id", "seq", F.floor(F.col("ts") / 1000).alias("ts_ms"), "is_key")
+    coded = each(video, write, "stream_id string, seq bigint, ts_ms bigint, is_key boolean, data binary")
+    out = gop.recoded(coded, 32, 32, 16, 16, mark=(bytes([200] * 4 + [0] * 2), 2, 2))
+    return each(out.select("stream_id", "seq", "gop", "is_key", "data"), read, "stream_id bigint, seq bigint, gop bigint, is_key boolean, corner int, left int, right int")
