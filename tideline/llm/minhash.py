@@ -202,7 +202,7 @@ def by_key(rows: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, text: str) -> DataFrame:
     """Of the pairs (a, b) of class ids, those whose full sets are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "digest"), "id")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.where("own").select("id", "digest"), "id")
     sets = common.cut(full_sets(docs, wanted, size, text), "sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(by_key(sets.select(F.col("id").alias("a"), F.col("set").alias("x"))), "a").select("a", "b", "x", "y")
     out = common.cut(both.mapInArrow(linked(percent), "a long, b long"), "links")
@@ -292,7 +292,7 @@ def leftovers(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: D
     if cells.isEmpty():
         common.dropped(cells)
         return None
-    wanted = classes.join(cells.select("id").distinct(), "id", "left_semi").select("id", "digest").dropDuplicates(["id"])
+    wanted = classes.where("own").join(cells.select("id").distinct(), "id", "left_semi").select("id", "digest")
     known = common.cut(full_sets(docs, wanted, size, text), "known")
     row = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -315,8 +315,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     full = profile.where("n_shingles > 0 and doc_id is not null")
     ids = common.cut(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     signed = full.join(ids.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), "n_shingles", "digest", "signature", "bands")
-    classes = common.cut(signed, "signed")
-    signs = classes.select("id", "signature").dropDuplicates(["id"])
+    # An id that stands for several sets (it repeats with other texts) has one of them as its own.
+    owned = ids.groupBy("id").agg(F.min("digest").alias("digest")).select("digest", F.lit(True).alias("own"))
+    classes = common.cut(signed.join(by_key(owned), "digest", "left"), "signed")
+    signs = classes.where("own").select("id", "signature")
     members = classes.select("id", "n_shingles", F.explode("bands").alias("key")).dropDuplicates(["id", "key"])
     buckets = common.cut(members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = common.cut(members.join(by_key(buckets), "key").select("key", "id", "n_shingles", "pivot", "n"), "members")
