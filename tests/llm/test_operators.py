@@ -459,8 +459,9 @@ def test_html_letters_that_change_length():
 
 
 def test_html_names_are_a_tie_break():
-    source = "<article><h1 class='header'>T</h1><div class='related-work'><p>earlier studies</p></div><p id='share-price'>up 3</p><div class='cookie-notice'>eat</div><div class='ad slot'>buy</div><div class='share'>" + "long text " * 20 + "</div></article>"
-    assert htmlmain.extract(source) == "T\nearlier studies\nup 3\n" + ("long text " * 20).strip()
+    source = "<article><h1 class='header'>T</h1><div class='related-work'><p>earlier studies</p></div><p id='share-price'>up 3</p><div class='cookie-notice'>eat</div><div class='ad slot'>buy</div><div class='reader-comments'>" + "long rant " * 40 + "</div></article>"
+    assert htmlmain.extract(source) == "T\nearlier studies\nup 3"
+    assert htmlmain.extract("<div class='page sidebar-left'><h1>T</h1><p>" + "long text " * 9 + "</div><div class='sidebar'>side</div>") == "T\n" + ("long text " * 9).strip()
     assert htmlmain.extract("<p>a longer text <span class='ad'>x <span>y</span> z</span> b</p>") == "a longer text b"
 
 

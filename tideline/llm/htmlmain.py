@@ -14,8 +14,8 @@ text and its headings; of these the deepest.  Names decide only ties: an
 ``article`` or ``main`` element among them comes first.  Its slots, without what
 HTML itself calls furniture (``nav``, ``footer``, ``form`` ...), are the page's
 text.  Class and id values mark furniture only where they say nothing else
-("cookie-notice", not "related-work") and the element holds no more than half
-of the page's text.
+("cookie-notice", not "related-work"), and not on an element that holds the
+page's heading and more than half of its text.
 
 Vectors are never built: a token's vector is known by two sums, over pages, of
 hashes of (page, count), so a host of any size costs one mergeable aggregate.
@@ -199,9 +199,14 @@ class Page:
 
         if BY_NAME in self.mark.values():
             weight = self.weights(under({t: m if m == BY_TAG else FREE for t, m in self.mark.items()}))
+            headed = {0}
+            for token, tag in self.tag.items():
+                while tag == "h1" and token not in headed:
+                    headed.add(token)
+                    token = self.parent[token]
             for token, m in self.mark.items():
-                if m == BY_NAME and 2 * weight[token] > weight[0]:
-                    self.mark[token] = FREE  # a name does not outweigh most of a page's text
+                if m == BY_NAME and 2 * weight[token] > weight[0] and (token in headed or len(headed) == 1):
+                    self.mark[token] = FREE  # a name does not outweigh a page's heading and most of its text
         return under(self.mark)
 
     def blocks(self) -> Iterator[tuple[int, str]]:
