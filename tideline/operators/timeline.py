@@ -7,7 +7,7 @@ recursive rules are ordered scans.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,29 @@ def _running(by: Sequence[str], order: Sequence[str]):
     return _w(by, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _prefix(df: DataFrame, by: Sequence[str], order: Sequence[str], join: Callable, value: Column, to: str, part: Column | None, before: bool = False) -> DataFrame:
+    """``df`` with running sums or maxima (``join``: F.sum, F.max) of ``value`` as
+    ``to``; with ``before``, of the rows before each.
+
+    ``part`` grows with ``order`` (a day of the time, say) and cuts streams too
+    long for one task: parts run on their own, and what the parts before a part
+    come to is a window over one row for each part."""
+    upto = -1 if before else 0
+    if part is None:
+        return df.withColumn(to, join(value).over(_w(by, order).rowsBetween(Window.unboundedPreceding, upto)))
+    wide = df.withColumn("__part", part).withColumn("__value", value)
+    keys = [f"__k{i}" for i in range(len(by))]
+    totals = wide.groupBy(*[F.col(k).alias(n) for k, n in zip(by, keys, strict=True)], F.col("__part").alias("__p")).agg(join("__value").alias("__total"))
+    so_far = totals.withColumn("__before", join("__total").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).drop("__total")
+    same = F.col("__part").eqNullSafe(F.col("__p"))
+    for k, n in zip(by, keys, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    own = join("__value").over(_w([*by, "__part"], order).rowsBetween(Window.unboundedPreceding, upto))
+    out = wide.withColumn("__own", own).join(so_far, same)
+    both = F.greatest("__before", "__own") if join is F.max else F.when(F.col("__before").isNull() & F.col("__own").isNull(), None).otherwise(F.coalesce("__before", F.lit(0)) + F.coalesce("__own", F.lit(0)))
+    return out.withColumn(to, both).drop("__part", "__value", "__own", "__before", "__p", *keys)
+
+
 def rebase(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, header: Column, to: str = "ts_out") -> DataFrame:
     """Time since the first media row of the stream; headers are 0, and
     nothing is below 0."""
@@ -40,16 +63,15 @@ def rebase_wrapped(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: s
     return df.withColumn(to, F.when(gone < -(modulus // 2), gone + modulus).otherwise(F.greatest(gone, F.lit(0))))
 
 
-def clamp_strict(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, to: str = "ts_out") -> DataFrame:
+def clamp_strict(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, to: str = "ts_out", part: Column | None = None) -> DataFrame:
     """t' = max(t, t'_before + 1), as max(t - n) so far + n."""
-    n = F.row_number().over(_w(by, order))
-    lifted = df.withColumn("__n", n).withColumn("__d", F.col(ts) - F.col("__n"))
-    return lifted.withColumn(to, F.max("__d").over(_running(by, order)) + F.col("__n")).drop("__n", "__d")
+    lifted = _prefix(df, by, order, F.sum, F.lit(1), "__n", part)
+    return _prefix(lifted, by, order, F.max, F.col(ts) - F.col("__n"), "__d", part).withColumn(to, F.col("__d") + F.col("__n")).drop("__n", "__d")
 
 
-def clamp(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, to: str = "ts_out") -> DataFrame:
+def clamp(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, to: str = "ts_out", part: Column | None = None) -> DataFrame:
     """Cumulative maximum."""
-    return df.withColumn(to, F.max(ts).over(_running(by, order)))
+    return _prefix(df, by, order, F.max, F.col(ts), to, part)
 
 
 def durations(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, fallback: int, to: str = "duration", floor: int | None = 0) -> DataFrame:
@@ -62,16 +84,16 @@ def durations(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, f
     return df.withColumn(to, d if floor is None else F.when(d < 0, F.lit(floor)).otherwise(d))
 
 
-def byte_offsets(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, base: Column, to: str = "offset") -> DataFrame:
+def byte_offsets(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, base: Column, to: str = "offset", part: Column | None = None) -> DataFrame:
     """Base plus the sizes before the row in its chunk."""
-    before = F.sum(size).over(_w(by, order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn(to, base + F.coalesce(before, F.lit(0)))
+    return _prefix(df, by, order, F.sum, F.col(size), "__before_row", part, before=True).withColumn(to, base + F.coalesce("__before_row", F.lit(0))).drop("__before_row")
 
 
-def decode_times(df: DataFrame, by: Sequence[str], order: Sequence[str], delta: str, timescale: Column, to: str = "dts_ms") -> DataFrame:
+def decode_times(df: DataFrame, by: Sequence[str], order: Sequence[str], delta: str, timescale: Column, to: str = "dts_ms", part: Column | None = None) -> DataFrame:
     """Prefix sum of deltas in ticks, rounded to ms after summing."""
-    ticks = F.coalesce(F.sum(delta).over(_w(by, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn(to, F.floor((2 * ticks * 1000 + timescale) / (2 * timescale)).cast("long"))
+    summed = _prefix(df, by, order, F.sum, F.col(delta), "__ticks", part, before=True)
+    ticks = F.coalesce("__ticks", F.lit(0))
+    return summed.withColumn(to, F.floor((2 * ticks * 1000 + timescale) / (2 * timescale)).cast("long")).drop("__ticks")
 
 
 def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -82,9 +104,9 @@ def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) ->
     return numbered.groupBy(*by, "run").agg(F.first(value).alias(value), F.count("*").alias("count"))
 
 
-def groups_of_pictures(df: DataFrame, by: Sequence[str], order: Sequence[str], key: Column, to: str = "gop") -> DataFrame:
+def groups_of_pictures(df: DataFrame, by: Sequence[str], order: Sequence[str], key: Column, to: str = "gop", part: Column | None = None) -> DataFrame:
     """Running count of keyframes; 0 before the first."""
-    return df.withColumn(to, F.sum(F.when(key, 1).otherwise(0)).over(_running(by, order)))
+    return _prefix(df, by, order, F.sum, F.when(key, 1).otherwise(0), to, part)
 
 
 def decimate(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, key: str, fps: int, unit: int = 1000, spare_first: bool = True) -> DataFrame:

@@ -589,3 +589,28 @@ def reference_lists(spark, sf_dir):  # J10
 @query(f"""WITH {TAGS_SQL} SELECT stream_id, '{{"tags":' || count(*) || ',"bytes":' || sum(size)::BIGINT || ',"duration":' || (max(ts) - min(ts)) || ',"keyframes":' || count_if(is_key) || '}}' AS meta FROM tags GROUP BY stream_id""")
 def meta_json(spark, sf_dir):  # K15
     return A.meta_json(tags(spark, sf_dir), BY, "ts", "size", F.col("is_key"))
+
+
+def _day(ts: str = "ts"):
+    return F.floor(F.col(ts) / DAY)
+
+
+@query(SQL["gop_id"])
+def gop_id_by_day(spark, sf_dir):  # W9 of streams too long for one task
+    return T.groups_of_pictures(tags(spark, sf_dir), BY, ORDER, F.col("is_key"), part=_day()).select("stream_id", "seq", "gop")
+
+
+@query(SQL["dts_prefix"])
+def dts_prefix_by_day(spark, sf_dir):  # W6, W7 of streams too long for one task
+    return T.decode_times(tags(spark, sf_dir), BY, ORDER, "size", F.lit(12800), part=_day()).select("stream_id", "seq", "dts_ms")
+
+
+@query(SQL["clamp_cummax"])
+def clamp_cummax_by_day(spark, sf_dir):  # W4 of streams too long for one task
+    return T.clamp(arrivals(spark, sf_dir), BY, ARRIVAL, "ts", part=_day("arrival")).select("stream_id", "seq", "ts_out")
+
+
+@query(SQL["clamp_strict"])
+def clamp_strict_by_day(spark, sf_dir):  # W3 of streams too long for one task
+    t = arrivals(spark, sf_dir).withColumn("h", F.floor(F.col("ts") / HOUR))
+    return T.clamp_strict(t, BY, ARRIVAL, "h", part=_day("arrival")).select("stream_id", "seq", "ts_out")
