@@ -69,6 +69,18 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_key(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join on a key that may be hot: it sorts and merges, so that
+    adaptive execution can split what very many rows share."""
+    return rows.hint("merge")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Sums or minima dealt out anew: a join on their key then starts from plain
+    exchanges on both sides, which adaptive execution can split."""
+    return by_key(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id's text leaves remainder 0 by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

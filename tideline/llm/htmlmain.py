@@ -336,9 +336,11 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     of each host with enough pages."""
     fixed = ("parent", "kind", "depth", "free")
     tokens = evidence(pages, url, html).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in SUMS], F.min("low").alias("low"), F.max("high").alias("high"), *[F.min(c).alias(c) for c in fixed])
-    tokens = common.cut(tokens, "tokens")  # read twice; pages are parsed once for it
+    # Read twice, though pages are parsed once for it; tokens on too few pages for any host are no template.
+    tokens = common.cut(tokens.where((F.col("token") == 0) | (F.col("pages") >= SHARE * PAGES)), "tokens")
     sizes = tokens.where("token = 0").select("host", F.col("pages").alias("all")).where(F.col("all") >= PAGES)
-    held = tokens.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all"))
+    held = common.cut(tokens.join(common.by_key(sizes), "host").where(F.col("pages") >= SHARE * F.col("all")), "held")
+    common.dropped(tokens)
     one = F.struct("token", *SUMS, "low", "high", *fixed)
     hosts = held.groupBy("host").agg(F.collect_list(one).alias("tokens"))  # at most 1 / SHARE pages' tokens
 
@@ -348,7 +350,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1)]], names=["host", "mains", "repeated"])
 
     out = hosts.mapInArrow(run, "host string, mains array<long>, repeated array<long>")
-    out.reads = tokens
+    out.reads = held
     return out
 
 
