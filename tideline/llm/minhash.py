@@ -194,17 +194,11 @@ def linked(percent: int):
     return run
 
 
-def by_key(rows: DataFrame) -> DataFrame:
-    """``rows`` for a join on a key that may be hot: it sorts and merges, so that
-    adaptive execution can split what very many rows share."""
-    return rows.hint("merge")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, text: str) -> DataFrame:
     """Of the pairs (a, b) of class ids, those whose full sets are similar."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.where("own").select("id", "digest"), "id")
     sets = common.cut(full_sets(docs, wanted, size, text), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(by_key(sets.select(F.col("id").alias("a"), F.col("set").alias("x"))), "a").select("a", "b", "x", "y")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(common.by_key(sets.select(F.col("id").alias("a"), F.col("set").alias("x"))), "a").select("a", "b", "x", "y")
     out = common.cut(both.mapInArrow(linked(percent), "a long, b long"), "links")
     common.dropped(sets)
     return out
@@ -219,10 +213,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(by_key(lowest), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(common.dealt(lowest), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: edges now point from larger to smaller.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(by_key(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(common.dealt(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = common.cut(small, "edges")
         common.dropped(edges)
         edges = new
@@ -277,7 +271,7 @@ def leftovers(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: D
     """
     placed = members.join(labels, "id", "left").select("key", "id", "pivot", "n_shingles", F.coalesce("component", "id").alias("component"))
     home = placed.where("id = pivot").select("key", F.col("component").alias("home"))
-    placed = placed.join(by_key(home), "key").select("key", "id", "n_shingles", "component", (F.col("component") != F.col("home")).alias("outside"))
+    placed = placed.join(common.by_key(home), "key").select("key", "id", "n_shingles", "component", (F.col("component") != F.col("home")).alias("outside"))
     placed = common.cut(placed, "placed")
     hashes = lambda inside: F.coalesce(F.sum(F.when(F.col("outside") != inside, F.col("n_shingles"))), F.lit(0))
     sizes = placed.groupBy("key").agg(
@@ -287,7 +281,7 @@ def leftovers(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: D
     blocks = lambda n, h: F.greatest(F.ceil(F.col(n) / BLOCK), F.least(F.col(n), F.ceil(F.col(h) / HASHES))).cast("int")
     sizes = sizes.select("key", blocks("o", "oh").alias("ob"), blocks("m", "mh").alias("mb"))
     of = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.greatest(F.col(n), F.lit(1))).cast("int")
-    cells = common.cut(placed.join(by_key(sizes), "key").withColumn("at", F.when(F.col("outside"), of("ob")).otherwise(of("mb"))), "cells")
+    cells = common.cut(placed.join(common.by_key(sizes), "key").withColumn("at", F.when(F.col("outside"), of("ob")).otherwise(of("mb"))), "cells")
     common.dropped(placed)
     if cells.isEmpty():
         common.dropped(cells)
@@ -317,13 +311,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     signed = full.join(ids.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), "n_shingles", "digest", "signature", "bands")
     # An id that stands for several sets (it repeats with other texts) has one of them as its own.
     owned = ids.groupBy("id").agg(F.min("digest").alias("digest")).select("digest", F.lit(True).alias("own"))
-    classes = common.cut(signed.join(by_key(owned), "digest", "left"), "signed")
+    classes = common.cut(signed.join(common.by_key(owned), "digest", "left"), "signed")
     signs = classes.where("own").select("id", "signature")
     members = classes.select("id", "n_shingles", F.explode("bands").alias("key")).dropDuplicates(["id", "key"])
     buckets = common.cut(members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = common.cut(members.join(by_key(buckets), "key").select("key", "id", "n_shingles", "pivot", "n"), "members")
+    shared = common.cut(members.join(common.by_key(buckets), "key").select("key", "id", "n_shingles", "pivot", "n"), "members")
     pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    near = pairs.join(signs.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").join(by_key(signs.select(F.col("id").alias("a"), F.col("signature").alias("sa"))), "a").select("a", "b", "sa", "sb")
+    near = pairs.join(signs.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").join(common.by_key(signs.select(F.col("id").alias("a"), F.col("signature").alias("sa"))), "a").select("a", "b", "sa", "sb")
     near = common.cut(near.mapInArrow(agreeing, "a long, b long"), "near")
     links = verified(near, docs, classes, size, percent, text)
     labels = common.cut(components(links), "labels")
@@ -335,7 +329,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     common.dropped(classes, buckets, shared, near, links)
     placed = ids.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     rows = profile.select("doc_id", "n_shingles", "digest")
-    out = rows.where("digest is not null and doc_id is not null").join(by_key(placed), "digest", "left").select("doc_id", "n_shingles", "component")
+    out = rows.where("digest is not null and doc_id is not null").join(common.by_key(placed), "digest", "left").select("doc_id", "n_shingles", "component")
     out = out.unionByName(rows.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
     component = F.coalesce("component", "doc_id")
     made = common.cut(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), "components")
