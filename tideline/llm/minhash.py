@@ -224,7 +224,17 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out.reads = edges
+    return out
+
+
+def labelled(links: DataFrame) -> DataFrame:
+    """``components``, written; its edges go."""
+    found = components(links)
+    labels = common.cut(found, "labels")
+    common.dropped(found.reads)
+    return labels
 
 
 def joining(percent: int):
@@ -320,11 +330,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     near = pairs.join(signs.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").join(common.by_key(signs.select(F.col("id").alias("a"), F.col("signature").alias("sa"))), "a").select("a", "b", "sa", "sb")
     near = common.cut(near.mapInArrow(agreeing, "a long, b long"), "near")
     links = verified(near, docs, classes, size, percent, text)
-    labels = common.cut(components(links), "labels")
+    labels = labelled(links)
     rest = leftovers(shared.where("n > 2"), labels, classes, docs, size, percent, text)
     if rest is not None:
         first = labels
-        labels = common.cut(components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)), "labels")
+        labels = labelled(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
         common.dropped(first, rest)
     common.dropped(classes, buckets, shared, near, links)
     placed = ids.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
