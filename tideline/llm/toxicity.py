@@ -28,12 +28,14 @@ import json
 import math
 import re
 import string
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,10 +155,16 @@ def train(docs: list[tuple[str, int]], share: float) -> Model:
     row = np.repeat(np.arange(len(docs)), np.diff(offsets))
     label = np.array([x for _, x in docs])
     # In how many documents of each class a feature occurs.
-    index: dict[str, int] = {}
-    of = [[index.setdefault(f, len(index)) for f in features(w)] for w in words]
-    lengths = np.fromiter(map(len, of), np.int64, len(of))
-    pool = np.fromiter((f for x in of for f in x), np.int64, int(lengths.sum()))
+    # Features count by 64-bit hashes; only those in use get their names back.
+    digest = xxhash.xxh3_64_intdigest
+    found, lengths = array("Q"), np.empty(len(words), np.int64)
+    for i, w in enumerate(words):
+        own = features(w)
+        lengths[i] = len(own)
+        found.extend([digest(f) for f in own])
+    index, pool = np.unique(np.frombuffer(found, np.uint64) if found else np.zeros(0, np.uint64), return_inverse=True)
+    pool = pool.astype(np.int32)
+    del found
     starts = np.cumsum(lengths) - lengths
     pairs = np.unique(row * np.int64(len(words)) + codes)
     owner, word = pairs // len(words), pairs % len(words)
@@ -173,7 +181,12 @@ def train(docs: list[tuple[str, int]], share: float) -> Model:
     telling = (ones >= LEAST) & (lift >= LIFT)
     used = (ones >= LEAST) & (lift >= FEATURE_LIFT)
     column = np.cumsum(used) - 1
-    names = [f for f, k in index.items() if used[k]]
+    place = {int(h): int(column[k]) for k, h in enumerate(index) if used[k]}
+    names = [""] * len(place)
+    for w in words:
+        for f in features(w):
+            if (k := place.get(digest(f))) is not None:
+                names[k] = f
     # Sparse word-by-feature matrix of the used features.
     take = used[pool]
     m_word, m_feature = np.repeat(np.arange(len(words)), lengths)[take], column[pool[take]]
