@@ -417,6 +417,40 @@ def test_quality_bands_are_fitted(spark):
     assert not any(kept[i] for i, *_ in junk) and sum(kept[i] for i, *_ in rows) >= 0.98 * len(rows)
 
 
+def test_quality_bands_count_all_texts(spark):
+    """Bands are the quartiles of all distinct texts, however many, and of
+    languages with few of them; the query's way gives the same verdicts."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(600)]
+    texts = [" ".join(rng.choices(vocabulary, k=70 if i % 300 == 0 else rng.choice((70, 150)))) for i in range(9500)]
+    rows = [(i, t, "rare" if i % 300 == 0 else "aa" if i % 2 else None) for i, t in enumerate(texts)]  # 32 rare ones
+    rows += [(20_000 + i, t, "bb") for i, t in enumerate(texts[:40])] + [(30_000 + i, texts[1], "aa") for i in range(500)] + [(40_000, None, "aa"), (40_001, " ".join("\u200b" * k for k in range(1, 61)), "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    fitted = quality.fit(df, lang="lang")
+    paths = quality.vocabularies(None)
+    m = quality.measure(pa.array(texts), paths)
+    octaves, failing = quality.octave(m["n_tokens"]), quality.failing(m)
+    groups = collections.defaultdict(set)
+    for i, t, lang in rows:
+        i = i if i < 9500 else {20_000: i - 20_000, 30_000: 1}.get(i // 10_000 * 10_000)
+        if i is not None and not failing[i]:
+            groups["script", "latin", octaves[i]].add(i)
+            if lang is not None:
+                groups["lang", lang, octaves[i]].add(i)
+    groups = {k: sorted(g) for k, g in groups.items() if len(g) >= quality.ROWS}
+    assert set(fitted) == set(groups) and any("rare" in k for k in groups) and len(groups) >= 5
+    for k, g in groups.items():
+        for name in quality.measures(paths):
+            low, high = np.percentile(m[name][g], (25, 75))
+            room = quality.WIDTH * max(high - low, quality.MEASURES[name.removesuffix("_2")])
+            assert fitted[k][name] == pytest.approx((-math.inf if name.startswith("byte_share") else low - room, high + room), rel=1e-12)
+    one, other = ({r.doc_id: r for r in x.collect()} for x in (quality.assessed(df, fitted, lang="lang"), quality.screened(df, lang="lang")))
+    assert one == other and len(one) == len(rows) and 0 < sum(r.kept for r in one.values()) and not one[40_001].kept
+    assert quality.screened(empty(spark), lang="lang").count() == 0
+    both = [sorted(map(repr, x.collect())) for x in (quality.assessed(odd(spark)), quality.screened(odd(spark), lang="lang"))]
+    assert both[0] == both[1] and len(both[0]) == 8
+
+
 # 7 ---------------------------------------------------------------------------
 
 
