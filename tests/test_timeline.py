@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.operators import joins as J
 from tideline.operators import segments as S
@@ -129,3 +130,9 @@ def test_gaps_over_the_limit_are_errors(spark):
     assert T.gaps_filled(df, ["stream_id"], ["seq"], "ts", 10, 4).count() == 6
     with pytest.raises(Exception, match="gap of 4 steps"):
         T.gaps_filled(df, ["stream_id"], ["seq"], "ts", 10, 3).collect()
+
+
+def test_counted_pts_of_long_segments(spark):
+    rows = spark.range(100).selectExpr("'s' as stream_id", "id as seq", "id * 20 as ts")
+    found = T.counted_pts(rows, ["stream_id"], ["ts", "seq"], F.col("ts"), 44100).collect()
+    assert {r.seq: r.pts for r in found} == {i: 20 * i + i * 1024 * 90000 // 44100 for i in range(100)}

@@ -218,8 +218,8 @@ def trimmed(df: DataFrame, by: Sequence[str], order: Sequence[str], samples: str
 
 def counted_pts(df: DataFrame, by: Sequence[str], order: Sequence[str], base: Column, rate: int, frame: int = 1024, clock: int = 90_000, to: str = "pts") -> DataFrame:
     """Base plus whole ticks of the frames before in the segment."""
-    n = F.row_number().over(_w(by, order)) - 1
-    return df.withColumn(to, base + F.floor(n * frame * clock / F.lit(rate)).cast("long"))
+    ticks = (F.row_number().over(_w(by, order)) - 1).cast("long") * (frame * clock)
+    return df.withColumn(to, base + ((ticks - ticks % rate) / rate).cast("long"))
 
 
 def start_cut(df: DataFrame, by: Sequence[str], ts: str, key: Column, audio: Column, before: int) -> DataFrame:
