@@ -113,6 +113,17 @@ def test_samples_of_all_orders(spark, sf):
     assert len(want) > 4000 and sorted(map(tuple, mine.collect())) == sorted(want)
 
 
+def test_first_of_equal_numbers_is_the_tables(spark, tmp_path):
+    from tideline.plans.container_queries import samples_of
+
+    # Spark reads the larger file first.
+    row = "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long"
+    for name, rows in (("a", [(1, 1, 5.0, 3), (1, 2, None, 4), (1, 2, 8.0, 5)]), ("b", [(1, 1, 9.0, 1), (1, 2, 7.0, 1)] + [(k, 1, 1.0, k) for k in range(2, 3000)])):
+        spark.createDataFrame(rows, row).coalesce(1).toPandas().astype({"l_linenumber": "int32"}).to_parquet(tmp_path / f"{name}.parquet")
+    found = samples_of(spark.read.parquet(str(tmp_path))).where("l_orderkey = 1").orderBy("sample_no").collect()
+    assert [(r.sample_no, r.size, r.dts_ms) for r in found] == [(1, 5, 0), (2, 8, 44)]
+
+
 def test_fragments():
     one = mp4.fragment(1, 1, 9000, [(b"ab", 10, 0, True), (b"c", 11, -2, False)])
     data = one + mp4.fragment(2, 2, 5, [(b"xyz", 3, 0, True)])

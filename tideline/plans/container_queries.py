@@ -63,8 +63,11 @@ def sample_table(spark, sf_dir):  # S9, J1-J3, W6, W7: chunks of two samples, th
 
 
 def samples_of(li):
-    """Samples of the tables that any rows of lineitem make, by order."""
-    d = li.groupBy("l_orderkey", "l_linenumber").agg(F.first("l_quantity").cast("bigint").alias("size"), (F.first("l_suppkey") % 7 + 1).cast("int").alias("delta"))
+    """Samples of the tables that any rows of lineitem make, by order.  Of rows
+    with the same numbers the first in the table counts, wherever it is read."""
+    at = F.struct("_metadata.file_path", "_metadata.row_index")
+    first = lambda value: F.min_by(value, F.when(value.isNotNull(), at))
+    d = li.groupBy("l_orderkey", "l_linenumber").agg(first(F.col("l_quantity").cast("bigint")).alias("size"), first((F.col("l_suppkey") % 7 + 1).cast("int")).alias("delta"))
     n = F.size("rows")
     order = F.sort_array(F.collect_list(F.struct("l_linenumber", "size", "delta")))
     t = d.groupBy("l_orderkey").agg(order.alias("rows"))
