@@ -48,6 +48,24 @@ def test_over_files(spark, tmp_path):
     assert len({r.path for r in rows}) == 2 and all(r.content for r in rows)
 
 
+def test_many_files_share_batches_and_folders_need_no_groups(spark):
+    import pyarrow as pa
+
+    from tideline.operators.scan import batches
+
+    schema = pa.schema([("k", pa.int64()), ("content", pa.binary())])
+    assert [b.num_rows for b in batches(((i, b"x") for i in range(10000)), schema)] == [4096, 4096, 1808]
+    assert [b.num_rows for b in batches(((i, bytes(1 << 20)) for i in range(10)), schema)] == [4, 4, 2]
+    files = spark.createDataFrame([(str(i), bytearray(C.muxed_flv(movie(30 + i)))) for i in range(3)], "path string, content binary")
+    for there, back in (("flv_to_hls", "hls_to_flv"), ("flv_to_split_fmp4", "fmp4_to_flv")):
+        parts = C.converted(files, there).withColumnRenamed("path", "folder")
+        near, far = C.converted_folders(parts, back, together=True), C.converted_folders(parts, back)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (near, far)]
+        assert "Exchange" not in plans[0] and "Exchange" in plans[1] and "FlatMapGroups" not in plans[1]
+        made = [sorted((r.folder, r.name, bytes(r.content)) for r in df.collect()) for df in (near, far)]
+        assert made[0] == made[1] and [media(C.demuxed(c)) for _, _, c in made[0]] == [media(movie(30 + i)) for i in range(3)]
+
+
 def test_protocol_pieces():
     chunked = live.Chunked()
     wire = b"5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"
