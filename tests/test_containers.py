@@ -124,6 +124,21 @@ def test_first_of_equal_numbers_is_the_tables(spark, tmp_path):
     assert [(r.sample_no, r.size, r.dts_ms) for r in found] == [(1, 5, 0), (2, 8, 44)]
 
 
+def test_samples_need_no_shuffle_and_take_their_bytes(spark):
+    one = {"file": "a", "track_id": 1, "handler": "vide", "timescale": 90, "sample_sizes": [3, 2, 4, 1, 9], "stsc": [{"first_chunk": 1, "spc": 1}, {"first_chunk": 2, "spc": 2}, {"first_chunk": 4, "spc": 0}], "chunk_offsets": [10, 20, 2, 50], "stts": [{"count": 1, "delta": 90}, {"count": 2, "delta": 45}], "ctts": [{"count": 2, "offset": -1}], "stss": [2], "content": bytes(range(60))}
+    two = one | {"file": "b", "sample_sizes": [1], "chunk_offsets": [7], "stts": [], "ctts": [], "stss": None}
+    df = mp4.samples(spark.createDataFrame([one, two], mp4.STBL + ", content binary"), ["file"], "content")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in df.orderBy("file", "sample_no").collect()] == [
+        ("a", 1, 1, 10, 3, 0, -11, False, bytes([10, 11, 12])),
+        ("a", 2, 2, 20, 2, 1000, -11, True, bytes([20, 21])),
+        ("a", 3, 2, 22, 4, 1500, 0, False, bytes([22, 23, 24, 25])),
+        ("a", 4, 3, 2, 1, 2000, 0, False, bytes([2])),
+        ("a", 5, 3, 3, 9, 2000, 0, False, bytes(range(3, 12))),
+        ("b", 1, 1, 7, 1, 0, 0, True, bytes([7])),
+    ]
+
+
 def test_fragments():
     one = mp4.fragment(1, 1, 9000, [(b"ab", 10, 0, True), (b"c", 11, -2, False)])
     data = one + mp4.fragment(2, 2, 5, [(b"xyz", 3, 0, True)])

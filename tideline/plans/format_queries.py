@@ -259,13 +259,13 @@ def mp4_round_trip(spark, sf_dir):  # K3, S7-S9
 
     def read(key, data):
         for t in mp4.tracks(data):
-            yield key, t["track_id"], t["timescale"], t["sample_sizes"], t["stsc"], t["chunk_offsets"], t["stts"], t["ctts"], t["stss"]
+            yield key, t["timescale"], t["sample_sizes"], t["stsc"], t["chunk_offsets"], t["stts"], t["ctts"], t["stss"], data
 
     files = each_order(spark, sf_dir, write, "l_orderkey bigint, content binary")
-    tables = each(files, read, "l_orderkey bigint, track_id int, timescale int, sample_sizes array<bigint>, stsc array<struct<first_chunk:int,spc:int>>, chunk_offsets array<bigint>, stts array<struct<count:int,delta:int>>, ctts array<struct<count:int,offset:int>>, stss array<int>")
-    rows = mp4.samples(tables, ["l_orderkey"]).join(files, "l_orderkey")
-    byte = lambda at: F.conv(F.hex(F.substring("content", at.cast("int"), F.lit(1))), 16, 10).cast("int")
-    return rows.select("l_orderkey", "sample_no", "size", "dts_ms", "cts_ms", "is_key", byte(F.col("offset") + 1).alias("first_byte"), byte(F.col("offset") + F.col("size")).alias("last_byte"))
+    tables = each(files, read, "l_orderkey bigint, timescale int, sample_sizes array<bigint>, stsc array<struct<first_chunk:int,spc:int>>, chunk_offsets array<bigint>, stts array<struct<count:int,delta:int>>, ctts array<struct<count:int,offset:int>>, stss array<int>, content binary")
+    rows = mp4.samples(tables, ["l_orderkey"], "content")
+    byte = lambda at: F.conv(F.hex(F.substring("data", at, 1)), 16, 10).cast("int")
+    return rows.select("l_orderkey", "sample_no", "size", "dts_ms", "cts_ms", "is_key", byte(1).alias("first_byte"), byte(-1).alias("last_byte"))
 
 
 @query(f"WITH {_SAMPLES} SELECT l_orderkey, rn::INT AS sample_no, ticks AS dts, cts::INT AS cts, delta::INT AS duration, q AS size, (rn - 1) % 3 = 0 AS is_key, q AS first_byte FROM s")
