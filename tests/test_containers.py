@@ -267,3 +267,15 @@ def test_playlists_nest_without_limit():
     texts = {f"p{i}": f"#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=1\np{i + 1}\n#EXT-X-STREAM-INF:BANDWIDTH=1\np0\n" for i in range(2000)}
     texts["p2000"] = "#EXTM3U\n#EXTINF:1.5,\na.ts\n"
     assert [(s["uri"], s["duration"]) for s in hls.collected("p0", texts.__getitem__)] == [("a.ts", 1.5)]
+
+
+def test_groups_of_pictures_are_not_called_one_by_one(spark):
+    from tideline.functions import h264
+    from tideline.operators import gop
+
+    frames = [(f"s{k}", i, 40 * i, i % 4 == 1, bytearray(h264.encode(bytes([10 * k + i]) * 384, 16, 16))) for k in range(2) for i in range(12)]
+    seen = lambda picture, state: bytes([state.setdefault("n", 0), state.update(n=state["n"] + 1) or picture[0]])
+    df = gop.recoded(spark.createDataFrame(frames, "stream_id string, seq long, ts_ms long, is_key boolean, data binary"), 16, 16, 16, 16, encode=seen)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    found = {(r.stream_id, r.seq): (r.gop, bytes(r.data)) for r in df.collect()}
+    assert found == {(f"s{k}", i): ((i + 3) // 4, bytes([(i - 1) % 4, 10 * k + i])) for k in range(2) for i in range(1, 12)}

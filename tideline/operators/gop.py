@@ -7,13 +7,15 @@ frame: pictures never cross a shuffle, and memory holds one frame.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideline.functions import h264, nal, pcm
+from tideline.operators.scan import batches, taken, tasks
 from tideline.operators.timeline import decimate, groups_of_pictures
 
 OUT = "stream_id string, gop bigint, seq bigint, ts_ms bigint, is_key boolean, data binary"
@@ -37,18 +39,18 @@ def recoded(frames: DataFrame, width: int, height: int, to_width: int, to_height
         state["n"] = state.get("n", -1) + 1
         return h264.encode(frame, to_width, to_height, state["n"])
 
-    taken, given = decode or default_decode, encode or default_encode
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        back: dict = {}
-        forth: dict = {}
-
-        def frames() -> Iterator[bytes]:
-            for data in pdf.sort_values(["ts_ms", "seq"])["data"]:
-                picture = pcm.scaled(taken(data, back), width, height, to_width, to_height)
-                yield given(pcm.watermarked(picture, to_width, to_height, *mark) if mark else picture, forth)
-
-        out = pdf.sort_values(["ts_ms", "seq"]).assign(data=list(frames()))
-        return out[["stream_id", "gop", "seq", "ts_ms", "is_key", "data"]]
-
-    return rows.groupBy("stream_id", "gop").applyInPandas(group, OUT)
+    decoded, encoded = decode or default_decode, encode or default_encode
+
+    def made(found):
+        key, back, forth = None, {}, {}
+        for stream, gop, seq, ts, is_key, data in taken(found):
+            if key != (stream, gop):
+                key, back, forth = (stream, gop), {}, {}
+            picture = pcm.scaled(decoded(data, back), width, height, to_width, to_height)
+            yield stream, gop, seq, ts, is_key, encoded(pcm.watermarked(picture, to_width, to_height, *mark) if mark else picture, forth)
+
+    # Groups are dealt and follow one another; a call for each would cost more than its pictures.
+    names = ["stream_id", "gop", "ts_ms", "seq"]
+    dealt = rows.repartition(tasks(rows.sparkSession), "stream_id", "gop").sortWithinPartitions(*names).select(*[F.col(f.name).cast(f.dataType) for f in T._parse_datatype_string(OUT)])
+    schema = to_arrow_schema(T._parse_datatype_string(OUT))
+    return dealt.mapInArrow(lambda found: batches(made(found), schema), OUT)
