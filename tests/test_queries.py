@@ -44,3 +44,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["pcm_macroblocks", "scene_changes", "nal_units", "init_duration", "amf_round_trip"])
+def test_rows_of_one_file_are_dealt(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -40,6 +40,12 @@ def each(df: DataFrame, make: Callable[..., Iterable[tuple]], ddl: str) -> DataF
     return df.mapInArrow(run, ddl)
 
 
+def each_dealt(df: DataFrame, make: Callable[..., Iterable[tuple]], ddl: str) -> DataFrame:
+    """As ``each`` over a table as it is stored: its rows are dealt first, since
+    a file of one row group is read by one task, whatever its rows cost."""
+    return each(df.repartition(tasks(df.sparkSession), df.columns[0], *df.columns[1:2]), make, ddl)
+
+
 def orders(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
@@ -80,7 +86,7 @@ def nal_units(spark, sf_dir):  # S21, P4, P14, P15
         back = nal.from_lengths(nal.to_lengths(nal.from_annexb(nal.to_annexb(units))))
         yield stream, seq, len(back), nal.has_idr(back), *[int.from_bytes(nal.without_prevention(u)[1:9], "big") for u in back]
 
-    return each(tags(spark, sf_dir).select("stream_id", "seq", "size", "is_key"), make, "stream_id bigint, seq bigint, units int, is_key boolean, first bigint, second bigint")
+    return each_dealt(tags(spark, sf_dir).select("stream_id", "seq", "size", "is_key"), make, "stream_id bigint, seq bigint, units int, is_key boolean, first bigint, second bigint")
 
 
 @query(
@@ -96,7 +102,7 @@ def parameter_sets(spark, sf_dir):  # P12, P13: configuration records
         s, p = nal.sps(c["sps"][0]), nal.pps(c["pps"][0])
         yield key, s["width"], s["height"], s["profile"], s["fps"], c["length_size"], p["cabac"]
 
-    return each(orders(spark, sf_dir).select("o_orderkey", "o_custkey"), make, "o_orderkey bigint, width int, height int, profile int, fps double, length_size int, cabac boolean")
+    return each_dealt(orders(spark, sf_dir).select("o_orderkey", "o_custkey"), make, "o_orderkey bigint, width int, height int, profile int, fps double, length_size int, cabac boolean")
 
 
 _RATES = "[96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350]"
@@ -108,7 +114,7 @@ def audio_configs(spark, sf_dir):  # P13
         c = audio.audio_config(audio.audio_config_bytes(2, audio.AAC_RATES[key % 13], 1 + key % 2))
         yield key, c["object_type"], c["rate"], c["channels"]
 
-    return each(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), make, "c_custkey bigint, object_type int, rate int, channels int")
+    return each_dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), make, "c_custkey bigint, object_type int, rate int, channels int")
 
 
 @query(
@@ -121,7 +127,7 @@ def adts_round_trip(spark, sf_dir):  # S13, K8
         for i, f in enumerate(audio.adts_frames(data)):
             yield stream, seq, i, f["offset"], f["rate"], f["channels"], int(f["payload"])
 
-    return each(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, frame int, offset int, rate int, channels int, number bigint")
+    return each_dealt(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, frame int, offset int, rate int, channels int, number bigint")
 
 
 @query(
@@ -137,7 +143,7 @@ def mp3_frames(spark, sf_dir):  # S16
         for i, f in enumerate(audio.mp3_frames(b"\x00\x01" + 2 * one)):
             yield stream, seq, i, f["offset"], f["bitrate"], f["rate"], f["channels"], f["size"]
 
-    return each(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, frame int, offset int, bitrate int, rate int, channels int, size int")
+    return each_dealt(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, frame int, offset int, bitrate int, rate int, channels int, size int")
 
 
 @query(
@@ -153,7 +159,7 @@ def opus_packets(spark, sf_dir):  # S15, P16
         p = audio.opus_packet(toc + body)
         yield stream, seq, p["mode"], p["frame_us"], p["stereo"], len(p["frames"]), p["samples"], sum(map(len, p["frames"]))
 
-    return each(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, mode string, frame_us int, stereo boolean, frames int, samples int, bytes int")
+    return each_dealt(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, mode string, frame_us int, stereo boolean, frames int, samples int, bytes int")
 
 
 @query(f"WITH {LINES_SQL} SELECT l_orderkey, rn::INT AS packet, 960 AS duration_samples, CASE rn WHEN 1 THEN 312 ELSE 0 END AS trim_start, CASE rn WHEN n THEN 100 ELSE 0 END AS trim_end, q AS size FROM l")
@@ -188,7 +194,7 @@ def sniffed_containers(spark, sf_dir):  # S18
         heads = (flv.file_header, lambda: mp4.file_bytes([]), lambda: ogg.opus_file([b"\xf8a"], 1, 0), lambda: audio.wav_bytes(b"", 8000, 1), lambda: audio.adts_frame(b"a", 48000, 2), lambda: b"ID3\x04", lambda: b"none of these")
         yield stream, seq, audio.sniffed(heads[seq % 7]())
 
-    return each(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, container string")
+    return each_dealt(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, container string")
 
 
 @query(
@@ -227,7 +233,7 @@ def amf_round_trip(spark, sf_dir):  # S20, K2, R17
         yield key, s["name"], s["value"]["name"], s["value"]["balance"], s["value"]["nation"], three["name"], three["balance"], three["nation"], len(s["value"]["list"])
 
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
-    return each(rows, make, "c_custkey bigint, event string, name string, balance double, nation double, name3 string, balance3 double, nation3 bigint, listed int")
+    return each_dealt(rows, make, "c_custkey bigint, event string, name string, balance double, nation double, name3 string, balance3 double, nation3 bigint, listed int")
 
 
 @query(f"WITH {LINES_SQL} SELECT l_orderkey, (rn + 4)::INT AS seq, 'a/part_' || rn || '.ts' AS uri, (q / 8.0)::DOUBLE AS duration FROM l")
@@ -291,7 +297,7 @@ def init_duration(spark, sf_dir):  # R23, S7
         at = head["offset"] + head["header"] + 16
         yield key, int.from_bytes(data[at : at + 4], "big"), head["path"].split("/")[1]
 
-    return each(orders(spark, sf_dir).select("o_orderkey", "o_custkey"), make, "o_orderkey bigint, duration bigint, holder string")
+    return each_dealt(orders(spark, sf_dir).select("o_orderkey", "o_custkey"), make, "o_orderkey bigint, duration bigint, holder string")
 
 
 @query(
@@ -304,7 +310,7 @@ def audio_tag_class(spark, sf_dir):  # P8
         c = audio_policy.classified(heads[seq % 6] + str(seq).encode())
         yield stream, seq, c["codec"], c["header"], c["track"], int(c["payload"])
 
-    return each(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, codec string, header boolean, track int, number bigint")
+    return each_dealt(tags(spark, sf_dir).select("stream_id", "seq"), make, "stream_id bigint, seq bigint, codec string, header boolean, track int, number bigint")
 
 
 @query(
@@ -315,7 +321,7 @@ def transcode_refusals(spark, sf_dir):  # P10
     def make(key, cust):
         yield key, audio_policy.transcodable(("aac", "mp3", "opus", "pcm", "unknown:flac")[key % 5], ("aac", "mp3", "opus", "pcm", "vorbis")[cust % 5], (44100, 48000, 8000)[key % 3], 1 + cust % 3)
 
-    return each(orders(spark, sf_dir).select("o_orderkey", "o_custkey"), make, "o_orderkey bigint, refusal string")
+    return each_dealt(orders(spark, sf_dir).select("o_orderkey", "o_custkey"), make, "o_orderkey bigint, refusal string")
 
 
 @query(
@@ -360,7 +366,7 @@ def scaled_frames(spark, sf_dir):  # V1, V2: a mark over the corner, then half t
         for i, v in enumerate(out[:16]):
             yield key, i % 4, i // 4, v
 
-    return each(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), make, "p_partkey bigint, x int, y int, luma int")
+    return each_dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), make, "p_partkey bigint, x int, y int, luma int")
 
 
 @query(
@@ -374,7 +380,7 @@ def mark_pixels(spark, sf_dir):  # V3: an image of four pixels as a mark
         for i in range(4):
             yield key, i, out[i], out[4], out[5]
 
-    return each(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), make, "p_partkey bigint, pixel int, y int, u int, v int")
+    return each_dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), make, "p_partkey bigint, pixel int, y int, u int, v int")
 
 
 @query("SELECT p_partkey, abs(p_partkey % 200 - p_size * 3)::DOUBLE AS difference, (abs(p_partkey % 200 - p_size * 3) > 1)::INT::DOUBLE AS changed FROM part")
@@ -386,18 +392,22 @@ def scene_changes(spark, sf_dir):  # W23
         m = frames.scene_change(a, b)
         yield key, m["difference"], m["changed"]
 
-    return each(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"), make, "p_partkey bigint, difference double, changed double")
+    return each_dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"), make, "p_partkey bigint, difference double, changed double")
 
 
 @query("SELECT p_partkey, (SELECT sum((p_partkey * 5 + i * 11) % 256) FROM range(0, 384) r(i))::BIGINT AS total, 16 AS width, true AS same FROM part")
 def pcm_macroblocks(spark, sf_dir):  # D1, E1, E4: the lossless corner, written and read
+    import numpy as np
+
+    sps = nal.sps(h264.parameter_sets(16, 16)[0])
+    steps = np.arange(384) * 11
+
     def make(key):
-        frame = bytes((key * 5 + i * 11) % 256 for i in range(384))
-        sps = nal.sps(h264.parameter_sets(16, 16)[0])
+        frame = (key * 5 % 256 + steps).astype(np.uint8).tobytes()
         back = h264.decode(h264.encode(frame, 16, 16, key), sps)
         yield key, sum(back), sps["width"], back == frame
 
-    return each(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), make, "p_partkey bigint, total bigint, width int, same boolean")
+    return each_dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), make, "p_partkey bigint, total bigint, width int, same boolean")
 
 
 @query(f"WITH {LINES_SQL} SELECT l_orderkey, rn::INT AS message, CASE rn % 2 WHEN 0 THEN 8 ELSE 9 END AS tag_type, (16777215 - 2 + rn)::BIGINT AS ts_ms, 11 * q AS size, q AS number FROM l")
@@ -431,7 +441,7 @@ def url_routes(spark, sf_dir):  # C4
     def make(key, url):
         yield key, live.route(("http", "HTTPS", "wss", "rtmps")[key % 4] + "://" + (url or "").rpartition("://")[2])
 
-    return each(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), make, "page_id bigint, puller string")
+    return each_dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), make, "page_id bigint, puller string")
 
 
 def _parts(spark, sf_dir) -> DataFrame:
@@ -585,6 +595,6 @@ def group_reencode(spark, sf_dir):  # API re-encode, D1, E1, R7, R8: pictures de
         yield int(stream), seq, group, key, frame[0], frame[16 * 8], frame[16 * 8 + 15]
 
     video = tags(spark, sf_dir).where("tag_type = 9").select("stream_id", "seq", F.floor(F.col("ts") / 1000).alias("ts_ms"), "is_key")
-    coded = each(video, write, "stream_id string, seq bigint, ts_ms bigint, is_key boolean, data binary")
+    coded = each_dealt(video, write, "stream_id string, seq bigint, ts_ms bigint, is_key boolean, data binary")
     out = gop.recoded(coded, 32, 32, 16, 16, mark=(bytes([200] * 4 + [0] * 2), 2, 2))
     return each(out.select("stream_id", "seq", "gop", "is_key", "data"), read, "stream_id bigint, seq bigint, gop bigint, is_key boolean, corner int, left int, right int")
