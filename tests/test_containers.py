@@ -279,3 +279,31 @@ def test_groups_of_pictures_are_not_called_one_by_one(spark):
     assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
     found = {(r.stream_id, r.seq): (r.gop, bytes(r.data)) for r in df.collect()}
     assert found == {(f"s{k}", i): ((i + 3) // 4, bytes([(i - 1) % 4, 10 * k + i])) for k in range(2) for i in range(1, 12)}
+
+
+def test_strict_scan_of_parts_is_that_of_the_file():
+    data = flv.file_header() + b"".join(flv.tag_bytes(k, 40 * i, bytes(n)) for i, (k, n) in enumerate([(9, 30), (8, 0), (18, 3), (8, 5000)]))
+    for end in [*range(14, 120, 5), *range(120, len(data), 970), *range(len(data) - 6, len(data) + 1)]:
+        for without in (0, 5):
+            cut = data[: end - without] if end - without >= 13 else data[:13]
+            if len(cut) < end - without or end - without < 13:
+                continue
+            want = len(list(flv.read_tags(io.BytesIO(cut))))
+            try:
+                list(flv.read_tags(io.BytesIO(cut), strict=True))
+                refused = False
+            except ValueError:
+                refused = True
+            for step in (7, 16, 999):
+                scan = flv.StrictScan()
+                for a in range(0, end, step):
+                    scan.push(data[a : min(end, a + step)])
+                    assert len(scan.rest) < 5015 + step  # an unfinished tag and a part
+                try:
+                    scan.finish(without)
+                    assert not refused
+                except ValueError:
+                    assert refused
+                assert scan.count == want
+    assert [(k, t, b) for k, t, b in flv.tags_of(data)] == [(k, t, b) for k, t, _, b, _ in flv.read_tags(io.BytesIO(data))]
+    assert len(list(flv.tags_of(data[:-6]))) == 3 and len(list(flv.tags_of(data[:-3]))) == 4
