@@ -19,17 +19,23 @@ from pyspark.sql import types as T
 #: Rows of an output batch at most, and bytes of its binary values after which it goes out.
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: Rows of an input batch that are Python objects at a time.
-TAKEN = 256
+TAKEN = 512
 
 #: make() -> step(*row values) -> tuple of new values, called once per key.
 Make = Callable[[], Callable[..., tuple]]
 
 
+def plain(column: pa.Array) -> list:
+    """A column's Python values; numbers without nulls by way of numpy, which is many times faster."""
+    numbers = pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_boolean(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if numbers and not column.null_count else column.to_pylist()
+
+
 def taken(found: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of Arrow batches, a few at a time as Python values."""
     for batch in found:
         for at in range(0, batch.num_rows, TAKEN):
-            yield from zip(*[c.to_pylist() for c in batch.slice(at, TAKEN).columns], strict=True)
+            yield from zip(*[plain(c) for c in batch.slice(at, TAKEN).columns], strict=True)
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideline.functions import amf, audio, audio_policy, frames, h264, nal, pcm
-from tideline.operators.scan import batches, taken, tasks
+from tideline.operators.scan import batches, plain, taken, tasks
 from tideline.plans import conversions
 from tideline.sources import flv, hls, live, mp4, ogg, rtp
 from tideline.sources.events import TAGS_SQL, tags
@@ -54,25 +54,30 @@ def each_order(spark, sf_dir, make: Callable[..., Iterable[tuple]], ddl: str) ->
     """Rows that ``make(l_orderkey, rows)`` gives for each order; ``rows`` are its
     lines, by their values.  Lines come dealt by order and sorted, so an order is
     gathered only where it is used."""
-    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q"]
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("q", F.col("l_quantity").cast("int")).select(*names)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("q", F.col("l_quantity").cast("int"))
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "q"]
     schema = to_arrow_schema(T._parse_datatype_string(ddl))
 
     def gathered(found):
         key, rows = None, []
-        for own, *values in taken(found):
-            if rows and own != key:
-                yield key, rows
-                rows = []
-            key = own
-            rows.append(dict(zip(names[1:], values, strict=True)))
+        for batch in found:
+            keys, parts, supps, qs = (plain(c) for c in batch.columns)
+            own = [{"l_partkey": p, "l_suppkey": s, "q": q} for p, s, q in zip(parts, supps, qs, strict=True)]
+            starts = [0] + [i for i, (a, b) in enumerate(zip(keys, keys[1:], strict=False), 1) if a != b] if keys else []
+            for a, b in zip(starts, [*starts[1:], len(own)], strict=True):
+                if rows and keys[a] != key:
+                    yield key, rows
+                    rows = []
+                key = keys[a]
+                rows += own[a:b]
         if rows:
             yield key, rows
 
     def run(found):
         return batches((r for key, rows in gathered(found) for r in make(key, rows)), schema)
 
-    return li.repartition(tasks(spark), "l_orderkey").sortWithinPartitions(*names).mapInArrow(run, ddl)
+    dealt = li.select("l_linenumber", *names).repartition(tasks(spark), "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", *names[1:])
+    return dealt.select(*names).mapInArrow(run, ddl)
 
 
 LINES_SQL = """l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS q,
@@ -486,27 +491,37 @@ def live_buffer(spark, sf_dir):  # S3, S6: complete tags of a buffer that fills
     return _along(_parts(spark, sf_dir), make, "stream_id bigint, tag_type int, ts_ms bigint, number bigint")
 
 
+_STRICT = "stream_id bigint, whole bigint, refused boolean, all_tags bigint"
+
+
 @query(f"WITH {TAGS_SQL}, b AS (SELECT stream_id, count(*) AS n FROM tags GROUP BY stream_id) SELECT stream_id, (n - 1)::BIGINT AS whole, true AS refused, n AS all_tags FROM b")
 def strict_scan(spark, sf_dir):  # S5: a cut last tag ends the scan, or is an error
-    import io
+    schema = to_arrow_schema(T._parse_datatype_string(_STRICT))
 
-    def make():
-        def push(content):
-            cut = content[:-5]  # the size field and a byte of the body or header
-            whole = sum(1 for _ in flv.read_tags(io.BytesIO(cut)))
+    def scanned(found):
+        key = cut = whole = None
+
+        def ended():
+            refused = False
             try:
-                list(flv.read_tags(io.BytesIO(cut), strict=True))
-                refused = False
+                cut.finish(5)  # without the size field and a byte of the body or header
             except ValueError:
                 refused = True
-            yield whole, refused, sum(1 for _ in flv.read_tags(io.BytesIO(content), strict=True))
-
-        return push
+            whole.finish()
+            return key, cut.count, refused, whole.count
 
-    whole = _parts(spark, sf_dir).groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("part", "content"))).alias("p"))
-    # A file is the unit of a strict scan, so a stream's parts come together.
-    files = each(whole.select("stream_id", F.transform("p", lambda x: x["content"]).alias("c")), lambda key, c: [(key, b"".join(c))], "stream_id bigint, content binary")
-    return _along(files.withColumn("part", F.lit(0)), make, "stream_id bigint, whole bigint, refused boolean, all_tags bigint")
+        for own, content in taken(found):
+            if cut is None or own != key:
+                if cut is not None:
+                    yield ended()
+                key, cut, whole = own, flv.StrictScan(), flv.StrictScan()
+            cut.push(content)
+            whole.push(content)
+        if cut is not None:
+            yield ended()
+
+    parts = _parts(spark, sf_dir).repartition("stream_id").sortWithinPartitions("stream_id", "part").select("stream_id", "content")
+    return parts.mapInArrow(lambda found: batches(scanned(found), schema), _STRICT)
 
 
 def _movies(spark, sf_dir) -> DataFrame:
